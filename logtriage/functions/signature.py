@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logtriage.functions.text import WS, contains
+from logtriage.functions.text import WS, bind, contains, is_ascii
 
 # The seven raw-text and three canonical-text signatures, case-insensitive. The text is what is
 # reported as matched; each comes with a literal that every match holds, used as a cheap guard.
@@ -64,7 +67,11 @@ def norm_matches(c: Column) -> Column:
 
 
 def hard_negative_context(c: Column) -> Column:
-    return c.rlike(java_pattern(HARD_NEGATIVE_CONTEXT))
+    """Plain substring tests on ASCII text; other text needs the pattern's Unicode case folding."""
+    phrases = HARD_NEGATIVE_CONTEXT.replace("\\", "").split("|")
+    phrases[0] = "\\${"
+    lowered = bind(F.lower(c), lambda t: reduce(or_, [contains(t, phrase) for phrase in phrases]))
+    return F.when(is_ascii(c), lowered).otherwise(c.rlike(java_pattern(HARD_NEGATIVE_CONTEXT)))
 
 
 def any_protocol(signals: dict[str, Column]) -> Column:

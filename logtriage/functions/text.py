@@ -12,12 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The 29 Unicode whitespace characters, as the body of a Java character class.
-WS_BODY = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-WS = f"[{WS_BODY}]"
-# The same plus every control character that clean-up blanks; NON_SPACE leaves the plain space out.
-_BLANK_BODY = r"\x00-\x20\x7f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-_NON_SPACE_BODY = r"\x00-\x1f\x7f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# The 29 Unicode whitespace characters, as a Java character class.
+_WIDE = r"\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# Printable ASCII is excluded first: for ordinary characters the class is one range check.
+WS = rf"[[^!-~]&&[\t-\r\x1c-\x20{_WIDE}]]"
+# The same plus every control character that clean-up blanks.
+_BLANK = rf"[[^!-~]&&[\x00-\x20\x7f{_WIDE}]]"
 # Line boundaries of universal newlines plus VT, FF, FS, GS, RS, NEL, LS, PS.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
@@ -35,6 +35,10 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
 
 
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
 def contains(c: Column, marker: str) -> Column:
     return F.contains(c, F.lit(marker))
 
@@ -150,14 +154,14 @@ def resolve_lookups(c: Column, rounds: int = MAX_LOOKUP_ROUNDS, lowercased_later
     """
     exact = _rounds(c, _cased_round, rounds)
     if lowercased_later:
-        exact = F.when(c.rlike(r"[^\x00-\x7f]"), exact).otherwise(_rounds(c, _plain_round, rounds))
+        exact = F.when(is_ascii(c), _rounds(c, _plain_round, rounds)).otherwise(exact)
     return F.when(contains(c, "${") & c.rlike(_ANY_RULE), exact).otherwise(c)
 
 
 def cleanup(c: Column) -> Column:
     """Blank control characters, collapse whitespace, trim, lower-case."""
     # A lone space is left alone, so ordinary lines are scanned but not rebuilt.
-    collapsed = F.regexp_replace(c, rf"(?:[{_NON_SPACE_BODY}]| (?=[{_BLANK_BODY}]))[{_BLANK_BODY}]*", " ")
+    collapsed = F.regexp_replace(c, rf"{_BLANK}(?:(?<! )|(?={_BLANK})){_BLANK}*", " ")
     return F.lower(F.trim(collapsed))
 
 
