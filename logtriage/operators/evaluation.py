@@ -94,8 +94,13 @@ def display_name(key: Column) -> Column:
     return F.coalesce(F.try_element_at(literal_map(DISPLAY_NAMES), key), key)
 
 
-def evaluate(preds: DataFrame, models: list[str] | None = None, latency_ms: dict[str, float] | None = None) -> DataFrame:
-    """One metric row per (model, test set) over ``predictions``.
+def evaluate(
+    preds: DataFrame,
+    models: list[str] | None = None,
+    latency_ms: dict[str, float] | None = None,
+    ranking: bool = True,
+) -> DataFrame:
+    """One metric row per (model, test set) over ``predictions``; without ``ranking`` AUC and AP stay null.
 
     With ``models``, a pair without predictions gets a row of nulls and a note. ``latency_ms`` holds measured
     times by model name; throughput follows from it.
@@ -103,8 +108,11 @@ def evaluate(preds: DataFrame, models: list[str] | None = None, latency_ms: dict
     group = ["model", "test_set", "threshold"]
     scored = preds.withColumn("label", F.col("true_label"))
     table = binary_metrics(scored, group, F.col("threshold"))
-    ranks = ranking_metrics(scored, ["model", "test_set"])
-    table = table.join(ranks, ["model", "test_set"], "left")
+    if ranking:
+        table = table.join(ranking_metrics(scored, ["model", "test_set"]), ["model", "test_set"], "left")
+    else:
+        none = F.lit(None).cast("double")
+        table = table.withColumns({"roc_auc": none, "pr_auc": none})
     if models is not None:
         wanted = preds.select("test_set").distinct().select(
             F.explode(F.array(*[F.lit(m) for m in models])).alias("model"), "test_set"

@@ -138,3 +138,100 @@ def from_events(events: DataFrame, pages: DataFrame) -> DataFrame:
 
 def request_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_events(read_table(spark, sf_dir, "events"), read_table(spark, sf_dir, "pages"))
+
+
+def _density(c: Column) -> Column:
+    """Weighted share of lookup and escape characters: an integer count over 1000, at most 1."""
+
+    def count(char: str) -> Column:
+        return F.length(c) - F.length(F.replace(c, F.lit(char), F.lit("")))
+
+    total = count("$") * 150 + count("{") * 100 + count("%") * 70 + count(":") * 30
+    return F.least(total, F.lit(1000)) / F.lit(1000.0)
+
+
+def scored_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled lines with a score per detector.
+
+    The signature score is the real one. The three others stand in for learned scores, so that every report can
+    be restated in plain SQL; ``operators.learned`` trains the real ones.
+    """
+    from logtriage.operators.canonical import drop_internal, label_columns
+    from logtriage.operators.detect import with_signature
+    from logtriage.schema import SIGNAL_KEYS
+
+    lines = with_signature(request_logs(spark, sf_dir)).withColumns(label_columns())
+    hits = sum((F.col(key).cast("int") for key in SIGNAL_KEYS), F.lit(0))
+    scored = lines.withColumns(
+        {
+            "id": F.format_string("LS-%06d", F.col("log_id") + 1),
+            "source": F.when(F.col("label") == 1, F.lit("synthetic")).otherwise(F.lit("benign_logs")),
+            "obfuscation_type": F.when(F.col("label") == 1, F.col("obfuscation_type")).otherwise(F.col("family")),
+            "score_signature": F.col("sig_score"),
+            "score_raw": _density(F.col("raw_log")),
+            "score_normalized": _density(F.col("normalized_log")),
+            "score_signal": hits / F.lit(float(len(SIGNAL_KEYS))),
+        }
+    )
+    return drop_internal(scored).drop("matched_patterns", "sig_score", "detected_patterns", *SIGNAL_KEYS)
+
+
+def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed rows ``(line, tpl_id, shape, raw_log)`` in five shapes made from the request lines."""
+    logs = request_logs(spark, sf_dir)
+    raw = F.col("raw_log")
+    quoted = swap(swap(raw, BACKSLASH, BACKSLASH * 2), '"', BACKSLASH + '"')
+    hidden = swap(quoted, "$", BACKSLASH + "u0024")
+    shape = F.pmod("log_id", F.lit(5))
+    lit = F.lit
+    text = (
+        F.when(
+            shape == 0,
+            F.concat(lit('2021-12-15T16:12:36Z",1,"'), "log_id", lit('","logstash",,"_doc","'), raw, lit('"')),
+        )
+        .when(shape == 1, F.concat(lit('{"seen":1,"event":{"message":"'), quoted, lit('"}}')))
+        .when(shape == 2, raw)
+        .when((shape == 3) & (F.col("tpl_id") < 4), lit(FEED_HEADER))
+        .when(shape == 3, F.concat(lit('{"payload":"'), hidden, lit('","n":1}')))
+        .otherwise(F.concat(lit('["row",{"request":"'), hidden, lit('"}]')))
+    )
+    return logs.select((F.col("log_id") + 1).alias("line"), "tpl_id", shape.alias("shape"), text.alias("raw_log"))
+
+
+FEED_HEADER = '"@timestamp","@version","_id","_index","_score","_type","headers.user-agent"'
+
+
+def packet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packet rows ``(line, frame_time, ip_src, method, host, uri, user_agent)``; some fields are missing."""
+    logs = request_logs(spark, sf_dir)
+    attack_agent = F.col("tpl_id") % 2 == 0
+    return logs.select(
+        (F.col("log_id") + 1).alias("line"),
+        F.when(F.col("log_id") % 3 > 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("frame_time"),
+        F.concat(F.lit("10.0.0."), F.pmod("user_id", F.lit(250))).alias("ip_src"),
+        F.lit("GET").alias("method"),
+        F.col("host"),
+        F.when(attack_agent, F.lit("/")).otherwise(F.concat(F.lit("/?q="), "raw_log")).alias("uri"),
+        F.when(attack_agent, F.col("raw_log")).alias("user_agent"),
+    )
+
+
+def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One host per page, numbered by the page: the hosts of template expansion."""
+    pages = read_table(spark, sf_dir, "pages")
+    host = F.regexp_extract("url", r"^https?://([^/]+)", 1)
+    return pages.select(F.col("page_id").alias("host_no"), host.alias("host"))
+
+
+def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benign access-log lines, one per page."""
+    pages = read_table(spark, sf_dir, "pages")
+    path = F.regexp_extract("url", r"^https?://[^/]+(/.*)$", 1)
+    text = F.concat(
+        F.lit('127.0.0.1 - - [17/May/2015:10:05:03 +0000] "GET '),
+        path,
+        F.lit(' HTTP/1.1" 200 '),
+        F.octet_length("html").cast("string"),
+        F.lit(' "-" "Mozilla/5.0"'),
+    )
+    return pages.select("page_id", text.alias("raw_log"))

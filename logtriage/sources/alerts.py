@@ -25,10 +25,11 @@ def by_group(samples: DataFrame, groups: list[str]) -> DataFrame:
     return samples.filter(F.col("group").isin(groups))
 
 
-def alert_rows(detected: DataFrame, stamp: Column | None = None) -> DataFrame:
-    """Alert shape of detected rows. ``stamp`` defaults to the processing time, UTC."""
+def alert_rows(detected: DataFrame, stamp: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Alert shape of detected rows, after the ``keep`` columns. ``stamp`` defaults to the processing time, UTC."""
     now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     return detected.select(
+        *(keep or []),
         (F.concat(now, F.lit("+00:00")) if stamp is None else stamp).alias("timestamp"),
         "label",
         F.col("score").alias("risk_score"),
