@@ -15,6 +15,17 @@ _TEXT = "_lt_text"
 _PASSES = "_lt_passes"
 
 
+def hold(df: DataFrame, names: list[str]) -> DataFrame:
+    """Compute the named columns here, once.
+
+    The optimizer copies a later filter below a projection, with every column replaced by its definition; over a
+    chain of decoding steps that copy grows exponentially. It does not move a filter below a generator, so the
+    columns pass through a one-element ``inline``: a narrow step. Filters on other columns still reach the scan.
+    """
+    others = [c for c in df.columns if c not in names]
+    return df.select(*others, F.inline(F.array(F.struct(*names))))
+
+
 def with_canonical_text(df: DataFrame, col: str = "raw_log") -> DataFrame:
     """Add ``normalized_log`` and the internal columns the signals need.
 
@@ -46,7 +57,8 @@ def with_canonical_text(df: DataFrame, col: str = "raw_log") -> DataFrame:
 def with_signals(df: DataFrame, col: str = "raw_log") -> DataFrame:
     """Canonical text plus the thirteen signals as flat boolean columns; keeps the internal columns."""
     df = with_canonical_text(df, col)
-    return df.withColumns(S.signal_columns(F.col("normalized_log"), F.col(_RAW), F.col(_PASSES)))
+    df = df.withColumns(S.signal_columns(F.col("normalized_log"), F.col(_RAW), F.col(_PASSES)))
+    return hold(df, ["normalized_log", _RAW, _PASSES, *SIGNAL_KEYS])
 
 
 def flat_signals() -> dict[str, Column]:

@@ -10,6 +10,7 @@ from logtriage.operators.canonical import (
     _RAW,
     drop_internal,
     flat_signals,
+    hold,
     label_columns,
     with_signals,
 )
@@ -46,7 +47,7 @@ def with_signature(df: DataFrame, col: str = "raw_log") -> DataFrame:
     none = F.array().cast("array<string>")
     df = df.withColumn("matched_patterns", F.when(possible, F.array_compact(F.array(*listed))).otherwise(none))
     score = G.signature_score(F.size("matched_patterns") > 0, flat_signals(), F.col(_RAW))
-    return df.withColumn("sig_score", score)
+    return hold(df.withColumn("sig_score", score), ["matched_patterns", "sig_score"])
 
 
 def signature(df: DataFrame, col: str = "raw_log", threshold: float = G.SIGNATURE_THRESHOLD) -> DataFrame:

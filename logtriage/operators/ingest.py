@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logtriage.functions.text import WS, bind, strip
-from logtriage.operators.canonical import canonicalize, names_remote_lookup
+from logtriage.operators.canonical import canonicalize, hold, names_remote_lookup
 from logtriage.operators.ordered import first_distinct
 from logtriage.schema import DATASET_COLUMNS
 
@@ -156,11 +156,12 @@ def extract_observation(df: DataFrame, col: str = "raw_log", name: str = "observ
     JSON is only parsed (in Python) for rows whose own text yields nothing; the others hand over a null.
     """
     df = df.withColumn("_raw", strip(F.coalesce(F.col(col), F.lit(""))))
-    df = df.withColumn("_own", _observation(F.col("_raw")))
+    df = hold(df.withColumn("_own", _observation(F.col("_raw"))), ["_raw", "_own"])
     parse = F.col("_own").isNull() & F.col("_raw").rlike(r'^[\[{"]') & ~is_header_like(F.col("_raw"))
     df = df.withColumn("_flat", flatten_json(F.when(parse, F.col("_raw"))))
     found = F.filter(F.transform("_flat", lambda t: bind(strip(t), _observation)), lambda o: o.isNotNull())
-    return df.withColumn(name, F.coalesce("_own", F.try_element_at(found, F.lit(1)))).drop("_raw", "_own", "_flat")
+    df = df.withColumn(name, F.coalesce("_own", F.try_element_at(found, F.lit(1)))).drop("_raw", "_own", "_flat")
+    return hold(df, [name])
 
 
 @dataclass(frozen=True)
