@@ -54,16 +54,16 @@ def pattern_flags(c: Column, patterns: list[tuple[str, str]]) -> list[Column]:
     return [contains(c, literal) & c.rlike(java_pattern(pattern)) for pattern, literal in patterns]
 
 
-def _listed(patterns: list[tuple[str, str]], flags: list[Column]) -> list[Column]:
+def listed(patterns: list[tuple[str, str]], flags: list[Column]) -> list[Column]:
     return [F.when(flag, F.lit(pattern)) for (pattern, _), flag in zip(patterns, flags, strict=True)]
 
 
 def raw_matches(c: Column) -> Column:
-    return F.array_compact(F.array(*_listed(RAW_PATTERNS, pattern_flags(c, RAW_PATTERNS))))
+    return F.array_compact(F.array(*listed(RAW_PATTERNS, pattern_flags(c, RAW_PATTERNS))))
 
 
 def norm_matches(c: Column) -> Column:
-    return F.array_compact(F.array(*_listed(NORMALIZED_PATTERNS, pattern_flags(c, NORMALIZED_PATTERNS))))
+    return F.array_compact(F.array(*listed(NORMALIZED_PATTERNS, pattern_flags(c, NORMALIZED_PATTERNS))))
 
 
 def hard_negative_context(c: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from logtriage.functions import signals as S
 from logtriage.functions import text as X
 from logtriage.functions.html import html_unescape
 from logtriage.schema import SIGNAL_KEYS
+from logtriage.session import built_once
 
 _RAW = "_lt_raw"
 _TEXT = "_lt_text"
@@ -26,45 +30,47 @@ def hold(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*others, F.inline(F.array(F.struct(*names))))
 
 
-def with_canonical_text(df: DataFrame, col: str = "raw_log") -> DataFrame:
-    """Add ``normalized_log`` and the internal columns the signals need.
+@built_once
+def _text_steps() -> list[tuple[str, Column]]:
+    """Stages from the raw line to the canonical text, in order.
 
-    One projection per stage: each stage reads its input several times, and separate projections keep
-    it computed once. Percent-decoding stops by itself: a pass without effect leaves nothing to decode.
+    Each stage reads its input several times, and a projection per stage keeps it computed once.
+    Percent-decoding stops by itself: a pass without effect leaves nothing to decode.
     """
-    df = df.withColumn(_RAW, F.coalesce(F.col(col), F.lit("")))
-    steps = [_RAW]
-    for number in range(1, X.MAX_DECODE_PASSES + 1):
-        name = f"_lt_d{number}"
-        last = F.col(steps[-1])
-        if number == 1:
-            decoded = X.percent_decode(last)
-        else:
-            moved = last != F.col(steps[-2])
-            decoded = F.when(moved, X.percent_decode(last)).otherwise(last)
-        df = df.withColumn(name, decoded)
-        steps.append(name)
-    passes = sum(
-        ((F.col(after) != F.col(before)).cast("int") for before, after in zip(steps, steps[1:], strict=False)),
-        F.lit(0),
-    )
-    df = df.withColumns({_PASSES: passes, _TEXT: html_unescape(F.col(steps[-1]))}).drop(*steps[1:])
-    df = df.withColumn(_TEXT, X.unicode_unescape(F.col(_TEXT)))
-    df = df.withColumn(_TEXT, X.resolve_lookups(F.col(_TEXT), lowercased_later=True))
-    return df.withColumn("normalized_log", X.cleanup(F.col(_TEXT))).drop(_TEXT)
+    names = [_RAW, *[f"_lt_d{n}" for n in range(1, X.MAX_DECODE_PASSES + 1)]]
+    steps = [(names[1], X.percent_decode(F.col(_RAW)))]
+    for earlier, last, name in zip(names, names[1:], names[2:], strict=False):
+        moved = F.col(last) != F.col(earlier)
+        steps.append((name, F.when(moved, X.percent_decode(F.col(last))).otherwise(F.col(last))))
+    changed = [(F.col(after) != F.col(before)).cast("int") for before, after in zip(names, names[1:], strict=False)]
+    steps.append((_PASSES, reduce(add, changed)))
+    steps.append((_TEXT, html_unescape(F.col(names[-1]))))
+    steps.append((_TEXT, X.unicode_unescape(F.col(_TEXT))))
+    steps.append((_TEXT, X.resolve_lookups(F.col(_TEXT), lowercased_later=True)))
+    steps.append(("normalized_log", X.cleanup(F.col(_TEXT))))
+    return steps
+
+
+@built_once
+def _signal_steps() -> dict[str, Column]:
+    return S.signal_columns(F.col("normalized_log"), F.col(_RAW), F.col(_PASSES))
 
 
 def with_signals(df: DataFrame, col: str = "raw_log") -> DataFrame:
     """Canonical text plus the thirteen signals as flat boolean columns; keeps the internal columns."""
-    df = with_canonical_text(df, col)
-    df = df.withColumns(S.signal_columns(F.col("normalized_log"), F.col(_RAW), F.col(_PASSES)))
-    return hold(df, ["normalized_log", _RAW, _PASSES, *SIGNAL_KEYS])
+    df = df.withColumn(_RAW, F.coalesce(F.col(col), F.lit("")))
+    for name, step in _text_steps():
+        df = df.withColumn(name, step)
+    df = df.withColumns(_signal_steps())
+    decoded = [f"_lt_d{n}" for n in range(1, X.MAX_DECODE_PASSES + 1)]
+    return hold(df.drop(_TEXT, *decoded), ["normalized_log", _RAW, _PASSES, *SIGNAL_KEYS])
 
 
 def flat_signals() -> dict[str, Column]:
     return {key: F.col(key) for key in SIGNAL_KEYS}
 
 
+@built_once
 def label_columns() -> dict[str, Column]:
     """Pattern list and obfuscation label over the columns of ``with_signals``."""
     flags = flat_signals()

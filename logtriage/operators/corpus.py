@@ -287,15 +287,18 @@ def leakage(train: DataFrame, heldout: DataFrame, col: str = "obfuscation_type")
 
 
 def leakage_checked(df: DataFrame, train_split: str, heldout: list[str]) -> DataFrame:
-    """Shared types by stored type and by the type recomputed from the text."""
+    """Shared types by stored type and by the type recomputed from the text, in one pass over the rows."""
     found = canonicalize(df.withColumnRenamed("obfuscation_type", "stored_type"))
-    stored = found.select("split", F.lit("stored").alias("basis"), F.col("stored_type").alias("shared_type"))
-    recomputed = found.select("split", F.lit("recomputed").alias("basis"), F.col("obfuscation_type").alias("shared_type"))
-    both = stored.unionByName(recomputed)
-    cols = ["basis", "shared_type"]
-    return both.filter(F.col("split") == train_split).select(*cols).intersect(
-        both.filter(F.col("split").isin(heldout)).select(*cols)
+    bases = F.array(
+        F.struct(F.lit("stored").alias("basis"), F.col("stored_type").alias("shared_type")),
+        F.struct(F.lit("recomputed").alias("basis"), F.col("obfuscation_type").alias("shared_type")),
     )
+    long = found.select("split", F.inline(bases))
+    sides = long.groupBy("basis", "shared_type").agg(
+        F.bool_or(F.col("split") == train_split).alias("_in_train"),
+        F.bool_or(F.col("split").isin(heldout)).alias("_held_out"),
+    )
+    return sides.filter(F.col("_in_train") & F.col("_held_out")).select("basis", "shared_type")
 
 
 def merge_taxonomy(old: dict[str, str], new: dict[str, str]) -> dict[str, str]:

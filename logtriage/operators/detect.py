@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +17,9 @@ from logtriage.operators.canonical import (
     label_columns,
     with_signals,
 )
+from logtriage.functions.text import contains
 from logtriage.schema import SIGNAL_KEYS
+from logtriage.session import built_once
 
 # Detector keys, display names, and thresholds used where a configuration names none.
 DISPLAY_NAMES = {
@@ -30,24 +35,27 @@ def literal_map(values: dict[str, object]) -> Column:
     return F.create_map(*[F.lit(item) for pair in values.items() for item in pair])
 
 
-def with_signature(df: DataFrame, col: str = "raw_log") -> DataFrame:
-    """Flat signals plus ``matched_patterns`` and ``sig_score``; keeps the internal columns."""
-    df = with_signals(df, col)
+@built_once
+def _match_step() -> Column:
     raw_flags = G.pattern_flags(F.col(_RAW), G.RAW_PATTERNS)
     norm_flags = G.pattern_flags(F.col("normalized_log"), G.NORMALIZED_PATTERNS)
-    listed = G._listed(G.RAW_PATTERNS, raw_flags) + G._listed(G.NORMALIZED_PATTERNS, norm_flags)
+    listed = G.listed(G.RAW_PATTERNS, raw_flags) + G.listed(G.NORMALIZED_PATTERNS, norm_flags)
     # Every pattern needs an opener, a scheme separator or an encoded opener, so most lines skip all ten.
-    possible = (
-        F.contains(F.col(_RAW), F.lit("${"))
-        | F.contains(F.col(_RAW), F.lit("%2"))
-        | F.contains(F.col("normalized_log"), F.lit("${"))
-        | F.contains(F.col(_RAW), F.lit("://"))
-        | F.contains(F.col("normalized_log"), F.lit("://"))
-    )
+    markers = [(_RAW, "${"), (_RAW, "%2"), (_RAW, "://"), ("normalized_log", "${"), ("normalized_log", "://")]
+    possible = reduce(or_, [contains(F.col(name), marker) for name, marker in markers])
     none = F.array().cast("array<string>")
-    df = df.withColumn("matched_patterns", F.when(possible, F.array_compact(F.array(*listed))).otherwise(none))
-    score = G.signature_score(F.size("matched_patterns") > 0, flat_signals(), F.col(_RAW))
-    return hold(df.withColumn("sig_score", score), ["matched_patterns", "sig_score"])
+    return F.when(possible, F.array_compact(F.array(*listed))).otherwise(none)
+
+
+@built_once
+def _score_step() -> Column:
+    return G.signature_score(F.size("matched_patterns") > 0, flat_signals(), F.col(_RAW))
+
+
+def with_signature(df: DataFrame, col: str = "raw_log") -> DataFrame:
+    """Flat signals plus ``matched_patterns`` and ``sig_score``; keeps the internal columns."""
+    df = with_signals(df, col).withColumn("matched_patterns", _match_step()).withColumn("sig_score", _score_step())
+    return hold(df, ["matched_patterns", "sig_score"])
 
 
 def signature(df: DataFrame, col: str = "raw_log", threshold: float = G.SIGNATURE_THRESHOLD) -> DataFrame:
@@ -78,16 +86,17 @@ def detect(df: DataFrame, col: str = "raw_log", model: str = "signature", learne
     """
     out = with_signature(df, col).withColumns(label_columns())
     scores = {"signature": F.col("sig_score"), **{key: F.col(name) for key, name in (learned or {}).items()}}
-    out = out.withColumn("score", F.round(final_score(scores, model), 6))
-    unrounded = final_score(scores, model)
-    out = out.withColumns({"label": G.label_from_score(unrounded), "risk_level": G.risk_level(unrounded)})
+    chosen = final_score(scores, model)
     out = out.withColumns(
         {
-            "explanation": G.explanation(F.col("detected_patterns"), F.col("label")),
+            "score": F.round(chosen, 6),
+            "label": G.label_from_score(chosen),
+            "risk_level": G.risk_level(chosen),
             "model_scores": score_map(scores),
             "latency_ms": F.lit(None).cast("double"),
         }
     )
+    out = out.withColumn("explanation", G.explanation(F.col("detected_patterns"), F.col("label")))
     return drop_internal(out).drop("matched_patterns", "sig_score", *SIGNAL_KEYS)
 
 

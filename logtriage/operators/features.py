@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logtriage.operators.canonical import hold
 from logtriage.schema import SIGNAL_KEYS
 
 # Reserved ids and the encoded length.
@@ -30,16 +31,17 @@ def fit_vocab(df: DataFrame, cols: list[str]) -> DataFrame:
     return chars.withColumn("id", number)
 
 
-def vocab_map(vocab: DataFrame) -> Column:
-    """The vocabulary as a scalar subquery holding one map, for ``encode_chars``."""
-    return vocab.agg(F.map_from_entries(F.collect_list(F.struct("ch", "id"))).alias("m")).select("m").scalar()
+def encode_chars(df: DataFrame, vocab: DataFrame, col: str, name: str = "char_ids", length: int = MAX_LENGTH) -> DataFrame:
+    """Add the ids of the first ``length`` characters, padded with 0; unknown characters are 1.
 
-
-def encode_chars(c: Column, ids: Column, length: int = MAX_LENGTH) -> Column:
-    """Ids of the first ``length`` characters, padded with 0; unknown characters are 1."""
-    chars = characters(F.substring(F.coalesce(c, F.lit("")), 1, length))
-    known = F.transform(chars, lambda ch: F.coalesce(F.try_element_at(ids, ch), F.lit(UNKNOWN_ID)))
-    return F.concat(known, F.array_repeat(F.lit(PAD_ID), F.lit(length) - F.size(chars)))
+    The vocabulary arrives as one map from a scalar subquery: it is computed once and read by every task.
+    """
+    ids = vocab.agg(F.map_from_entries(F.collect_list(F.struct("ch", "id"))).alias("m")).select("m").scalar()
+    chars = characters(F.substring(F.coalesce(F.col(col), F.lit("")), 1, length))
+    df = hold(df.withColumns({"_ids": ids, "_chars": chars}), ["_ids", "_chars"])
+    known = F.transform("_chars", lambda ch: F.coalesce(F.try_element_at(F.col("_ids"), ch), F.lit(UNKNOWN_ID)))
+    padded = F.concat(known, F.array_repeat(F.lit(PAD_ID), F.lit(length) - F.size("_chars")))
+    return df.withColumn(name, padded).drop("_ids", "_chars")
 
 
 def signal_array(signals: str = "signals") -> Column:

@@ -14,6 +14,7 @@ from logtriage.functions.text import WS, bind, strip
 from logtriage.operators.canonical import canonicalize, hold, names_remote_lookup
 from logtriage.operators.ordered import first_distinct
 from logtriage.schema import DATASET_COLUMNS
+from logtriage.session import built_once
 
 # Header cells, token patterns, request prefixes and JSON keys.
 HEADER_MARKERS = ["@timestamp", "@version", "_id", "_index", "_score", "_type"]
@@ -150,17 +151,27 @@ def candidates(df: DataFrame, col: str = "raw_log") -> DataFrame:
     return df.select("*", F.posexplode(texts).alias("pos", "candidate"))
 
 
+@built_once
+def _own_observation() -> Column:
+    return _observation(F.col("_raw"))
+
+
+@built_once
+def _json_observation() -> Column:
+    found = F.filter(F.transform("_flat", lambda t: bind(strip(t), _observation)), lambda o: o.isNotNull())
+    return F.try_element_at(found, F.lit(1))
+
+
 def extract_observation(df: DataFrame, col: str = "raw_log", name: str = "observation") -> DataFrame:
     """Add the observation of each feed row, or null.
 
     JSON is only parsed (in Python) for rows whose own text yields nothing; the others hand over a null.
     """
     df = df.withColumn("_raw", strip(F.coalesce(F.col(col), F.lit(""))))
-    df = hold(df.withColumn("_own", _observation(F.col("_raw"))), ["_raw", "_own"])
+    df = hold(df.withColumn("_own", _own_observation()), ["_raw", "_own"])
     parse = F.col("_own").isNull() & F.col("_raw").rlike(r'^[\[{"]') & ~is_header_like(F.col("_raw"))
     df = df.withColumn("_flat", flatten_json(F.when(parse, F.col("_raw"))))
-    found = F.filter(F.transform("_flat", lambda t: bind(strip(t), _observation)), lambda o: o.isNotNull())
-    df = df.withColumn(name, F.coalesce("_own", F.try_element_at(found, F.lit(1)))).drop("_raw", "_own", "_flat")
+    df = df.withColumn(name, F.coalesce("_own", _json_observation())).drop("_raw", "_own", "_flat")
     return hold(df, [name])
 
 

@@ -22,7 +22,7 @@ from logtriage.operators import metrics as M
 from logtriage.operators import ordered as O
 from logtriage.operators.canonical import canonicalize
 from logtriage.operators.detect import alerts, detect, final_score, score_map, score_table, signature
-from logtriage.operators.features import MAX_LENGTH, encode_chars, fit_vocab, signal_array, vocab_map
+from logtriage.operators.features import encode_chars, fit_vocab, signal_array
 from logtriage.plans import reports as R
 from logtriage.plans import templates as T
 from logtriage.plans.request_logs import (
@@ -693,8 +693,8 @@ def encode_chars_query(spark, sf):
     """Ids under the vocabulary of the training split, so other splits hold unknown characters."""
     logs = request_logs(spark, sf)
     vocab = fit_vocab(logs.filter(F.col("split") == "train"), ["raw_log"])
-    ids = encode_chars(F.col("raw_log"), vocab_map(vocab), MAX_LENGTH)
-    return logs.select("log_id", F.array_join(ids.cast("array<string>"), ",").alias("ids"))
+    encoded = encode_chars(logs, vocab, "raw_log")
+    return encoded.select("log_id", F.array_join(F.col("char_ids").cast("array<string>"), ",").alias("ids"))
 
 
 def _learned(spark: SparkSession, sf: str, variant: str) -> DataFrame:

@@ -18,6 +18,7 @@ from logtriage.plans.templates import (
     GREEK_J,
     ZWSP,
 )
+from logtriage.session import built_once
 
 # (family, label, payload): ``{h}`` is a host, ``{u}`` the path of a page.
 LINE_TEMPLATES = [
@@ -81,26 +82,52 @@ def _pick(values: list, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
 
 
+@built_once
+def _template_columns() -> dict[str, Column]:
+    number = F.col("tpl_id")
+    return {
+        "family": _pick([t[0] for t in LINE_TEMPLATES], number),
+        "label": _pick([t[1] for t in LINE_TEMPLATES], number),
+        "payload": _pick([t[2] for t in LINE_TEMPLATES], number),
+        "host": _pick(ATTACK_HOSTS, F.pmod("user_id", F.lit(len(ATTACK_HOSTS)))),
+    }
+
+
+@built_once
+def _place_columns() -> dict[str, Column]:
+    field = F.when(F.col("label") == 0, F.lit("mixed")).otherwise(
+        _pick(LINE_FIELDS, F.pmod("round_no", F.lit(len(LINE_FIELDS))))
+    )
+    split_map = F.create_map(*[F.lit(item) for pair in LINE_SPLITS.items() for item in pair])
+    benign = _pick(BENIGN_SPLITS, F.pmod("round_no", F.lit(len(BENIGN_SPLITS))))
+    filled = F.replace(swap(F.col("payload"), "{u}", "{h}"), F.lit("{h}"), F.coalesce("_path", "host"))
+    return {"field": field, "split": F.coalesce(F.try_element_at(split_map, F.col("family")), benign), "payload": filled}
+
+
+@built_once
+def _line_column() -> Column:
+    field, payload = F.col("field"), F.col("payload")
+    return (
+        F.when(field == "minimal_query", F.concat(F.lit("GET /?q="), payload, F.lit(" HTTP/1.1")))
+        .when(field == "user_agent_minimal", F.concat(F.lit("Request from User-Agent: "), payload))
+        .when(field == "body", F.concat(F.lit("POST /search HTTP/1.1 Host: app.local Body: query="), payload))
+        .otherwise(payload)
+    )
+
+
 def from_events(events: DataFrame, pages: DataFrame) -> DataFrame:
     """One request line per event; works on a streaming ``events`` as well.
 
     Only lines that show a page path are joined with ``pages``. The other lines carry a key of their own that
     matches nothing, so the unmatched side of the join spreads over all partitions.
     """
-    round_no = F.floor(F.col("event_id") / len(LINE_TEMPLATES))
     lines = events.select(
         F.col("event_id").alias("log_id"),
         "ts",
         "user_id",
         F.pmod("event_id", F.lit(len(LINE_TEMPLATES))).alias("tpl_id"),
-        round_no.alias("round_no"),
-    ).withColumns(
-        {
-            "family": _pick([t[0] for t in LINE_TEMPLATES], F.col("tpl_id")),
-            "label": _pick([t[1] for t in LINE_TEMPLATES], F.col("tpl_id")),
-            "payload": _pick([t[2] for t in LINE_TEMPLATES], F.col("tpl_id")),
-        }
-    )
+        F.floor(F.col("event_id") / len(LINE_TEMPLATES)).alias("round_no"),
+    ).withColumns(_template_columns())
     page_count = pages.agg(F.count("page_id").alias("n")).select("n").scalar()
     shows_page = F.contains(F.col("payload"), F.lit("{u}"))
     lines = lines.withColumn(
@@ -109,35 +136,24 @@ def from_events(events: DataFrame, pages: DataFrame) -> DataFrame:
     paths = pages.select(
         F.col("page_id").alias("_page"), F.regexp_extract("url", r"^https?://[^/]+(/.*)$", 1).alias("_path")
     )
-    lines = lines.join(paths, "_page", "left")
-    host = _pick(ATTACK_HOSTS, F.pmod("user_id", F.lit(len(ATTACK_HOSTS))))
-    field = F.when(F.col("label") == 0, F.lit("mixed")).otherwise(
-        _pick(LINE_FIELDS, F.pmod("round_no", F.lit(len(LINE_FIELDS))))
-    )
-    split_map = F.create_map(*[F.lit(item) for pair in LINE_SPLITS.items() for item in pair])
-    split = F.coalesce(
-        F.try_element_at(split_map, F.col("family")),
-        _pick(BENIGN_SPLITS, F.pmod("round_no", F.lit(len(BENIGN_SPLITS)))),
-    )
-    lines = lines.withColumns({"host": host, "field": field, "split": split})
-    filled = F.replace(swap(F.col("payload"), "{u}", "{h}"), F.lit("{h}"), F.coalesce("_path", "host"))
-    lines = lines.withColumn("payload", filled)
-    raw = (
-        F.when(F.col("field") == "minimal_query", F.concat(F.lit("GET /?q="), "payload", F.lit(" HTTP/1.1")))
-        .when(F.col("field") == "user_agent_minimal", F.concat(F.lit("Request from User-Agent: "), "payload"))
-        .when(
-            F.col("field") == "body",
-            F.concat(F.lit("POST /search HTTP/1.1 Host: app.local Body: query="), "payload"),
-        )
-        .otherwise(F.col("payload"))
-    )
+    lines = lines.join(paths, "_page", "left").withColumns(_place_columns())
     return lines.select(
-        "log_id", "ts", "user_id", "tpl_id", "family", "label", "host", "field", "split", raw.alias("raw_log")
+        "log_id", "ts", "user_id", "tpl_id", "family", "label", "host", "field", "split", _line_column().alias("raw_log")
     )
 
 
+def fan_out(df: DataFrame, key: str) -> DataFrame:
+    """Spread a table that is read by fewer tasks than there are cores; larger tables are left as they are.
+
+    Decoding a line costs far more than moving it, so a small file is worth one exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def request_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_events(read_table(spark, sf_dir, "events"), read_table(spark, sf_dir, "pages"))
+    events = fan_out(read_table(spark, sf_dir, "events"), "event_id")
+    return from_events(events, read_table(spark, sf_dir, "pages"))
 
 
 def _density(c: Column) -> Column:

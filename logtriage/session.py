@@ -2,11 +2,34 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
+
+def built_once(fn: Callable[..., T]) -> Callable[..., T]:
+    """Keep the columns a function builds from names, per running application.
+
+    A column over names is a recipe that fits any table, and building one takes thousands of calls to the JVM.
+    """
+    kept: dict[tuple, T] = {}
+
+    @functools.wraps(fn)
+    def build(*args: object) -> T:
+        context = SparkSession.active().sparkContext
+        key = (context.applicationId, id(context), args)
+        if key not in kept:
+            kept[key] = fn(*args)
+        return kept[key]
+
+    return build
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set."""
