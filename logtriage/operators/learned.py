@@ -73,22 +73,24 @@ def log_loss(scored: DataFrame, name: str) -> float:
     return scored.agg(F.avg(loss)).first()[0]
 
 
-def select_model(train_df: DataFrame, val_df: DataFrame, variant: str, grid: tuple[float, ...] = (1e-4, 1e-2)) -> Trained:
+def select_model(
+    train_df: DataFrame, val_df: DataFrame, variant: str, grid: tuple[float, ...] = (1e-4, 1e-2), max_iter: int = 30
+) -> Trained:
     """Fit each regularization of the grid and keep the one with the least loss on the fixed validation split."""
     best: Trained | None = None
     for reg_param in grid:
-        model = train(train_df, variant, reg_param)
+        model = train(train_df, variant, reg_param, max_iter)
         loss = log_loss(score(val_df, model, "_p"), "_p")
         if best is None or loss < best.validation_loss:
             best = Trained(variant, model, reg_param, loss)
     return best
 
 
-def train_all(df: DataFrame, variants: list[str] | None = None) -> dict[str, PipelineModel]:
+def train_all(df: DataFrame, variants: list[str] | None = None, max_iter: int = 30) -> dict[str, PipelineModel]:
     """All variants on one feature table, read once and cached for the iterations."""
     table = feature_table(df).cache()
     try:
-        return {variant: train(table, variant) for variant in variants or list(VARIANTS)}
+        return {variant: train(table, variant, max_iter=max_iter) for variant in variants or list(VARIANTS)}
     finally:
         table.unpersist()
 

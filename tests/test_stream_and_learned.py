@@ -57,7 +57,7 @@ def test_learned_detectors(spark, sf, tmp_path):
     table = learned.feature_table(request_logs(spark, sf)).cache()
     train = table.filter(F.col("split").isin("train", "ood_stress_test", "unseen_obfuscation_test"))
     val = table.filter(F.col("split").isin("val", "adversarial_evasion_test"))
-    best = learned.select_model(train, val, "raw", grid=(1e-4, 1.0))
+    best = learned.select_model(train, val, "raw", grid=(1e-4, 1.0), max_iter=6)
     assert best.reg_param == 1e-4 and best.validation_loss < 0.7
     learned.save_model(best.model, features.fit_vocab(train, ["raw_log"]), f"{tmp_path}/m")
     scored = learned.score(table, learned.load_model(f"{tmp_path}/m"), "score_raw")
@@ -70,5 +70,5 @@ def test_learned_detectors(spark, sf, tmp_path):
     assert both.filter(F.size("model_scores") != 2).count() == 0
     info = learned.runtime_info(spark, ["raw"], vocab_loaded=True).first()
     assert info.fallback == "raw" and learned.runtime_info(spark, []).first().fallback == "signature"
-    models = learned.train_all(table.filter("log_id % 5 = 0"), ["signal"])
+    models = learned.train_all(table.filter("log_id % 5 = 0"), ["signal"], max_iter=3)
     assert "score_signal" in learned.score_all(table, models).columns
