@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ from logtriage.schema import SIGNAL_KEYS
 
 VARIANTS = {"raw": "raw_log", "normalized": "normalized_log", "signal": "normalized_log"}
 GRAM_SIZES = (2, 3, 4)
-HASH_BITS = 14
+HASH_BITS = 16
 
 
 @dataclass(frozen=True)
@@ -45,15 +45,17 @@ def pipeline(variant: str, reg_param: float = 1e-4, max_iter: int = 30) -> Pipel
         inputCol=column, outputCol="_chars", pattern="(?s).", gaps=False, toLowercase=False, minTokenLength=1
     )
     grams = [NGram(n=n, inputCol="_chars", outputCol=f"_grams{n}") for n in GRAM_SIZES]
-    hashed = [
-        HashingTF(inputCol=f"_grams{n}", outputCol=f"_tf{n}", numFeatures=1 << HASH_BITS) for n in GRAM_SIZES
-    ]
-    inputs = [f"_tf{n}" for n in GRAM_SIZES] + (["signal_vector"] if variant == "signal" else [])
-    assembled = VectorAssembler(inputCols=inputs, outputCol="_features")
+    # One hashed bag of terms: assembling vectors would name every one of the hashed features in the schema.
+    # The signals that are set join the bag as thirteen more binary features.
+    bags = [f"_grams{n}" for n in GRAM_SIZES]
+    if variant == "signal":
+        bags.append("transform(detected_patterns, p -> concat('signal ', p))")
+    together = SQLTransformer(statement=f"SELECT *, concat({', '.join(bags)}) AS _terms FROM __THIS__")
+    hashed = HashingTF(inputCol="_terms", outputCol="_features", numFeatures=1 << HASH_BITS)
     regression = LogisticRegression(
         featuresCol="_features", labelCol="label", weightCol="class_weight", regParam=reg_param, maxIter=max_iter
     )
-    return Pipeline(stages=[chars, *grams, *hashed, assembled, regression])
+    return Pipeline(stages=[chars, *grams, together, hashed, regression])
 
 
 def train(df: DataFrame, variant: str, reg_param: float = 1e-4, max_iter: int = 30) -> PipelineModel:

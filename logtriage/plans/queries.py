@@ -36,7 +36,7 @@ from logtriage.plans.request_logs import (
     scored_logs,
 )
 from logtriage.schema import SIGNAL_KEYS
-from logtriage.session import new_folder
+from logtriage.session import cut_lineage, new_folder
 from logtriage.sources import datasets as D
 from logtriage.sources.alerts import alert_rows
 from logtriage.sources.logs import non_blank, scan_lines
@@ -698,7 +698,8 @@ def encode_chars_query(spark, sf):
 
 
 def _learned(spark: SparkSession, sf: str, variant: str) -> DataFrame:
-    table = L.feature_table(request_logs(spark, sf))
+    # Training reads the features many times, so they are computed once.
+    table = cut_lineage(L.feature_table(request_logs(spark, sf)))
     model = L.train(table.filter(F.col("split").isin("train", "val")), variant, max_iter=10)
     scored = L.score(table, model, "score")
     predicted = (F.col("score") >= G.LEARNED_THRESHOLD).cast("int").alias("predicted")
