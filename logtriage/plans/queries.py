@@ -27,6 +27,7 @@ from logtriage.plans import reports as R
 from logtriage.plans import templates as T
 from logtriage.plans.request_logs import (
     access_lines,
+    fan_out,
     feed_lines,
     from_events,
     packet_rows,
@@ -55,6 +56,10 @@ def register(fn: Query) -> Query:
     return fn
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return fan_out(read_table(spark, sf, "documents"), "doc_id")
+
+
 def joined(c: str | Column) -> Column:
     return F.array_join(c, "|")
 
@@ -72,7 +77,7 @@ def comparison(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def scan_lines_query(spark, sf):
-    return non_blank(scan_lines(read_table(spark, sf, "documents"), "text", ["doc_id"]))
+    return non_blank(scan_lines(documents(spark, sf), "text", ["doc_id"]))
 
 
 @register
@@ -154,7 +159,7 @@ def canonicalize_query(spark, sf):
 @register
 def canonicalize_texts(spark, sf):
     """Whole documents and conversation turns, which hold no lookups."""
-    docs = read_table(spark, sf, "documents").select(
+    docs = documents(spark, sf).select(
         F.lit("document").alias("kind"), F.col("doc_id").alias("key"), F.lit(0).alias("turn"), "text"
     )
     turns = read_table(spark, sf, "conversations").select(
@@ -684,7 +689,7 @@ def class_weights(spark, sf):
 @register
 def char_vocab(spark, sf):
     lines = canonicalize(request_logs(spark, sf)).select("raw_log", "normalized_log")
-    docs = read_table(spark, sf, "documents").select(F.col("text").alias("raw_log"), F.lit("").alias("normalized_log"))
+    docs = documents(spark, sf).select(F.col("text").alias("raw_log"), F.lit("").alias("normalized_log"))
     return fit_vocab(lines.unionByName(docs), ["raw_log", "normalized_log"])
 
 
