@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logtriage.llm import token_file
+from logtriage.llm import packing, token_file
 from logtriage.session import new_folder
 
 
@@ -25,9 +25,14 @@ def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_digest(spark, path)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer(), end_id=0, capacity=2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op4_token_file,
+        op7_packing,
     )
 }
