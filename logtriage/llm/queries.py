@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logtriage.llm import packing, token_file
+from logtriage.llm import near_dups, packing, token_file
 from logtriage.session import new_folder
 
 
@@ -25,6 +25,10 @@ def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_digest(spark, path)
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer(), end_id=0, capacity=2048)
 
@@ -33,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op4_token_file,
+        op5_near_duplicates,
         op7_packing,
     )
 }
