@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logtriage.llm import near_dups, packing, suffix_index, token_file
+from logtriage.llm import near_dups, packing, suffix_index, token_file, toxicity
 from logtriage.session import new_folder
 
 
@@ -19,6 +19,10 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_index.digest(suffix_index.without_repeats(table(spark, sf_dir, "documents"), length=400))
 
@@ -40,6 +44,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_toxicity,
         op2_suffix_dedup,
         op4_token_file,
         op5_near_duplicates,
