@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logtriage.llm import decontam, near_dups, packing, suffix_index, token_file, toxicity
+from logtriage.llm import decontam, line_templates, near_dups, packing, suffix_index, token_file, toxicity
 from logtriage.session import new_folder
 
 
@@ -45,6 +45,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer(), end_id=0, capacity=2048)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.line_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -54,5 +58,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_near_duplicates,
         op6_decontamination,
         op7_packing,
+        op9_line_dedup,
     )
 }

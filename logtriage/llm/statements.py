@@ -1,3 +1,27 @@
 """Plain SQL for the registered queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+OP9_LINE_DEDUP = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT r, doc_id, unnest(range(len(s))) AS k, unnest(s) AS line
+      FROM (SELECT r, doc_id, string_split(text, chr(10)) AS s FROM d)),
+m AS (SELECT r, doc_id, k, line,
+             regexp_replace(trim(regexp_replace(line, '[ \t\r\x0B\f]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m
+      FROM l),
+p AS (SELECT *, string_split(m, ' ') AS w, len(string_split(m, ' ')) AS n FROM m),
+h AS (SELECT *, 2 + (n - 2) // 2 AS mid FROM p WHERE m <> ''),
+t AS (SELECT r, doc_id, k, n || '|' || m AS template FROM h
+      UNION ALL
+      SELECT r, doc_id, k, n || '|a|' || array_to_string(w[1:2], ' ') || '|' || array_to_string(w[mid + 1:n], ' ') FROM h WHERE n >= 8
+      UNION ALL
+      SELECT r, doc_id, k, n || '|b|' || array_to_string(w[1:mid], ' ') || '|' FROM h WHERE n >= 8),
+found AS (SELECT template, min(doc_id) AS first FROM t GROUP BY template HAVING count(DISTINCT r) >= 5),
+gone AS (SELECT DISTINCT t.r, t.k FROM t JOIN found f ON t.template = f.template WHERE t.doc_id <> f.first)
+SELECT any_value(l.doc_id) AS doc_id, count(*) AS n_lines, count(g.k) AS n_dropped,
+       sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.k) FILTER (WHERE g.k IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN gone g ON l.r = g.r AND l.k = g.k
+GROUP BY l.r
+"""
+
+ORACLES: dict[str, str] = {
+    "op9_line_dedup": OP9_LINE_DEDUP,
+}
