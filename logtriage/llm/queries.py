@@ -7,7 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logtriage.llm import decontam, line_templates, near_dups, packing, suffix_index, token_file, toxicity
+from logtriage.llm import (
+    decontam,
+    line_templates,
+    near_dups,
+    packing,
+    suffix_index,
+    token_file,
+    toxicity,
+    url_templates,
+)
 from logtriage.session import new_folder
 
 
@@ -45,6 +54,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer(), end_id=0, capacity=2048)
 
 
+def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.line_digest(table(spark, sf_dir, "documents"))
 
@@ -58,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_near_duplicates,
         op6_decontamination,
         op7_packing,
+        op8_url_templates,
         op9_line_dedup,
     )
 }

@@ -22,6 +22,67 @@ FROM l LEFT JOIN gone g ON l.r = g.r AND l.k = g.k
 GROUP BY l.r
 """
 
+
+
+def _level(k: int) -> str:
+    """One level of the template tree: a<k> to a<k+1>."""
+    return f"""
+b{k} AS MATERIALIZED (
+  SELECT host, template, seg[{k + 1}] AS s, sum(n) AS n, sum(labelled) AS l, sum(good) AS g
+  FROM a{k} WHERE len(seg) > {k} GROUP BY ALL),
+o{k} AS MATERIALIZED (
+  SELECT b.host, b.template, b.s
+  FROM b{k} b JOIN (SELECT host, template, sum(l) AS al, sum(g) AS ag FROM b{k} GROUP BY ALL) t
+    ON b.host = t.host AND b.template = t.template
+  WHERE n >= 5 AND l * ag * (al - ag) > 0
+    AND CAST(g * al - ag * l AS DOUBLE) * CAST(g * al - ag * l AS DOUBLE) >= 3.84::DOUBLE * CAST(l * ag * (al - ag) AS DOUBLE)),
+a{k + 1} AS MATERIALIZED (
+  SELECT a.host, a.masked, a.seg, a.n, a.labelled, a.good,
+         a.template || CASE WHEN len(a.seg) <= {k} THEN '' ELSE '/' || coalesce(o.s, '*') END AS template
+  FROM a{k} a LEFT JOIN o{k} o ON a.host = o.host AND a.template = o.template AND a.seg[{k + 1}] = o.s),"""
+
+
+OP8_URL_TEMPLATES = (
+    r"""
+WITH r AS (
+  SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest
+  FROM pages),
+h AS (
+  SELECT page_id, path, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                  'abcdefghijklmnopqrstuvwxyz') AS host
+  FROM (SELECT *, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)),
+u AS MATERIALIZED (
+  SELECT *, regexp_replace(path, '[0-9]+', '*', 'g') AS masked,
+         CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS decided
+  FROM (SELECT *, CASE
+          WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+          WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+          WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+          WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+          WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+        FROM h)),
+a0 AS MATERIALIZED (
+  SELECT host, masked, list_filter(string_split(masked, '/'), lambda x: x <> '') AS seg, count(*) AS n,
+         count(decided) AS labelled, count(*) FILTER (WHERE decided = 'allow') AS good, '' AS template
+  FROM u GROUP BY host, masked),"""
+    + "".join(map(_level, range(3)))
+    + """
+f AS MATERIALIZED (
+  SELECT host, masked, labelled, good, template || CASE WHEN len(seg) > 3 THEN '/**' ELSE '' END AS template FROM a3),
+e AS (SELECT CASE WHEN sum(labelled) > 0 THEN sum(good)::DOUBLE / sum(labelled) ELSE 1.0 END AS share FROM f),
+s AS (
+  SELECT host, (sum(good) + 4.0::DOUBLE * any_value(share)) / (sum(labelled) + 4.0::DOUBLE) AS host_share
+  FROM f, e GROUP BY host),
+p AS (
+  SELECT f.host, f.template, (sum(good) + 4.0::DOUBLE * any_value(host_share)) / (sum(labelled) + 4.0::DOUBLE) AS purity
+  FROM f JOIN s ON f.host = s.host GROUP BY f.host, f.template)
+SELECT u.page_id, u.host, u.path, u.rule,
+       coalesce(u.decided, CASE WHEN p.purity < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM u JOIN f ON u.host = f.host AND u.masked = f.masked JOIN p ON f.host = p.host AND f.template = p.template
+"""
+)
+
 ORACLES: dict[str, str] = {
+    "op8_url_templates": OP8_URL_TEMPLATES,
     "op9_line_dedup": OP9_LINE_DEDUP,
 }
