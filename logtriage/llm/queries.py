@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logtriage.llm import (
     decontam,
+    kd_search,
     line_templates,
     near_dups,
     packing,
     suffix_index,
     token_file,
+    token_rollups,
     toxicity,
     url_templates,
 )
@@ -36,6 +39,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_index.digest(suffix_index.without_repeats(table(spark, sf_dir, "documents"), length=400))
 
 
+def op3_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "token-file")
     token_file.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer(), end_id=2)
@@ -62,16 +69,23 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return token_rollups.corpus_rollup(docs, labels, new_folder(spark, "rollup"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity,
         op2_suffix_dedup,
+        op3_kd_search,
         op4_token_file,
         op5_near_duplicates,
         op6_decontamination,
         op7_packing,
         op8_url_templates,
         op9_line_dedup,
+        op10_token_rollups,
     )
 }

@@ -82,7 +82,34 @@ FROM u JOIN f ON u.host = f.host AND u.masked = f.masked JOIN p ON f.host = p.ho
 """
 )
 
+#: Vectors are compared component by component; every query meets every row.
+OP3_KD_SEARCH = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id AS query_id, v AS q FROM v WHERE vec_id % 100 = 0),
+s AS (
+  SELECT query_id, vec_id, CAST(list_inner_product(q::DOUBLE[], v::DOUBLE[]) AS BIGINT) AS score
+  FROM q JOIN v ON vec_id <> query_id AND len(q) = len(v)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+OP10_TOKEN_ROLLUPS = r"""
+WITH f AS (SELECT doc_id AS labelled, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT *, coalesce(text, '') AS t FROM documents LEFT JOIN f ON doc_id = labelled WHERE toxic IS DISTINCT FROM 1),
+c AS (
+  SELECT source, lang, 'words' AS tokenizer,
+         len(regexp_extract_all(t, CASE WHEN quality = 0 THEN '[^ \t\n\x0B\f\r]*\p{L}[^ \t\n\x0B\f\r]*'
+                                        ELSE '[^ \t\n\x0B\f\r]+' END)) AS n FROM d
+  UNION ALL
+  SELECT source, lang, 'marks', len(regexp_extract_all(t, '[\p{L}\p{N}]+|[^ \t\n\x0B\f\r\p{L}\p{N}]')) FROM d)
+SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM c GROUP BY ALL
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_kd_search": OP3_KD_SEARCH,
     "op8_url_templates": OP8_URL_TEMPLATES,
     "op9_line_dedup": OP9_LINE_DEDUP,
+    "op10_token_rollups": OP10_TOKEN_ROLLUPS,
 }
