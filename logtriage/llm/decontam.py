@@ -180,4 +180,4 @@ def _scan(scan: object, shared: object, batches: Iterator[pa.RecordBatch]) -> It
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
     """The rows of ``docs`` that match no item; rows with a null id stay, since they cannot be told apart."""
     hits = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("hit")).distinct()
-    return docs.join(hits, F.col("doc_id") == F.col("hit"), "left_anti")
+    return docs.join(hits, docs["doc_id"] == hits["hit"], "left_anti")

@@ -63,13 +63,14 @@ def recurring(docs: DataFrame, min_docs: int) -> DataFrame:
 
 
 def _kept(docs: DataFrame, min_docs: int) -> DataFrame:
-    """``docs`` with ``_lines`` (all) and ``_stay`` (those that stay, in order)."""
+    """``doc_id``, ``text``, ``_all`` (the whole row), ``_lines`` and ``_stay`` (the lines that stay, in order)."""
     posted = _parsed(docs).select("_id", "_row", F.explode(F.array_distinct(F.flatten("_templates"))).alias("_template"))
     found = recurring(docs, min_docs).withColumnRenamed("template", "_t")
     gone = posted.join(found, F.col("_template") == F.col("_t")).where(~F.col("_id").eqNullSafe(F.col("first")))
     gone = gone.groupBy("_row").agg(F.collect_set("_template").alias("_gone"))  # bounded by the lines of one text
-    text = F.coalesce(docs["text"], F.lit(""))
-    own = docs.withColumns({"_key": F.xxhash64(docs["doc_id"], text), "_lines": F.split(text, "\n")})
+    own = docs.select("doc_id", "text", F.struct("*").alias("_all"))  # other columns keep their names in there
+    text = F.coalesce("text", F.lit(""))
+    own = own.withColumns({"_key": F.xxhash64("doc_id", text), "_lines": F.split(text, "\n")})
     joined = own.join(gone, F.col("_key") == F.col("_row"), "left").withColumn("_templates", F.expr(TEMPLATES))
     stay = F.filter("_lines", lambda line, k: ~F.arrays_overlap(F.get("_templates", k), F.col("_gone")))
     return joined.withColumn("_stay", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(stay))
@@ -86,8 +87,9 @@ def line_digest(docs: DataFrame, min_docs: int = 5) -> DataFrame:
 def drop_recurring(docs: DataFrame, min_docs: int = 5) -> DataFrame:
     """``docs`` with the lines that stay as ``text`` and, where there is such a column, their length as ``n_chars``."""
     found = _kept(docs, min_docs)
-    found = found.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join("_stay", "\n")))
-    if "n_chars" in docs.columns:
-        n_chars = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text"))
-        found = found.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    same, joined = F.col("_gone").isNull(), F.array_join("_stay", "\n")
+    new = {c: F.col("_all")[c] for c in docs.columns}
+    new["text"] = F.when(same, F.col("text")).otherwise(joined)
+    if "n_chars" in new:
+        new["n_chars"] = F.when(same, new["n_chars"]).otherwise(F.length(joined)).cast(docs.schema["n_chars"].dataType)
+    return found.select(*(column.alias(c) for c, column in new.items()))

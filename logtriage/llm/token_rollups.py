@@ -105,6 +105,7 @@ def corpus_rollup(docs: DataFrame, labels: DataFrame, path: str) -> DataFrame:
     """Load the corpus under two tokenizer versions, revise the counts of low quality, delete what is toxic; the first
     batch arrives twice."""
     rollup = TokenRollup(docs.sparkSession, path)
+    docs = docs.select("doc_id", "text", "source", "lang")
     flags = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     flags = flags.withColumnRenamed("doc_id", "labelled")
     known = docs.join(flags, F.col("doc_id") == F.col("labelled"))

@@ -19,7 +19,7 @@ KEPT_PIECES = 350_000
 KEPT_LENGTH = 48
 
 #: A letter, then punctuation to the end; pieces with what else tokenizers split on (apostrophes) are left alone.
-_TAIL = re.compile(rb"([^']*[a-z])([^a-z0-9'\x80-\xff]+)\Z")
+_TAIL = re.compile(rb"([^']*[a-z])([^A-Za-z0-9'\x80-\xff]+)\Z")
 _LETTERS = re.compile(rb"[a-z]+\Z")
 
 
