@@ -11,9 +11,8 @@ keys that the batch shares with a level, or that it holds twice, are reported. T
 levels of equal rank merge into one of the next, so a row is rewritten a logarithmic number of times.
 
 **Exact spans.** Rows with a reported key are looked at closely: a run that occurs twice as a whole is repeated as a
-whole. For what is left of the same keys, single strings are fingerprinted (64 bits) and counted.
-
-Every step is a join or a count with map-side combining; no key gathers in one task.
+whole. What is left under the same keys is compared string by string (64-bit fingerprints): the texts of a key's runs meet
+in one task if they are few, else all their strings are counted with map-side combining, so no key gathers in one task.
 
 Cases: a null text is an empty one; texts shorter than ``length`` have no suffix rows; a long text is scanned in blocks;
 rows that repeat (``doc_id``, text) are separate documents and therefore repeat each other; a null ``doc_id`` is carried
@@ -36,6 +35,8 @@ from logtriage.session import new_folder
 
 #: Strings whose anchors are found at a time; bounds memory for long texts.
 BLOCK = 1 << 18
+#: Runs under one key, at about ``1.3 * length`` bytes each, that are compared in one task.
+FEW_RUNS = 4096
 _PLACE = np.uint64((1 << 19) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _LETTERS = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -95,12 +96,6 @@ def suffix_rows(text: bytes, length: int, seed: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
 
 
-def string_prints(text: bytes, first: int, strings: int, length: int) -> np.ndarray:
-    data = np.frombuffer(text, dtype=np.uint8)[first : first + strings - 1 + length]
-    start = np.arange(strings)
-    return Fingerprints(data, BLOCK + length).of(start, start + length).astype(np.int64)
-
-
 def addressed(docs: DataFrame) -> DataFrame:
     """``row`` (64 bits that stand for (``doc_id``, text)), ``doc_id``, ``text``."""
     return texts(docs).withColumn("row", F.xxhash64("doc_id", "text"))
@@ -172,9 +167,74 @@ def covered(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return merged
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, seed: int = 160, batches: int = 4) -> DataFrame:
-    """``row``, ``doc_id``, ``text`` and ``spans`` (maximal stretches of bytes covered by repeated strings, as [start,
-    end] pairs) of all documents; the documents arrive in ``batches``, dealt by their ids."""
+def _run_texts(addressed_docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+    """``key``, ``row``, ``first``, ``data`` (bytes) of the runs in ``asked`` (``row``, ``key``, ``first``, ``strings``)."""
+    runs = asked.groupBy("row").agg(F.collect_list(F.struct("key", "first", "strings")).alias("runs"))  # of one text
+
+    def read(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            texts_, runs_ = batch.column(2).cast(pa.binary()), batch.column(3).to_pylist()
+            for row, text, own in zip(batch.column(0).to_pylist(), texts_, runs_, strict=True):
+                text = text.as_py()
+                data = [text[r["first"] : r["first"] + r["strings"] - 1 + length] for r in own]
+                keys, firsts = ([r[c] for r in own] for c in ("key", "first"))
+                columns = [pa.array(keys, pa.int64()), pa.array([row] * len(own), pa.int64())]
+                columns += [pa.array(firsts, pa.int32()), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "row", "first", "data"])
+
+    met = addressed_docs.join(runs, "row").select("row", "doc_id", "text", "runs")
+    return met.mapInArrow(read, "key bigint, row bigint, first int, data binary")
+
+
+def _prints(data: bytes, length: int) -> np.ndarray:
+    """Fingerprints of all strings of a run."""
+    start = np.arange(len(data) - length + 1)
+    return Fingerprints(np.frombuffer(data, dtype=np.uint8), BLOCK + length).of(start, start + length)
+
+
+def _spans_by_key(run_texts: DataFrame, length: int) -> DataFrame:
+    """``row``, ``start``, ``end`` of the strings that runs of one key share; a key's runs are few."""
+
+    def share(own: pa.Table) -> pa.Table:
+        rows, firsts, data = (own.column(c).to_pylist() for c in ("row", "first", "data"))
+        prints = [_prints(x, length) for x in data]
+        _, place, times = np.unique(np.concatenate(prints), return_inverse=True, return_counts=True)
+        twice, at, found = times[place] > 1, 0, []
+        for row, first, own_prints in zip(rows, firsts, prints, strict=True):
+            starts = np.flatnonzero(twice[at : at + len(own_prints)])
+            at += len(own_prints)
+            if len(starts):
+                breaks = np.flatnonzero(np.diff(starts) > length) + 1
+                for part in np.split(starts, breaks):
+                    found.append((row, first + int(part[0]), first + int(part[-1]) + length))
+        columns = list(zip(*found, strict=True)) if found else [[], [], []]
+        kinds = (pa.int64(), pa.int32(), pa.int32())
+        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["row", "start", "end"])
+
+    return run_texts.groupBy("key").applyInArrow(share, "row bigint, start int, end int")
+
+
+def _spans_by_string(run_texts: DataFrame, length: int) -> DataFrame:
+    """The same for keys with very many runs: every string is counted, so no key gathers in one task."""
+
+    def fingerprint(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            prints = [_prints(x.as_py(), length).astype(np.int64) for x in batch.column(3)]
+            columns = [batch.column(1), batch.column(2), pa.array(prints, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "first", "prints"])
+
+    strings = run_texts.mapInArrow(fingerprint, "row bigint, first int, prints array<bigint>")
+    each = stored(strings, "strings").select("row", "first", F.posexplode("prints").alias("k", "print"))
+    twice = each.groupBy("print").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("print")
+    start = (F.col("first") + F.col("k")).alias("start")
+    return each.join(twice, "print").select("row", start, (F.col("first") + F.col("k") + length).alias("end"))
+
+
+def repeated_spans(
+    docs: DataFrame, length: int = 400, seed: int = 96, batches: int = 4, few: int = FEW_RUNS
+) -> DataFrame:
+    """``doc_id``, ``text`` and ``spans`` (maximal stretches of bytes covered by repeated strings, as [start, end] pairs;
+    null for none) of all documents; the documents arrive in ``batches``, dealt by their ids."""
     spark = docs.sparkSession
     index = SuffixIndex(spark, length, seed)
     turn = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
@@ -182,52 +242,32 @@ def repeated_spans(docs: DataFrame, length: int = 400, seed: int = 160, batches:
     matched = [index.add(plain.where(turn == k)) for k in range(batches)]
     keys = functools.reduce(DataFrame.unionByName, matched).distinct()
     live = stored(index.rows().join(keys, "key"), "live")
-    whole = live.groupBy("key", "run").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "first")).alias("one"))
-    whole = stored(whole, "runs")
-    open_keys = whole.where("times = 1").select("key").distinct().withColumn("open", F.lit(True))
-    judged = live.join(whole, ["key", "run"]).join(open_keys, "key", "left")
-    shown = F.col("open") & ((F.col("times") == 1) | (F.struct("row", "first") == F.col("one")))
-    run = F.struct("first", "strings", (F.col("times") > 1).alias("whole"), F.coalesce(shown, F.lit(False)).alias("shown"))
-    touched = judged.groupBy("row").agg(F.collect_list(run).alias("runs"))  # bounded by the length of one text
-    near = stored(addressed(docs).join(touched, "row"), "touched")
     for _, path in index.levels:
         forget(spark, path)
-
-    def fingerprint(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
-            texts_, runs = batch.column(1).cast(pa.binary()), batch.column(2)
-            for row, text, own in zip(batch.column(0).to_pylist(), texts_, runs.to_pylist(), strict=True):
-                shown = [(r["first"], r["strings"]) for r in own if r["shown"]]
-                if shown:
-                    text = text.as_py()
-                    prints = [string_prints(text, *r, length) for r in shown]
-                    columns = [np.full(len(shown), row), np.array([r[0] for r in shown], dtype=np.int32)]
-                    columns = [*map(pa.array, columns), pa.array(prints, pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(columns, ["row", "first", "prints"])
-
-    strings = near.select("row", "text", "runs").mapInArrow(fingerprint, "row bigint, first int, prints array<bigint>")
-    strings = stored(strings, "strings")
-    each = strings.select("row", "first", F.posexplode("prints").alias("k", "print"))
-    twice = each.groupBy("print").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("print")
-    starts = each.join(twice, "print").select("row", (F.col("first") + F.col("k")).alias("start"))
-    starts = starts.groupBy("row").agg(F.collect_set("start").alias("starts"))
+    whole = live.groupBy("key", "run").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "first")).alias("one"))
+    whole = stored(whole, "runs")
+    kinds = whole.groupBy("key").agg(F.min("times").alias("least"), F.count(F.lit(1)).alias("runs"))
+    kinds = kinds.where("least = 1 and runs > 1").select("key", "runs")  # else no string is left to compare
+    own = [F.col(c) for c in ("row", "key", "first", "strings")]
+    judged = live.join(whole, ["key", "run"])
+    told = judged.where("times > 1").select("row", F.col("first").alias("start"), (own[2] + own[3] - 1 + length).alias("end"))
+    shown = judged.where((F.col("times") == 1) | (F.struct("row", "first") == F.col("one"))).join(kinds, "key")
+    shown = stored(shown.select(*own, "runs"), "shown")
+    placed = addressed(docs)
+    by_key = _spans_by_key(_run_texts(placed, shown.where(F.col("runs") <= few), length), length)
+    by_string = _spans_by_string(_run_texts(placed, shown.where(F.col("runs") > few), length), length)
+    marks = told.unionByName(by_key).unionByName(by_string)
+    marks = marks.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("marks"))  # of one text
 
     def merge(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            spans = []
-            for runs, own in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                marks = [(r["first"], r["first"] + r["strings"] - 1 + length) for r in runs if r["whole"]]
-                spans.append(covered(marks + [(s, s + length) for s in own or []]))
-            kept = [batch.column(k) for k in range(3)]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(spans, pa.list_(pa.list_(pa.int32())))], ["row", "doc_id", "text", "spans"]
-            )
+            spans = [covered([(m["start"], m["end"]) for m in own]) for own in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array(spans, pa.list_(pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "spans"])
 
-    marked = near.join(starts, "row", "left").select("row", "doc_id", "text", "runs", "starts")
-    schema = "row bigint, doc_id bigint, text string, spans array<array<int>>"
-    marked = marked.mapInArrow(merge, schema)
-    rest = addressed(docs).join(touched.select("row"), "row", "left_anti")
-    return marked.unionByName(rest.select("row", "doc_id", "text", F.lit(None).cast("array<array<int>>").alias("spans")))
+    spans = marks.mapInArrow(merge, "row bigint, spans array<array<int>>")
+    # The same exchange of the texts serves this join and the ones that read runs.
+    return placed.join(spans, "row", "left").select("doc_id", "text", "spans")
 
 
 def without_repeats(docs: DataFrame, length: int = 400, **options: int) -> DataFrame:
@@ -251,7 +291,7 @@ def without_repeats(docs: DataFrame, length: int = 400, **options: int) -> DataF
             )
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<array<int>>, kept binary"
-    return repeated_spans(docs, length, **options).select("doc_id", "text", "spans").mapInArrow(cut, schema)
+    return repeated_spans(docs, length, **options).mapInArrow(cut, schema)
 
 
 def digest(result: DataFrame) -> DataFrame:
