@@ -22,8 +22,8 @@ _BLANK = rf"[[^!-~]&&[\x00-\x20\x7f{_WIDE}]]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 REPLACEMENT = "\N{REPLACEMENT CHARACTER}"
-MAX_DECODE_PASSES = 4
-MAX_LOOKUP_ROUNDS = 8
+#: Decoding passes that are columns of their own; texts that still change are decoded further in a loop.
+COLUMN_PASSES = 4
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -58,21 +58,28 @@ def percent_decode(c: Column) -> Column:
     return F.when(contains(c, "%"), F.url_decode(swap(ready, "+", "%2B"))).otherwise(c)
 
 
-def percent_decode_n(c: Column, passes: int = MAX_DECODE_PASSES) -> Column:
-    """Struct ``(text, passes)``: decode until nothing changes, at most ``passes`` times."""
-    start = F.struct(c.alias("text"), F.lit(0).alias("passes"))
+def percent_decode_n(c: Column) -> Column:
+    """Struct ``(text, passes)``: decode until nothing changes.
+
+    A pass that changes the text makes it two characters shorter at least, which bounds their number; once one has had
+    no effect, the rest are skipped.
+    """
+    start = F.struct(c.alias("text"), F.lit(0).alias("passes"), F.lit(True).alias("moved"))
 
     def step(state: Column, _: Column) -> Column:
-        return bind(
+        decoded = bind(
             percent_decode(state["text"]),
             lambda text: F.struct(
                 text.alias("text"),
                 (state["passes"] + (text != state["text"]).cast("int")).alias("passes"),
+                (text != state["text"]).alias("moved"),
             ),
         )
+        return F.when(state["moved"], decoded).otherwise(state)
 
-    looped = F.aggregate(F.sequence(F.lit(1), F.lit(passes)), start, step)
-    return F.when(contains(c, "%"), looped).otherwise(start)
+    most = F.greatest(F.lit(1), F.floor(F.length(c) / 2).cast("int"))
+    looped = F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s.dropFields("moved"))
+    return F.when(contains(c, "%"), looped).otherwise(start.dropFields("moved"))
 
 
 def unicode_unescape(c: Column) -> Column:
@@ -137,24 +144,26 @@ def _cased_round(c: Column) -> Column:
     return bind(lower_lookup(c), lambda t: short_default(default_fragment(env_fallback_lookup(upper_lookup(t)))))
 
 
-def _rounds(c: Column, one_round: Callable[[Column], Column], rounds: int) -> Column:
+def _rounds(c: Column, one_round: Callable[[Column], Column]) -> Column:
+    """Rounds until no rule applies: each one removes an opener, so there are at most as many as openers."""
+    openers = F.greatest(F.length(c) - F.length(swap(c, "${", "$")), F.lit(1))
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(rounds)),
+        F.sequence(F.lit(1), openers),
         c,
         lambda text, _: F.when(text.rlike(_ANY_RULE), one_round(text)).otherwise(text),
     )
 
 
-def resolve_lookups(c: Column, rounds: int = MAX_LOOKUP_ROUNDS, lowercased_later: bool = False) -> Column:
-    """Resolve lookup expressions to a fixpoint, at most ``rounds`` rounds.
+def resolve_lookups(c: Column, lowercased_later: bool = False) -> Column:
+    """Resolve lookup expressions to a fixpoint.
 
     With ``lowercased_later`` the case of ASCII text no longer matters, so the two case rules keep
     their argument as it is. Text with other letters always takes the exact rules: their upper
     and lower forms do not round-trip.
     """
-    exact = _rounds(c, _cased_round, rounds)
+    exact = _rounds(c, _cased_round)
     if lowercased_later:
-        exact = F.when(is_ascii(c), _rounds(c, _plain_round, rounds)).otherwise(exact)
+        exact = F.when(is_ascii(c), _rounds(c, _plain_round)).otherwise(exact)
     return F.when(contains(c, "${") & c.rlike(_ANY_RULE), exact).otherwise(c)
 
 

@@ -17,6 +17,7 @@ from logtriage.session import built_once
 _RAW = "_lt_raw"
 _TEXT = "_lt_text"
 _PASSES = "_lt_passes"
+_MORE = "_lt_more"
 
 
 def hold(df: DataFrame, names: list[str]) -> DataFrame:
@@ -35,16 +36,22 @@ def _text_steps() -> list[tuple[str, Column]]:
     """Stages from the raw line to the canonical text, in order.
 
     Each stage reads its input several times, and a projection per stage keeps it computed once.
-    Percent-decoding stops by itself: a pass without effect leaves nothing to decode.
+    Percent-decoding stops by itself: a pass without effect leaves nothing to decode. Texts that the last column still
+    changes are decoded to the end in a loop.
     """
-    names = [_RAW, *[f"_lt_d{n}" for n in range(1, X.MAX_DECODE_PASSES + 1)]]
+    names = [_RAW, *[f"_lt_d{n}" for n in range(1, X.COLUMN_PASSES + 1)]]
     steps = [(names[1], X.percent_decode(F.col(_RAW)))]
     for earlier, last, name in zip(names, names[1:], names[2:], strict=False):
         moved = F.col(last) != F.col(earlier)
         steps.append((name, F.when(moved, X.percent_decode(F.col(last))).otherwise(F.col(last))))
     changed = [(F.col(after) != F.col(before)).cast("int") for before, after in zip(names, names[1:], strict=False)]
     steps.append((_PASSES, reduce(add, changed)))
-    steps.append((_TEXT, html_unescape(F.col(names[-1]))))
+    start = F.struct(F.col(names[-1]).alias("text"), F.lit(0).alias("passes"))
+    looped = X.percent_decode_n(F.col(names[-1]))
+    steps.append((_MORE, F.when(F.col(names[-1]) != F.col(names[-2]), looped).otherwise(start)))
+    steps.append((_PASSES, F.col(_PASSES) + F.col(_MORE)["passes"]))
+    steps.append((_TEXT, F.col(_MORE)["text"]))
+    steps.append((_TEXT, html_unescape(F.col(_TEXT))))
     steps.append((_TEXT, X.unicode_unescape(F.col(_TEXT))))
     steps.append((_TEXT, X.resolve_lookups(F.col(_TEXT), lowercased_later=True)))
     steps.append(("normalized_log", X.cleanup(F.col(_TEXT))))
@@ -62,8 +69,8 @@ def with_signals(df: DataFrame, col: str = "raw_log") -> DataFrame:
     for name, step in _text_steps():
         df = df.withColumn(name, step)
     df = df.withColumns(_signal_steps())
-    decoded = [f"_lt_d{n}" for n in range(1, X.MAX_DECODE_PASSES + 1)]
-    return hold(df.drop(_TEXT, *decoded), ["normalized_log", _RAW, _PASSES, *SIGNAL_KEYS])
+    decoded = [f"_lt_d{n}" for n in range(1, X.COLUMN_PASSES + 1)]
+    return hold(df.drop(_TEXT, _MORE, *decoded), ["normalized_log", _RAW, _PASSES, *SIGNAL_KEYS])
 
 
 def flat_signals() -> dict[str, Column]:

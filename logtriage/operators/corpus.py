@@ -247,7 +247,7 @@ def draws(spark: SparkSession, quotas: list[tuple[str, int]]) -> DataFrame:
 
 
 def sample_quota(pool: DataFrame, quotas: list[tuple[str, int]], seed: int = 42) -> DataFrame:
-    """Draw with replacement from a pool numbered ``pool_no`` from 0, as many rows per split as its quota."""
+    """Draw with replacement from a pool numbered ``pool_no`` from 0 without gaps, as many rows per split as its quota."""
     size = pool.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     wanted = draws(pool.sparkSession, quotas).withColumn(
         "pool_no", F.pmod(draw_number(seed, F.col("split"), F.col("draw_no")), size)

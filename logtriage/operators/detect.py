@@ -24,9 +24,9 @@ from logtriage.session import built_once
 # Detector keys, display names, and thresholds used where a configuration names none.
 DISPLAY_NAMES = {
     "signature": "Signature",
-    "raw": "Learned raw",
-    "normalized": "Learned normalized",
-    "signal": "Learned signal",
+    "raw": "Raw density",
+    "normalized": "Canonical density",
+    "signal": "Signal share",
 }
 DEFAULT_THRESHOLDS = {"signature": 0.70, "raw": 0.50, "normalized": 0.50, "signal": 0.50}
 

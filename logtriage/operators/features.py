@@ -1,4 +1,4 @@
-"""Character vocabulary, fixed-length character ids and signal vectors."""
+"""Character vocabulary, character ids and signal vectors."""
 
 from __future__ import annotations
 
@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from logtriage.operators.canonical import hold
 from logtriage.schema import SIGNAL_KEYS
 
-# Reserved ids and the encoded length.
-PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
-MAX_LENGTH = 512
+# Reserved ids.
+PAD_ID, FIRST_ID = 0, 2
 
 
 def characters(c: Column) -> Column:
@@ -31,17 +30,23 @@ def fit_vocab(df: DataFrame, cols: list[str]) -> DataFrame:
     return chars.withColumn("id", number)
 
 
-def encode_chars(df: DataFrame, vocab: DataFrame, col: str, name: str = "char_ids", length: int = MAX_LENGTH) -> DataFrame:
-    """Add the ids of the first ``length`` characters, padded with 0; unknown characters are 1.
+def encode_chars(
+    df: DataFrame, vocab: DataFrame, col: str, name: str = "char_ids", length: int | None = None
+) -> DataFrame:
+    """Add the ids of all characters; unknown ones are 1. With ``length``, texts are cut or padded with 0 to it.
 
-    The vocabulary arrives as one map from a scalar subquery: it is computed once and read by every task.
+    The vocabulary arrives as one text of its characters in the order of their ids, from a scalar subquery. The place of
+    a character in it tells the id, and the place of an unknown one is 0.
     """
-    ids = vocab.agg(F.map_from_entries(F.collect_list(F.struct("ch", "id"))).alias("m")).select("m").scalar()
-    chars = characters(F.substring(F.coalesce(F.col(col), F.lit("")), 1, length))
-    df = hold(df.withColumns({"_ids": ids, "_chars": chars}), ["_ids", "_chars"])
-    known = F.transform("_chars", lambda ch: F.coalesce(F.try_element_at(F.col("_ids"), ch), F.lit(UNKNOWN_ID)))
-    padded = F.concat(known, F.array_repeat(F.lit(PAD_ID), F.lit(length) - F.size("_chars")))
-    return df.withColumn(name, padded).drop("_ids", "_chars")
+    listed = F.array_sort(F.collect_list(F.struct("id", "ch")))
+    known = vocab.agg(F.array_join(F.transform(listed, lambda x: x["ch"]), "").alias("known")).select("known").scalar()
+    df = hold(df.withColumn("_known", known), ["_known"])
+    text = F.coalesce(F.col(col), F.lit(""))
+    chars = characters(text if length is None else F.substring(text, 1, length))
+    found = F.transform(chars, lambda ch: F.position(ch, F.col("_known")) + F.lit(FIRST_ID - 1))
+    if length is not None:
+        found = F.concat(found, F.array_repeat(F.lit(PAD_ID), F.lit(length) - F.size(chars)))
+    return df.withColumn(name, found).drop("_known")
 
 
 def signal_array(signals: str = "signals") -> Column:

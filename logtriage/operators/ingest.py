@@ -35,7 +35,6 @@ JSON_TEXT_KEYS = [
     "requestFullURI",
     "requestURI",
 ]
-MAX_REQUEST_LENGTH = 500
 INDICATOR_SKIPPED = ["uuid", "event", "type"]
 
 _QUOTES = "\"'"
@@ -57,7 +56,7 @@ _CELL = r'\G(?:^|,)("(?:[^"]++|"")*+(?:"[^,]*|$)|[^,]*)'
 def is_header_like(c: Column) -> Column:
     """An exported CSV header row: its first cell is ``@timestamp`` and other markers follow."""
     bare = _unquote_ends(F.regexp_replace(strip(c), r"^\x{feff}+", ""))
-    cells = F.slice(F.regexp_extract_all(bare, F.lit(_CELL), F.lit(1)), 1, 12)
+    cells = F.regexp_extract_all(bare, F.lit(_CELL), F.lit(1))
 
     def clean(cell: Column) -> Column:
         opened = F.regexp_replace(cell, r'^"((?:[^"]++|"")*+)"?', "$1")
@@ -102,8 +101,8 @@ def _observation(candidate: Column) -> Column:
         compact = F.concat(
             F.lit("Request from User-Agent: "), token, F.lit(" | Method: GET | Host: external-feed | Path: /")
         )
-        whole = is_request_shaped(candidate) & (F.length(candidate) <= MAX_REQUEST_LENGTH)
-        return F.when(token.isNotNull() & (token != ""), F.when(whole, candidate).otherwise(compact))
+        shown = F.when(is_request_shaped(candidate), candidate).otherwise(compact)
+        return F.when(token.isNotNull() & (token != ""), shown)
 
     usable = (candidate != "") & ~is_header_like(candidate)
     return F.when(usable, bind(extract_token(candidate), shape))
@@ -146,8 +145,12 @@ def flatten_json(c: Column) -> Column:
 
 
 def candidates(df: DataFrame, col: str = "raw_log") -> DataFrame:
-    """One row per candidate text: position 0 is the row itself, then its JSON strings."""
-    texts = F.concat(F.array(F.col(col)), F.coalesce(flatten_json(F.col(col)), F.array().cast("array<string>")))
+    """One row per candidate text: position 0 is the row itself, then its JSON strings.
+
+    Only rows that can be JSON hand their text to Python; the others hand over a null.
+    """
+    json_like = F.when(F.col(col).rlike(rf'^{WS}*[\[{{"0-9tfnIN-]'), F.col(col))
+    texts = F.concat(F.array(F.col(col)), F.coalesce(flatten_json(json_like), F.array().cast("array<string>")))
     return df.select("*", F.posexplode(texts).alias("pos", "candidate"))
 
 
@@ -251,15 +254,15 @@ def import_requests(packets: DataFrame, day: str, line: str = "line") -> DataFra
     )
 
 
-def request_observations(packets: DataFrame, line: str = "line", n: int = 40) -> DataFrame:
-    """First ``n`` distinct request lines that hold an observation; keeps the request line itself."""
+def request_observations(packets: DataFrame, line: str = "line", n: int | None = 40) -> DataFrame:
+    """First ``n`` distinct request lines that hold an observation (all when None); keeps the request line itself."""
     packets = packets.na.fill("", ["frame_time", "ip_src", "method", "host", "uri", "user_agent"])
     lines = packets.select(F.col(line).alias("line"), request_line().alias("raw_log"))
     seen = extract_observation(lines).filter(F.col("observation").isNotNull())
     return first_distinct(seen, "raw_log", n, F.col("line"))
 
 
-def first_observations(df: DataFrame, order: Column, n: int = 80, col: str = "raw_log") -> DataFrame:
+def first_observations(df: DataFrame, order: Column, n: int | None = 80, col: str = "raw_log") -> DataFrame:
     return first_distinct(extract_observation(df, col), "observation", n, order)
 
 
@@ -306,10 +309,13 @@ def with_fallback(feed: DataFrame, fallback: DataFrame, source: str) -> DataFram
     )
 
 
-def source_meta(df: DataFrame) -> DataFrame:
-    """Rows per source and whether they are fallback rows."""
-    return (
-        df.groupBy("source")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("used_fallback", F.col("source").endswith("_fallback"))
+def source_meta(df: DataFrame, sources: list[str]) -> DataFrame:
+    """For every one of ``sources``, with rows or without: its rows and whether they are fallback rows."""
+    own = F.regexp_replace("source", "_fallback$", "")
+    counts = df.groupBy(own.alias("source"), F.col("source").endswith("_fallback").alias("used_fallback"))
+    counts = counts.agg(F.count(F.lit(1)).alias("rows"))
+    named = df.sparkSession.createDataFrame([(s,) for s in sources], "source string")
+    found = named.join(counts, "source", "left")
+    return found.select(
+        "source", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("used_fallback", F.lit(False)).alias("used_fallback")
     )

@@ -26,8 +26,6 @@ from logtriage.operators.features import encode_chars, fit_vocab, signal_array
 from logtriage.plans import reports as R
 from logtriage.plans import templates as T
 from logtriage.plans.request_logs import (
-    access_lines,
-    fan_out,
     feed_lines,
     from_events,
     packet_rows,
@@ -48,7 +46,8 @@ QUERIES: dict[str, Query] = {}
 
 DAY = "2026-01-01"
 MODELS = ["signature", "raw", "normalized", "signal"]
-EXPANSION_SAMPLES = 4
+#: Line shapes rotate with the sample number; twelve samples show all of them.
+EXPANSION_SAMPLES = 12
 
 
 def register(fn: Query) -> Query:
@@ -57,7 +56,7 @@ def register(fn: Query) -> Query:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return fan_out(read_table(spark, sf, "documents"), "doc_id")
+    return read_table(spark, sf, "documents")
 
 
 def joined(c: str | Column) -> Column:
@@ -368,7 +367,7 @@ def indicators(spark, sf):
 
 def _feeds(spark: SparkSession, sf: str) -> DataFrame:
     """Two feeds: observations of the feed lines, and a feed of benign lines that yields nothing."""
-    seen = I.first_observations(feed_lines(spark, sf), F.col("line"), 60).select(F.col("observation").alias("raw_log"))
+    seen = I.first_observations(feed_lines(spark, sf), F.col("line"), None).select(F.col("observation").alias("raw_log"))
     silent = I.extract_observation(read_table(spark, sf, "conversations"), "text")
     silent = silent.filter(F.col("observation").isNotNull()).select(F.col("observation").alias("raw_log"))
 
@@ -387,7 +386,7 @@ def feed_fallback(spark, sf):
 
 @register
 def source_meta(spark, sf):
-    return I.source_meta(_feeds(spark, sf))
+    return I.source_meta(_feeds(spark, sf), ["honeypot", "simulation"])
 
 
 # -- corpus ---------------------------------------------------------------------------------------------
@@ -407,7 +406,14 @@ def _evasion(spark: SparkSession, sf: str) -> DataFrame:
 
 def _hard_pool(spark: SparkSession, sf: str) -> DataFrame:
     rows = C.expand_hard_negatives(page_hosts(spark, sf))
-    return rows.withColumn("pool_no", F.col("host_no") * len(T.HARD_NEGATIVE) + F.col("tpl_no"))
+    return O.number_rows(rows, [F.col("host_no"), F.col("tpl_no")], "pool_no", start=0)
+
+
+def _plain_pool(spark: SparkSession) -> DataFrame:
+    """Benign template lines of the plain families, numbered from 0."""
+    lines = [line for line in T.BENIGN if line[1] in T.PLAIN_BENIGN_FAMILIES]
+    rows = [(k, text, family) for k, (text, family) in enumerate(lines)]
+    return spark.createDataFrame(rows, "pool_no bigint, raw_log string, family string")
 
 
 @register
@@ -452,18 +458,46 @@ def _corpus(spark: SparkSession, sf: str) -> DataFrame:
     )
     tag = F.concat(F.lit("hardneg-"), F.col("split"))
     quoted = quoted.withColumn("raw_log", C.with_trace_id(F.col("raw_log"), tag, F.col("sample_no")))
-    web = access_lines(spark, sf).select(
-        F.col("page_id").alias("host_no"),
-        F.lit(0).alias("tpl_no"),
-        F.lit(0).alias("sample_no"),
-        "raw_log",
-        F.lit("access_logs").alias("source"),
-        F.lit(0).alias("label"),
-        F.lit("benign").alias("family"),
-        F.lit("external_benign_web_log").alias("field"),
-        C.pick(["train", "val", "test", "external_benign_web_test"], F.col("page_id")).alias("split"),
+    plain = C.sample_quota(_plain_pool(spark), T.PLAIN_QUOTAS).select(
+        F.col("draw_no").cast("bigint").alias("host_no"), "raw_log", "family", "split"
+    )
+    plain = plain.withColumns({"source": F.lit("benign_logs"), "label": F.lit(0), "field": F.lit("mixed")})
+    blind = spark.createDataFrame(list(enumerate(T.BLIND_LINES)), "host_no bigint, raw_log string")
+    blind = blind.withColumns(
+        {
+            "family": F.lit("blind_manual"),
+            "split": F.lit("blind_manual_test"),
+            "source": F.lit("blind_manual"),
+            "label": F.lit(1),
+            "field": F.lit("manual"),
+        }
+    )
+    feed = I.first_observations(feed_lines(spark, sf), F.col("line"), None).select(
+        F.col("first_seen").alias("host_no"), F.col("observation").alias("raw_log")
+    )
+    feed = feed.withColumns(
+        {
+            "family": F.lit("honeypot"),
+            "split": F.lit(I.HONEYPOT_FEED.split),
+            "source": F.lit(I.HONEYPOT_FEED.source),
+            "label": F.lit(1),
+            "field": F.lit(I.HONEYPOT_FEED.field),
+        }
     )
-    parts = [synthetic, evasion, quoted, web]
+    packets = I.request_observations(packet_rows(spark, sf), "line", None).select(
+        F.col("first_seen").alias("host_no"), "raw_log"
+    )
+    packets = packets.withColumns(
+        {
+            "family": F.lit("packet"),
+            "split": F.lit("external_foxit_pcap_test"),
+            "source": F.lit("foxit_pcap_http"),
+            "label": F.lit(1),
+            "field": F.lit("pcap_http"),
+        }
+    )
+    single = {"tpl_no": F.lit(0), "sample_no": F.lit(0)}
+    parts = [synthetic, evasion, quoted, *(part.withColumns(single) for part in (plain, blind, feed, packets))]
     # Evasion rows repeat template numbers across their two splits, so the split belongs to the order.
     return C.union_all([part.withColumn("source_no", F.lit(n)) for n, part in enumerate(parts)])
 
@@ -568,14 +602,14 @@ def calibrate(spark, sf):
 
 @register
 def evaluate(spark, sf):
-    models = [*R.HEATMAP_MODELS, "Learned attention"]
+    models = [*R.HEATMAP_MODELS, "Attention"]
     table = E.evaluate(preds(spark, sf), models)
     return table.withColumns({"roc_auc": F.round("roc_auc", 9), "pr_auc": F.round("pr_auc", 9)})
 
 
 @register
 def evaluation_warnings(spark, sf):
-    return E.unavailable(E.evaluate(preds(spark, sf), [*R.HEATMAP_MODELS, "Learned attention"], ranking=False))
+    return E.unavailable(E.evaluate(preds(spark, sf), [*R.HEATMAP_MODELS, "Attention"], ranking=False))
 
 
 @register
@@ -732,11 +766,8 @@ def learned_signal(spark, sf):
 @register
 def stream_detect(spark, sf):
     """Classify a stream of events joined with the page table; the sink is read back."""
-    events = (
-        spark.readStream.schema(read_table(spark, sf, "events").schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf)
-    )
+    # As a pattern, the path may be one file or a folder of part files; a plain path to one file is refused for streams.
+    events = spark.readStream.schema(read_table(spark, sf, "events").schema).parquet(f"{sf}/{{events}}.parquet")
     found = monitored(from_events(events, read_table(spark, sf, "pages")))
     shown = found.select("log_id", "label", "score", "risk_level", "status", "normalized_log")
     out = new_folder(spark, "stream-detect")

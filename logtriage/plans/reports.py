@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logtriage.operators.detect import literal_map
 from logtriage.schema import TRAINING_SPLITS
 
-SIGNATURE, RAW, NORMALIZED, SIGNAL = "Signature", "Learned raw", "Learned normalized", "Learned signal"
+SIGNATURE, RAW, NORMALIZED, SIGNAL = "Signature", "Raw density", "Canonical density", "Signal share"
 
 # Experiments, split names and orders of the reports.
 EXPERIMENTS = [

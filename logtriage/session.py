@@ -32,10 +32,15 @@ def built_once(fn: Callable[..., T]) -> Callable[..., T]:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """Shared folder named by ``spark.checkpoint.dir``.
+
+    A temporary folder stands in for it in a local session only: on a cluster, executors do not share one.
+    """
     current = spark.sparkContext.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if current is None:
+        if configured is None and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="logtriage-"))
         current = spark.sparkContext.getCheckpointDir()
     return configured or current

@@ -219,7 +219,7 @@ ORACLES["stream_alerts"] = detected().sql(
 
 
 def add_feed(chain: Chain) -> Chain:
-    b = T.BACKSLASH
+    b = "\\"
     quoted = f"replace(replace(raw_log, {lit(b)}, {lit(b * 2)}), '\"', {lit(b + chr(34))})"
     hidden = f"replace({quoted}, '$', {lit(b + 'u0024')})"
     head = lit('2021-12-15T16:12:36Z",1,"')
@@ -289,7 +289,7 @@ def add_observations(chain: Chain) -> Chain:
     shaped = _SHAPED.format(c="candidate")
     chain.add(
         "found",
-        f"""SELECT line, pos, CASE WHEN ({shaped}) AND length(candidate) <= 500 THEN candidate
+        f"""SELECT line, pos, CASE WHEN ({shaped}) THEN candidate
         ELSE 'Request from User-Agent: ' || token || ' | Method: GET | Host: external-feed | Path: /' END AS observation
         FROM cands JOIN tokens_first USING (line, pos) WHERE candidate <> {lit(Q.FEED_HEADER)}""",
     )
@@ -364,14 +364,15 @@ ORACLES["benign_candidates"] = canon().sql(
     f"""SELECT {strip_sql('raw_log')} AS candidate, min(log_id) AS first_seen FROM canon
     WHERE NOT has_jndi AND {strip_sql('raw_log')} <> '' GROUP BY 1 ORDER BY 2 LIMIT 200"""
 )
-_FEEDS = f"""SELECT observation AS raw_log, 'honeypot' AS source FROM ({_FIRST} LIMIT 60)
+_FEEDS = f"""SELECT observation AS raw_log, 'honeypot' AS source FROM ({_FIRST})
     UNION ALL SELECT raw_log, 'simulation_fallback' FROM
     {values([(t,) for t in T.FEED_FALLBACKS['simulation']], ['raw_log'])}
     WHERE NOT EXISTS (SELECT 1 FROM conversations WHERE contains(lower(text), 'jndi'))"""
 ORACLES["feed_fallback"] = add_observations(feed()).sql(_FEEDS)
 ORACLES["source_meta"] = add_observations(feed()).sql(
-    f"""SELECT source, count(*) AS rows, ends_with(source, '_fallback') AS used_fallback
-    FROM ({_FEEDS}) GROUP BY source"""
+    f"""SELECT s.source, count(f.source) AS rows, coalesce(any_value(ends_with(f.source, '_fallback')), false) AS used_fallback
+    FROM (VALUES ('honeypot'), ('simulation')) s(source)
+    LEFT JOIN ({_FEEDS}) f ON f.source IN (s.source, s.source || '_fallback') GROUP BY s.source"""
 )
 
 # -- corpus -------------------------------------------------------------------------------------------------
@@ -379,7 +380,8 @@ ORACLES["source_meta"] = add_observations(feed()).sql(
 
 def add_hosts(chain: Chain) -> Chain:
     return chain.add(
-        "hosts", "SELECT page_id AS host_no, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages"
+        "hosts",
+        "SELECT min(page_id) AS host_no, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages GROUP BY 2",
     )
 
 
@@ -438,7 +440,7 @@ def add_hard(chain: Chain) -> Chain:
     return chain.add(
         "hard",
         f"""SELECT host_no, tpl_no::INT AS tpl_no, family, replace(tline, '{{p}}', {enc}) AS raw_log,
-        host_no * {len(T.HARD_NEGATIVE)} + tpl_no AS pool_no FROM hosts, {table}""",
+        row_number() OVER (ORDER BY host_no, tpl_no) - 1 AS pool_no FROM hosts, {table}""",
     )
 
 
@@ -485,7 +487,26 @@ ORACLES["ood_set"] = ood().sql("SELECT id, label, family, field, raw_log FROM oo
 def corpus() -> Chain:
     chain = evasion(synthetic(add_hosts(Chain())))
     add_hard(chain)
-    web_split = pick(["train", "val", "test", "external_benign_web_test"], "page_id % 4")
+    lines = [t for t in T.BENIGN if t[1] in T.PLAIN_BENIGN_FAMILIES]
+    pool = values([(k, *t) for k, t in enumerate(lines)], ["pool_no", "raw_log", "family"])
+    chain.add(
+        "plain",
+        f"""SELECT d.split, d.draw_no, p.raw_log, p.family FROM (
+          SELECT split, unnest(range(0, n)) AS draw_no FROM {values(T.PLAIN_QUOTAS, ['split', 'n'])}) d
+        JOIN (SELECT * FROM {pool}) p
+          ON p.pool_no = ('0x' || substr(md5('42:' || d.split || ':' || d.draw_no), 1, 15))::BIGINT % {len(lines)}""",
+    )
+    chain.add("blind", f"SELECT * FROM {values(list(enumerate(T.BLIND_LINES)), ['n', 'raw_log'])}")
+    chain.add(
+        "feed_seen",
+        add_observations(feed()).sql("SELECT observation, min(line) AS line FROM observations GROUP BY observation"),
+    )
+    chain.add(
+        "packets_seen",
+        add_tokens(packets(), "packets", "line", "raw_log").sql(
+            "SELECT raw_log, min(line) AS line FROM packets JOIN tokens_first USING (line) GROUP BY raw_log"
+        ),
+    )
     return chain.add(
         "corpus",
         f"""SELECT 0 AS source_no, host_no, tpl_no, sample_no, 'synthetic' AS source, 1 AS label, family,
@@ -495,9 +516,12 @@ def corpus() -> Chain:
         UNION ALL SELECT 2, host_no, tpl_no, k, 'hard_negative', 0, family, NULL, 'mixed', sp,
           raw_log || ' trace_id=hardneg-' || sp || '-' || lpad(k::VARCHAR, 4, '0')
           FROM hard, (VALUES (0, 'train'), (1, 'hard_negative_test')) x(k, sp)
-        UNION ALL SELECT 3, page_id, 0, 0, 'access_logs', 0, 'benign', NULL, 'external_benign_web_log', {web_split},
-          '127.0.0.1 - - [17/May/2015:10:05:03 +0000] "GET ' || regexp_extract(url, '^https?://[^/]+(/.*)$', 1)
-          || ' HTTP/1.1" 200 ' || strlen(html) || ' "-" "Mozilla/5.0"' FROM pages""",
+        UNION ALL SELECT 3, draw_no, 0, 0, 'benign_logs', 0, family, NULL, 'mixed', split, raw_log FROM plain
+        UNION ALL SELECT 4, n, 0, 0, 'blind_manual', 1, 'blind_manual', NULL, 'manual', 'blind_manual_test', raw_log FROM blind
+        UNION ALL SELECT 5, line, 0, 0, 'greedybear_log4pot', 1, 'honeypot', NULL, 'honeypot_feed',
+          'external_greedybear_test', observation FROM feed_seen
+        UNION ALL SELECT 6, line, 0, 0, 'foxit_pcap_http', 1, 'packet', NULL, 'pcap_http', 'external_foxit_pcap_test',
+          raw_log FROM packets_seen""",
     )
 
 
@@ -644,7 +668,7 @@ ORACLES["calibrate"] = _SWEEP.sql(
 def evaluated() -> Chain:
     chain = compared().add("eval_points", "SELECT model, test_set, true_label AS label, score FROM preds")
     add_ranking(chain, "eval_points", "model, test_set")
-    models = values([(m,) for m in [*R.HEATMAP_MODELS, "Learned attention"]], ["model"], "m")
+    models = values([(m,) for m in [*R.HEATMAP_MODELS, "Attention"]], ["model"], "m")
     chain.add("wanted", f"SELECT m.model, s.test_set FROM {models}, (SELECT DISTINCT test_set FROM preds) s")
     return chain.add(
         "evaluated",
@@ -657,7 +681,7 @@ def evaluated() -> Chain:
 
 ORACLES["evaluate"] = evaluated().sql(f"SELECT {', '.join(E.COMPARISON_COLUMNS)} FROM evaluated")
 ORACLES["evaluation_warnings"] = predicted().sql(
-    """SELECT 'Learned attention unavailable for ' || test_set || '; metrics left as NaN.' AS warning
+    """SELECT 'Attention unavailable for ' || test_set || '; metrics left as NaN.' AS warning
     FROM (SELECT DISTINCT test_set FROM preds)"""
 )
 ORACLES["error_analysis"] = errors().sql(
@@ -790,6 +814,6 @@ _ENCODE.add(
 _ENCODE.add(
     "encoded",
     """SELECT log_id, string_agg(coalesce(id, 1)::VARCHAR, ',' ORDER BY pos) AS ids, count(*) AS n
-    FROM positions LEFT JOIN vocab USING (ch) WHERE pos <= 512 GROUP BY log_id""",
+    FROM positions LEFT JOIN vocab USING (ch) GROUP BY log_id""",
 )
-ORACLES["encode_chars"] = _ENCODE.sql("SELECT log_id, ids || repeat(',0', (512 - n)::INT) AS ids FROM encoded")
+ORACLES["encode_chars"] = _ENCODE.sql("SELECT log_id, ids FROM encoded")

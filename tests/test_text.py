@@ -34,13 +34,16 @@ def test_percent_decode(spark):
 
 def decoded(text):
     passes = 0
-    while passes < 4 and urllib.parse.unquote(text) != text:
+    while urllib.parse.unquote(text) != text:
         text, passes = urllib.parse.unquote(text), passes + 1
     return text, passes
 
 
 def test_percent_decode_n_counts_passes(spark):
-    texts = strings(PERCENT) + [urllib.parse.quote(urllib.parse.quote(urllib.parse.quote("${a}", ""), ""), "")]
+    six = "${a}"
+    for _ in range(6):
+        six = urllib.parse.quote(six, "")
+    texts = strings(PERCENT) + [six] + [urllib.parse.quote(urllib.parse.quote(urllib.parse.quote("${a}", ""), ""), "")]
     compare(spark, texts, X.percent_decode_n, lambda s: decoded(s))
 
 
@@ -66,7 +69,7 @@ def test_unicode_unescape(spark):
 def resolved(text):
     """The five rules, one at a time, until nothing changes."""
     heads = [("lower", str.lower), ("upper", str.upper)]
-    for _ in range(8):
+    while True:
         before = text
         for word, change in heads:
             text = re.sub(r"(?i)\$\{\s*" + word + r"\s*:\s*([^{}]*)\}", lambda m, f=change: f(m[1]), text)
@@ -86,7 +89,7 @@ LOOKUPS = ["${", "}", "lower", ":", "env", "::-", ":-", "j", "N", "${lower:", "$
 
 
 def test_resolve_lookups(spark):
-    texts = strings(LOOKUPS, longest=16)
+    texts = strings(LOOKUPS, longest=16) + ["${lower:" * 10 + "J" + "}" * 10 + "ndi"]
     compare(spark, texts, X.resolve_lookups, resolved)
     fast = lambda c: X.cleanup(X.resolve_lookups(c, lowercased_later=True))
     compare(spark, texts, fast, lambda s: cleaned(resolved(s)))
