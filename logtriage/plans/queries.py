@@ -48,6 +48,8 @@ DAY = "2026-01-01"
 MODELS = ["signature", "raw", "normalized", "signal"]
 #: Line shapes rotate with the sample number; twelve samples show all of them.
 EXPANSION_SAMPLES = 12
+#: Share of the training lines of each label that a trained model has to get right.
+LEARNED_SHARE = 0.75
 
 
 def register(fn: Query) -> Query:
@@ -739,10 +741,14 @@ def encode_chars_query(spark, sf):
 def _learned(spark: SparkSession, sf: str, variant: str) -> DataFrame:
     # Training reads the features many times, so they are computed once.
     table = cut_lineage(L.feature_table(request_logs(spark, sf)))
-    model = L.train(table.filter(F.col("split").isin("train", "val")), variant, max_iter=10)
+    known = F.col("split").isin("train", "val")
+    model = L.train(table.filter(known), variant, max_iter=10)
     scored = L.score(table, model, "score")
-    predicted = (F.col("score") >= G.LEARNED_THRESHOLD).cast("int").alias("predicted")
-    return scored.groupBy("split", "label", predicted).agg(F.count(F.lit(1)).alias("rows"))
+    right = ((F.col("score") >= G.LEARNED_THRESHOLD).cast("int") == F.col("label")).cast("int")
+    counts = scored.groupBy("split", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum(right).alias("right"))
+    seen = counts.filter(known).groupBy("label").agg((F.sum("right") / F.sum("rows")).alias("share"))
+    learned = seen.agg((F.min("share") >= LEARNED_SHARE).alias("ok")).select("ok").scalar()
+    return counts.select("split", "label", "rows", learned.alias("learned"))
 
 
 @register

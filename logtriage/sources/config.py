@@ -55,11 +55,13 @@ def default_config(spark: SparkSession) -> DataFrame:
 def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
     """One row of configuration. The flat form ``{model: threshold}`` is upgraded; defaults fill the rest.
 
-    A missing file gives the defaults.
+    A missing file gives the defaults; any other failure, malformed JSON included, is raised.
     """
     try:
         text = spark.read.text(path, wholetext=True).select("value")
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return default_config(spark)
     return upgrade(text)
 
@@ -70,7 +72,8 @@ def upgrade(text: DataFrame) -> DataFrame:
         F.from_json("value", f"{_NESTED}, {_REST}").alias("c"), F.from_json("value", _MAP).alias("flat")
     )
     nested = F.col("c.binary_thresholds").isNotNull()
-    flat = _over_defaults(F.col("flat"))
+    broken = F.raise_error(F.lit("thresholds are neither nested nor flat JSON")).cast(_MAP)
+    flat = F.when(F.col("flat").isNull(), broken).otherwise(_over_defaults(F.col("flat")))
     none = F.create_map().cast(_MAP)
     return parsed.select(
         F.when(nested, F.col("c.binary_thresholds")).otherwise(flat).alias("binary_thresholds"),

@@ -10,9 +10,14 @@ from logtriage.schema import DATASET_COLUMNS, DATASET_SCHEMA, REQUIRED_SPLITS, v
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled CSV files; columns may come in any order, extra ones pass, missing ones raise."""
+    """Labelled CSV files; columns may come in any order, extra ones pass, missing ones raise.
+
+    So do files whose headers differ, and labels that are no numbers. Quoted cells may hold line breaks, which is why a
+    file is not split; :func:`write_dataset` writes a form that is.
+    """
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
     header = reader.csv(path).columns
+    reader = reader.option("enforceSchema", False).option("mode", "FAILFAST")
     by_name = {f.name: f for f in DATASET_SCHEMA.fields}
     schema = StructType([by_name[n] if n in by_name else _text_field(n) for n in header])
     df = reader.schema(schema).csv(path)

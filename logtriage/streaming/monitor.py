@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +15,21 @@ from logtriage.operators.detect import alerts, detect
 from logtriage.sources.alerts import alert_rows
 
 
-def read_log_stream(spark: SparkSession, folder: str, latest_only: bool = False, max_files: int | None = None) -> DataFrame:
+def read_log_stream(
+    spark: SparkSession, folder: str, since: datetime | None = None, max_files: int | None = None
+) -> DataFrame:
     """Lines of files that appear in ``folder``.
 
-    The file source sees new files, not bytes added to a known file: point it at rotated segments.
-    ``latest_only`` takes the newest files first when a backlog exists.
+    The file source sees new files, not bytes added to a known file: point it at rotated segments. With ``since``, only
+    files that were modified then or later count: a monitor that passes its own start scores no backlog.
     """
-    reader = spark.readStream.format("text").option("latestFirst", latest_only)
+    reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(folder).select(strip(F.make_valid_utf8("value")).alias("raw_log"))
+    lines = reader.load(folder)
+    if since is not None:
+        lines = lines.where(F.col("_metadata.file_modification_time") >= F.lit(since))
+    return lines.select(strip(F.make_valid_utf8("value")).alias("raw_log"))
 
 
 def read_topic_stream(spark: SparkSession, servers: str, topic: str) -> DataFrame:
@@ -63,7 +69,8 @@ def write_alerts(
 
 
 def replay(lines: DataFrame, folder: str, alerts_path: str, checkpoint: str) -> StreamingQuery:
-    """Land a fixed set of lines as files and run them through the monitor once."""
-    lines.select(F.col("raw_log").alias("value")).write.mode("overwrite").text(folder)
-    stream = read_log_stream(lines.sparkSession, folder)
+    """Land a fixed set of lines as files, line breaks inside them included, and run them through the monitor once."""
+    landed = lines.select("raw_log")
+    landed.write.mode("overwrite").parquet(folder)
+    stream = lines.sparkSession.readStream.schema(landed.schema).parquet(folder)
     return write_alerts(monitored(stream), alerts_path, checkpoint, available_now=True)

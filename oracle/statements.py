@@ -817,3 +817,10 @@ _ENCODE.add(
     FROM positions LEFT JOIN vocab USING (ch) GROUP BY log_id""",
 )
 ORACLES["encode_chars"] = _ENCODE.sql("SELECT log_id, ids FROM encoded")
+
+# -- learned detectors ---------------------------------------------------------------------------------------
+# Rows by split and label, and that training has worked, which SQL can only expect.
+for _variant in ("raw", "normalized", "signal"):
+    ORACLES[f"learned_{_variant}"] = logs().sql(
+        "SELECT split, label, count(*) AS rows, true AS learned FROM request_logs GROUP BY split, label"
+    )
