@@ -106,15 +106,20 @@ def corpus_rollup(docs: DataFrame, labels: DataFrame, path: str) -> DataFrame:
     batch arrives twice."""
     rollup = TokenRollup(docs.sparkSession, path)
     docs = docs.select("doc_id", "text", "source", "lang")
-    flags = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    flags = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     flags = flags.withColumnRenamed("doc_id", "labelled")
-    known = docs.join(flags, F.col("doc_id") == F.col("labelled"))
     first = counted(docs, "words", WORDS)
     rollup.commit("load-words", first)
     rollup.commit("load-words", first)
     rollup.commit("load-marks", counted(docs, "marks", MARKS))
-    rollup.commit("revise", counted(known.where("quality = 0"), "words", LETTERED, "revise"))
-    gone = known.where("toxic = 1").select(F.lit("delete").alias("op"), "doc_id", *(F.lit(None).cast(t).alias(c) for c, t in (
-        ("tokenizer", "string"), ("source", "string"), ("lang", "string"), ("n_tokens", "bigint"))))
+    # Counted before it meets the labels: counts are moved, not texts.
+    revised = counted(docs, "words", LETTERED, "revise")
+    rollup.commit("revise", revised.join(flags.where("quality = 0"), F.col("doc_id") == F.col("labelled"), "left_semi"))
+    gone = flags.where("toxic = 1").select(
+        F.lit("delete").alias("op"),
+        F.col("labelled").alias("doc_id"),
+        *(F.lit(None).cast("string").alias(c) for c in ("tokenizer", "source", "lang")),
+        F.lit(None).cast("bigint").alias("n_tokens"),
+    )
     rollup.commit("delete", gone)
     return rollup.totals()
