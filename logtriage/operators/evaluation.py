@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtriage.operators.detect import DISPLAY_NAMES, literal_map, model_threshold
-from logtriage.operators.metrics import binary_metrics, ranking_metrics
+from logtriage.operators.metrics import confusion_of_counts, ranking_of_counts, rates, score_counts
+from logtriage.session import cut_lineage
 
 UNAVAILABLE_NOTE = "model artifact or tokenizer unavailable"
 ERROR_EXPLANATION = "Model score disagreed with the dataset label at the evaluation threshold."
@@ -106,15 +107,19 @@ def evaluate(
     times by model name; throughput follows from it.
     """
     group = ["model", "test_set", "threshold"]
-    scored = preds.withColumn("label", F.col("true_label"))
-    table = binary_metrics(scored, group, F.col("threshold"))
+    # Distinct scores with their counts are all that follows needs, so lines are scored once.
+    counts = score_counts(preds.withColumn("label", F.col("true_label")), group)
+    if ranking or models is not None:  # read more than once
+        counts = cut_lineage(counts)
+    table = rates(confusion_of_counts(counts, group, F.col("threshold")))
     if ranking:
-        table = table.join(ranking_metrics(scored, ["model", "test_set"]), ["model", "test_set"], "left")
+        found = ranking_of_counts(counts.drop("threshold"), ["model", "test_set"])
+        table = table.join(found, ["model", "test_set"], "left")
     else:
         none = F.lit(None).cast("double")
         table = table.withColumns({"roc_auc": none, "pr_auc": none})
     if models is not None:
-        wanted = preds.select("test_set").distinct().select(
+        wanted = counts.select("test_set").distinct().select(
             F.explode(F.array(*[F.lit(m) for m in models])).alias("model"), "test_set"
         )
         table = wanted.join(table, ["model", "test_set"], "left").withColumn(

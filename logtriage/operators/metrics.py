@@ -55,6 +55,18 @@ def rates(counts: DataFrame) -> DataFrame:
     )
 
 
+def confusion_of_counts(counts: DataFrame, group: list[str], threshold: Column | float) -> DataFrame:
+    """``confusion`` from the output of :func:`score_counts`."""
+    hit = F.col("score") >= threshold
+
+    def total(name: str, condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col(name))), F.lit(0))
+
+    return counts.groupBy(*group).agg(
+        total("p", hit).alias("tp"), total("n", hit).alias("fp"), total("n", ~hit).alias("tn"), total("p", ~hit).alias("fn")
+    )
+
+
 def binary_metrics(df: DataFrame, group: list[str], threshold: Column | float) -> DataFrame:
     return rates(confusion(df, group, threshold))
 
@@ -76,7 +88,12 @@ def ranking_metrics(df: DataFrame, group: list[str]) -> DataFrame:
 
     AUC counts ties as half. Average precision is the step form, not an interpolated area.
     """
-    curve = cumulative_counts(df, group)
+    return ranking_of_counts(score_counts(df, group), group)
+
+
+def ranking_of_counts(counts: DataFrame, group: list[str]) -> DataFrame:
+    """``ranking_metrics`` from the output of :func:`score_counts`."""
+    curve = running_totals(counts, group, [F.col("score").desc()], ["p", "n"])
     # Doubles: products of two large counts overflow a long.
     p, n, tp, fp = (F.col(c).cast("double") for c in ("p", "n", "cum_p", "cum_n"))
     sums = curve.groupBy(*group).agg(

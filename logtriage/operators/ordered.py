@@ -2,6 +2,7 @@
 
 Global numbering and running totals work on range partitions: sort into ranges, checkpoint so that the
 ranges stay fixed, total each range, and add the totals of the ranges before it. Every task sees one range.
+Numbering shuffles rows once: a row's place in its range is written down before the checkpoint.
 """
 
 from __future__ import annotations
@@ -42,14 +43,16 @@ def running_totals(df: DataFrame, group: list[str], order: list[Column], values:
 
 def number_rows(df: DataFrame, order: list[Column], name: str = "row_no", start: int = 1) -> DataFrame:
     """Dense numbers from ``start`` in ``order`` over the whole table. ``order`` must identify a row."""
-    ranged = _ranges(df, order)
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut_lineage(sorted_rows.withColumn("_at", F.monotonically_increasing_id()))
+    # The upper bits tell the task, the lower 33 the place in it.
+    ranged = placed.withColumns({_RANGE: F.shiftright("_at", 33), "_s": F.col("_at").bitwiseAND((1 << 33) - 1)})
     counts = ranged.groupBy(_RANGE).agg(F.count(F.lit(1)).alias("_n"))
-    # One row per task of the range sort, so this window is small whatever the table holds.
+    # One row per task of the range sort, so this window and the broadcast are small whatever the table holds.
     before = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(_RANGE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy(_RANGE).orderBy(*order)
-    numbered = ranged.withColumn("_s", F.row_number().over(inside)).join(offsets, _RANGE)
-    return numbered.withColumn(name, F.col("_s") + F.col("_o") + F.lit(start - 1)).drop(_RANGE, "_s", "_o")
+    numbered = ranged.join(F.broadcast(offsets), _RANGE)
+    return numbered.withColumn(name, F.col("_s") + F.col("_o") + F.lit(start)).drop(_RANGE, "_at", "_s", "_o")
 
 
 def first_distinct(df: DataFrame, col: str, n: int | None, order: Column, keep: list[str] | None = None) -> DataFrame:

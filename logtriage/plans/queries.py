@@ -69,6 +69,11 @@ def preds(spark: SparkSession, sf: str) -> DataFrame:
     return E.predictions(scored_logs(spark, sf), MODELS)
 
 
+def narrow_preds(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions without texts, computed once for reports that read them several times."""
+    return cut_lineage(preds(spark, sf).drop("raw_log", "normalized_log", "source"))
+
+
 def comparison(spark: SparkSession, sf: str) -> DataFrame:
     return E.evaluate(preds(spark, sf), ranking=False)
 
@@ -633,7 +638,8 @@ def first_errors(spark, sf):
 
 @register
 def ablation(spark, sf):
-    return R.ablation(comparison(spark, sf), E.error_analysis(preds(spark, sf)))
+    rows = narrow_preds(spark, sf)
+    return R.ablation(E.evaluate(rows, ranking=False), E.mismatches(rows))
 
 
 @register
@@ -665,7 +671,8 @@ def metric_lookup(spark, sf):
 
 @register
 def overview(spark, sf):
-    return R.overview_kpis(request_logs(spark, sf), preds(spark, sf))
+    present = cut_lineage(preds(spark, sf).select("model", "test_set").distinct())
+    return R.overview_kpis(request_logs(spark, sf), present)
 
 
 @register
