@@ -72,7 +72,9 @@ def _kept(docs: DataFrame, min_docs: int) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     own = own.withColumns({"_key": F.xxhash64("doc_id", text), "_lines": F.split(text, "\n")})
     joined = own.join(gone, F.col("_key") == F.col("_row"), "left").withColumn("_templates", F.expr(TEMPLATES))
-    stay = F.filter("_lines", lambda line, k: ~F.arrays_overlap(F.get("_templates", k), F.col("_gone")))
+    # As one array, so that the templates of a text are computed once and not again for every line.
+    pairs = F.filter(F.arrays_zip("_lines", "_templates"), lambda x: ~F.arrays_overlap(x["_templates"], F.col("_gone")))
+    stay = F.transform(pairs, lambda x: x["_lines"])
     return joined.withColumn("_stay", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(stay))
 
 
