@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logtriage.llm.common import stored
+
 LEADING = 2
 GENERALISED = 8
 
@@ -54,28 +56,33 @@ def _parsed(docs: DataFrame) -> DataFrame:
     return own.withColumn("_templates", F.expr(TEMPLATES))
 
 
-def recurring(docs: DataFrame, min_docs: int) -> DataFrame:
-    """``template``, ``n_docs``, ``first`` (smallest ``doc_id``) of the templates that are in enough documents."""
-    posted = _parsed(docs).select("_id", F.explode(F.array_distinct(F.flatten("_templates"))).alias("template"))
+def recurring(posted: DataFrame, min_docs: int) -> DataFrame:
+    """``template``, ``n_docs``, ``first`` (smallest ``doc_id``) of the templates that are in enough documents.
+
+    ``posted`` has a row for every document (``_id``) and template (``_template``) in it.
+    """
     first = F.min(F.struct(F.col("_id").isNotNull().alias("known"), F.col("_id"))).alias("first")
-    counted = posted.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), first)
+    counted = posted.groupBy(F.col("_template").alias("template")).agg(F.count(F.lit(1)).alias("n_docs"), first)
     return counted.where(F.col("n_docs") >= min_docs).select("template", "n_docs", F.col("first._id").alias("first"))
 
 
 def _kept(docs: DataFrame, min_docs: int) -> DataFrame:
-    """``doc_id``, ``text``, ``_all`` (the whole row), ``_lines`` and ``_stay`` (the lines that stay, in order)."""
-    posted = _parsed(docs).select("_id", "_row", F.explode(F.array_distinct(F.flatten("_templates"))).alias("_template"))
-    found = recurring(docs, min_docs).withColumnRenamed("template", "_t")
-    gone = posted.join(found, F.col("_template") == F.col("_t")).where(~F.col("_id").eqNullSafe(F.col("first")))
+    """``doc_id``, ``text``, ``_all`` (the whole row), ``_lines``, ``_flags`` (which of them stay; null: all) and ``_stay``
+    (those that stay, in order)."""
+    # Parsing is the dear part: templates are computed once and written down, as 64-bit hashes.
+    parsed = stored(_parsed(docs).select("_id", "_row", "_templates"), "line-templates")
+    posted = parsed.select("_id", "_row", F.explode(F.array_distinct(F.flatten("_templates"))).alias("_template"))
+    found = recurring(posted, min_docs)
+    gone = posted.join(found, F.col("_template") == F.col("template")).where(~F.col("_id").eqNullSafe(F.col("first")))
     gone = gone.groupBy("_row").agg(F.collect_set("_template").alias("_gone"))  # bounded by the lines of one text
+    flags = F.transform("_templates", lambda own: ~F.arrays_overlap(own, F.col("_gone"))).alias("_flags")
+    flags = parsed.join(gone, "_row").select("_row", flags).groupBy("_row").agg(F.first("_flags").alias("_flags"))
     own = docs.select("doc_id", "text", F.struct("*").alias("_all"))  # other columns keep their names in there
     text = F.coalesce("text", F.lit(""))
     own = own.withColumns({"_key": F.xxhash64("doc_id", text), "_lines": F.split(text, "\n")})
-    joined = own.join(gone, F.col("_key") == F.col("_row"), "left").withColumn("_templates", F.expr(TEMPLATES))
-    # As one array, so that the templates of a text are computed once and not again for every line.
-    pairs = F.filter(F.arrays_zip("_lines", "_templates"), lambda x: ~F.arrays_overlap(x["_templates"], F.col("_gone")))
-    stay = F.transform(pairs, lambda x: x["_lines"])
-    return joined.withColumn("_stay", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(stay))
+    pairs = F.filter(F.arrays_zip("_lines", "_flags"), lambda x: x["_flags"])
+    stay = F.when(F.col("_flags").isNull(), F.col("_lines")).otherwise(F.transform(pairs, lambda x: x["_lines"]))
+    return own.join(flags, F.col("_key") == F.col("_row"), "left").withColumn("_stay", stay)
 
 
 def line_digest(docs: DataFrame, min_docs: int = 5) -> DataFrame:
@@ -89,7 +96,7 @@ def line_digest(docs: DataFrame, min_docs: int = 5) -> DataFrame:
 def drop_recurring(docs: DataFrame, min_docs: int = 5) -> DataFrame:
     """``docs`` with the lines that stay as ``text`` and, where there is such a column, their length as ``n_chars``."""
     found = _kept(docs, min_docs)
-    same, joined = F.col("_gone").isNull(), F.array_join("_stay", "\n")
+    same, joined = F.col("_flags").isNull(), F.array_join("_stay", "\n")
     new = {c: F.col("_all")[c] for c in docs.columns}
     new["text"] = F.when(same, F.col("text")).otherwise(joined)
     if "n_chars" in new:
