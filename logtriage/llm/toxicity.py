@@ -5,8 +5,8 @@ family. Training minimises the log-loss of the labels plus ``pull`` times the sq
 a text and its counterfactual, plus a small ridge. A word that merely names a group therefore cannot carry a label on its
 own, and neutral mentions are not rejected.
 
-The classifier is fitted on a bounded sample: the ``sample`` labelled rows that come first in the order of a hash of id and
-text. Everything else covers all rows: a text is scored as a whole, wherever its words stand.
+The classifier is fitted on a bounded sample: the ``sample`` labelled rows that come first in the order of a hash of their
+id. Everything else covers all rows: a text is scored as a whole, wherever its words stand.
 
 A text's features are its distinct lower-case words of letters and beginnings of them, as far as ``least_texts`` sample
 texts hold them. The logit is the sum of their weights and a bias.
@@ -176,11 +176,16 @@ def fit(
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, label: str = "toxic") -> list[tuple[str, int]]:
-    """At most ``sample`` (text, label) rows outside the held-out fold, first in the order of a hash of their contents."""
+    """At most ``sample`` (text, label) rows outside the held-out fold, of the labels that come first by a hash of their id.
+
+    The labels are chosen before any text is touched, so no more than ``sample`` of them are sent to the scan of the texts,
+    and no text but theirs is moved.
+    """
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label"))
     known = known.where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id")))
-    rows = texts(docs).join(known, F.col("doc_id") == F.col("id"))
-    first = rows.orderBy(F.xxhash64("id", "text"), "id").limit(sample)
+    chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
+    rows = texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    first = rows.orderBy(F.xxhash64("id", "text"), "id", "label").limit(sample)  # an id may have many texts
     return [(r.text, r.label) for r in first.select("text", "label").toLocalIterator()]
 
 
