@@ -143,13 +143,15 @@ def fit(
     y = np.array([label for _, label in labelled], dtype=float)
     if not len(y) or y.min() == y.max():
         return Model(constant=float(y.mean()) if len(y) else 0.0)
-    own = [words(text) for text, _ in labelled]
+    shared: dict[str, str] = {}  # texts hold the same words, so each is kept once
+    own = [{shared.setdefault(w, w) for w in words(text)} for text, _ in labelled]
     pairs = [(k, {SWAP.get(w, w) for w in x}) for k, x in enumerate(own) if not x.isdisjoint(SWAP)]
     seen = Counter(f for x in [*own, *(x for _, x in pairs)] for f in {f for w in x for f in word_features(w)})
     vocabulary = Vocabulary({f: k for k, f in enumerate(telling(own, y, seen, least_texts, least_z))})
     row, col = _matrix(own, vocabulary)
     swapped_row, swapped_col = _matrix([x for _, x in pairs], vocabulary)
     first = np.array([k for k, _ in pairs], dtype=np.int64)
+    del own, seen, shared
     n, m, width = len(y), len(pairs), len(vocabulary.place)
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     w, bias = np.zeros(width), 0.0
