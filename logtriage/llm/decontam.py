@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logtriage.llm.common import texts
-from logtriage.llm.shingles import runs
+from logtriage.llm.shingles import Runs, runs
 
 #: Bound on the benchmark text that one scan of the documents looks for.
 BLOCK_BYTES = 8_000_000
@@ -92,11 +92,12 @@ def longest_common(a: np.ndarray, b: np.ndarray, least: int) -> tuple[int, int,
 
     A length is possible only if all shorter ones are, so it is found by bisection over Karp-Rabin fingerprints.
     """
+    runs_a, runs_b = Runs(a), Runs(b)
 
     def common(n: int) -> tuple[int, int] | None:
         if n > min(len(a), len(b)):
             return None
-        left, right = runs(a, n), runs(b, n)
+        left, right = runs_a.of(n), runs_b.of(n)
         free_a, free_b = np.flatnonzero(_unbroken(a, n)), np.flatnonzero(_unbroken(b, n))
         _, at_b, at_a = np.intersect1d(right[free_b], left[free_a], return_indices=True)
         if not len(at_b):

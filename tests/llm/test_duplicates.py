@@ -250,6 +250,25 @@ def test_reordered_passages_are_found(spark, docs_of):
     assert decontam.contaminated(docs_of(rows), bench.limit(0)).count() == 0
 
 
+def test_long_items(spark, docs_of):
+    """Items far longer than any of the tables: copied whole, reordered, and sharing one seed only."""
+    rng = random.Random(9)
+    words = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
+    item, other = words(420), words(65)
+    parts = [item[k : k + 105] for k in range(0, 420, 105)]
+    rows = [
+        (1, words(7) + item + words(9)),
+        (2, parts[3] + words(5) + parts[1] + parts[0] + words(70) + parts[2]),
+        (3, words(200) + item[200:205] + words(200)),
+        (4, other),
+        (5, item[:400]),
+    ]
+    bench = spark.createDataFrame([(10, " ".join(item)), (11, " ".join(other))], "item_id int, text string")
+    found = decontam.contaminated(docs_of([(d, " ".join(w)) for d, w in rows]), bench).collect()
+    got = {(r.doc_id, r.item_id): (r.n_words, r.n_covered, r.n_tiles) for r in found}
+    assert got == {(1, 10): (420, 420, 1), (2, 10): (420, 420, 4), (4, 11): (65, 65, 1), (5, 10): (420, 400, 1)}
+
+
 def test_benchmark_blocks(spark, sf, monkeypatch):
     whole = {tuple(r) for r in QUERIES["op6_decontamination"](spark, sf).collect()}
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 1500)
