@@ -1,6 +1,7 @@
 """Training-text pipeline: five stages over ``documents``, each of which calls one operator.
 
-Every stage reads what the one before it has written. All stages but the last return the columns of ``documents``.
+Every stage reads what the one before it has written. All stages but the last return the columns of ``documents``. A stage
+that decides for rows gives each a key of its own first and filters by it, so null and repeated ids are told apart.
 """
 
 from __future__ import annotations
@@ -15,15 +16,26 @@ from logtriage.llm import decontam, line_templates, near_dups, packing, toxicity
 from logtriage.llm.common import stored
 
 
-def _matching(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose ``doc_id`` is in ``found`` (``id``)."""
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["id"]), "left_semi")
+#: Column that a stage keeps a row's own key in.
+KEY = "_row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key for every row, written down: ids may be null or repeat, and a computed key may change."""
+    return stored(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed-rows")
+
+
+def _as_id(rows: DataFrame) -> DataFrame:
+    """The keys in place of the ids, for operators that name rows by ``doc_id``."""
+    return rows.select(F.col(KEY).alias("doc_id"), "text")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be toxic go."""
-    judged = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _matching(docs, judged.where("predicted = 0").select(F.col("doc_id").alias("id")))
+    """Rows that the classifier predicts to be toxic go."""
+    rows = _keyed(docs)
+    model = toxicity.trained(rows.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    clean = toxicity.score(_as_id(rows), model).where("predicted = 0").select(F.col("doc_id").alias("id"))
+    return rows.join(clean, F.col(KEY) == F.col("id"), "left_semi").drop(KEY)
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +44,22 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    found = near_dups.near_duplicates(docs, words=5, percent=80)
-    return _matching(docs, found.where("kept").select(F.col("doc_id").alias("id")))
+    """Of each group of near-duplicates one row stays: the smallest by id, then by key; null ids come last."""
+    rows = _keyed(docs)
+    found = near_dups.near_duplicates(_as_id(rows), words=5, percent=80)
+    groups = found.select(F.col("doc_id").alias("id"), "component_id")
+    placed = rows.select("doc_id", KEY).join(groups, F.col(KEY) == F.col("id"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY)).alias("first")
+    kept = placed.groupBy("component_id").agg(first).select(F.col("first")[KEY].alias("id"))
+    return rows.join(kept, F.col(KEY) == F.col("id"), "left_semi").drop(KEY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return decontam.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Rows that hold a benchmark item go."""
+    rows = _keyed(docs)
+    found = decontam.contaminated(_as_id(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hits = found.select(F.col("doc_id").alias("id")).distinct()
+    return rows.join(hits, F.col(KEY) == F.col("id"), "left_anti").drop(KEY)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

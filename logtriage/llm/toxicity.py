@@ -205,6 +205,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return plain.mapInArrow(scored, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
+def trained(docs: DataFrame, labels: DataFrame, sample: int = 6_000, **options: float) -> Model:
+    """Fit on a bounded sample of labelled rows of ``docs``."""
+    return fit(labelled_sample(docs, labels, sample), **options)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6_000, **options: float) -> DataFrame:
     """Fit on a bounded sample of labelled rows of ``docs`` and score all of them."""
-    return score(docs, fit(labelled_sample(docs, labels, sample), **options))
+    return score(docs, trained(docs, labels, sample, **options))

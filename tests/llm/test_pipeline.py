@@ -38,6 +38,27 @@ def test_stages(spark, sf):
     assert max(used.values()) <= 2048
 
 
+def test_stages_decide_for_rows(spark, sf, docs_of, tmp_path):
+    """Null and repeated ids: what a row is decides, not what another row of its id is."""
+    left = lambda stage, df, at: sorted(((r.doc_id, r.text) for r in stage(spark, df, at).collect()), key=repr)
+    a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
+    rows = [(7, a), (7, a), (None, b), (None, b), (None, c), (3, "d " * 9), (None, "d " * 9), (5, ""), (5, ""), (7, c + " z")]
+    want = sorted([(7, a), (None, b), (7, c + " z"), (3, "d " * 9), (5, ""), (5, "")], key=repr)
+    assert left(corpus_pipeline.keep_one_of_each, docs_of(rows), sf) == want
+
+    spark.createDataFrame([(1, a)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, a), (1, b), (None, f"x {a}"), (None, c), (None, None), (2, f"{a} y"), (2, f"{a} y")]
+    want = sorted([(1, b), (None, c), (None, None)], key=repr)
+    assert left(corpus_pipeline.drop_contaminated, docs_of(rows), str(tmp_path)) == want
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    judged = toxicity.toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet")).select("doc_id", "predicted")
+    of = {p: judged.where(f"predicted = {p}").join(docs, "doc_id").first().text for p in (0, 1)}
+    added = [(i, of[p]) for i in (None, None, 1 << 40, 1 << 40) for p in (0, 1)]
+    found = left(corpus_pipeline.reject_toxic, docs.unionByName(docs_of(added).select(docs.columns)), sf)
+    assert [r for r in found if r[0] in (None, 1 << 40)] == sorted([r for r in added if r[1] == of[0]], key=repr)
+
+
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
