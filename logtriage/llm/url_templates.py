@@ -4,8 +4,9 @@
    further steps work on these counts, not on urls.
 2. Level by level from the host down, a segment keeps a branch of its own if it has ``support`` urls and its labelled share
    of good urls differs from that of its node by ``z2`` (squared standard errors) or more. All others of the node, being
-   rare or statistically similar to it, merge into the wildcard branch ``*``. Below ``LEVELS`` levels one branch ``**``
-   takes what is left of a path, so every url has a template.
+   rare or statistically similar to it, merge into the wildcard branch ``*``. Below ``LEVELS`` levels this goes on as long
+   as a node has support and labels of both kinds, so that a branch can pass there or deeper; ``**`` takes what is left of
+   a path after its last own branch, so every url has a template.
 3. A template's purity is its share of good labels, smoothed by ``weight`` pseudo-labels with the share of its host, which
    is smoothed in turn with the share of all labels. Templates of a purity under one half are rejected.
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from logtriage.llm.common import stored
 
-#: Levels of the tree with branches of their own.
+#: Levels in which wildcards tell paths of different length apart; it is no bound on the depth of branches.
 LEVELS = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,25 +58,50 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]])
     return rule, verdict
 
 
+def _sums() -> list[Column]:
+    return [F.sum(c).alias(c) for c in ("n", "labelled", "good")]
+
+
+def _split(now: DataFrame, level: int, support: int, z2: float, rest: str) -> DataFrame:
+    """``now`` with one more segment in ``template``: its own where the branch passes, else ``rest``."""
+    child = now.where(F.size("segments") > level).withColumn("segment", F.col("segments")[level])
+    branch = child.groupBy("host", "template", "segment").agg(*_sums())
+    node = branch.groupBy("host", "template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("labelled", "good")))
+    off = F.col("good") * F.col("all_labelled") - F.col("all_good") * F.col("labelled")
+    spread = F.col("labelled") * F.col("all_good") * (F.col("all_labelled") - F.col("all_good"))
+    differs = off.cast("double") * off.cast("double") >= F.lit(z2) * spread.cast("double")
+    own = branch.join(node, ["host", "template"]).where((F.col("n") >= support) & (spread > 0) & differs)
+    own = own.select("host", "template", "segment", F.col("segment").alias("own"))
+    joined = now.withColumn("segment", F.get("segments", F.lit(level))).join(own, ["host", "template", "segment"], "left")
+    step = F.when(F.col("segment").isNull(), "").otherwise(F.concat(F.lit("/"), F.coalesce("own", F.lit(rest))))
+    return stored(joined.withColumn("template", F.concat("template", step)).drop("segment", "own"), "masked-paths")
+
+
 def templates(counts: DataFrame, support: int, z2: float) -> DataFrame:
     """``counts`` (``host``, ``masked``, ``n``, ``labelled``, ``good``) with the ``template`` of each masked path."""
     segments = F.filter(F.split("masked", "/"), lambda s: s != "")
     now = stored(counts.withColumns({"segments": segments, "template": F.lit("")}), "masked-paths")
-    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "good")]
-    for level in range(LEVELS):
-        child = now.where(F.size("segments") > level).withColumn("segment", F.col("segments")[level])
-        branch = child.groupBy("host", "template", "segment").agg(*sums)
-        node = branch.groupBy("host", "template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("labelled", "good")))
-        off = F.col("good") * F.col("all_labelled") - F.col("all_good") * F.col("labelled")
-        spread = F.col("labelled") * F.col("all_good") * (F.col("all_labelled") - F.col("all_good"))
-        differs = off.cast("double") * off.cast("double") >= F.lit(z2) * spread.cast("double")
-        own = branch.join(node, ["host", "template"]).where((F.col("n") >= support) & (spread > 0) & differs)
-        own = own.select("host", "template", "segment", F.col("segment").alias("own"))
-        joined = now.withColumn("segment", F.get("segments", F.lit(level))).join(own, ["host", "template", "segment"], "left")
-        step = F.when(F.col("segment").isNull(), "").otherwise(F.concat(F.lit("/"), F.coalesce("own", F.lit("*"))))
-        now = stored(joined.withColumn("template", F.concat("template", step)).drop("segment", "own"), "masked-paths")
-    rest = F.when(F.size("segments") > LEVELS, "/**").otherwise("")
-    return now.withColumn("template", F.concat("template", rest)).drop("segments")
+    level, depth = 0, F.size("segments")
+    while level < LEVELS:
+        now = _split(now, level, support, z2, "*")
+        level += 1
+    done, now = now.where(depth <= level), now.where(depth > level)
+    while not now.isEmpty():
+        # A node of less support, or with labels of one kind only, has no branch that passes, here or deeper.
+        node = now.groupBy("host", "template").agg(*_sums())
+        open_ = node.where((F.col("n") >= support) & (F.col("good") > 0) & (F.col("good") < F.col("labelled")))
+        open_ = open_.select("host", "template", F.lit(True).alias("open"))
+        now = stored(now.join(open_, ["host", "template"], "left"), "masked-paths")
+        closed = now.where("open is null").withColumn("template", F.concat("template", F.lit("/**")))
+        now = now.where("open").drop("open")
+        done = done.unionByName(closed.drop("open"))
+        if now.isEmpty():
+            break
+        now = _split(now, level, support, z2, "**")
+        level += 1
+        done, now = done.unionByName(now.where(depth <= level)), now.where(depth > level)
+    # What no branch follows is one rest of any length.
+    return done.withColumn("template", F.regexp_replace("template", r"(/[*][*])+$", "/**")).drop("segments")
 
 
 def template_verdicts(urls: DataFrame, support: int = 5, z2: float = 3.84, weight: float = 4.0) -> DataFrame:

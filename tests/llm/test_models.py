@@ -135,6 +135,22 @@ def test_urls_cases(spark, duck_over, tmp_path):
     assert {(r.masked, r.template, r.method) for r in tree} == {("/a/*", "/a/*", "allow"), ("/b/*", "/b/*", "block"), ("/c", "/*", "allow")}
 
 
+def test_urls_split_below_the_third_segment(spark):
+    rows = [("h", "/a/b/c/good/*", 1)] * 30 + [("h", "/a/b/c/bad/*/x", 0)] * 30 + [("h", "/a/b/c/new", None)]
+    rows += [("h", f"/a/b/d/k{k}/{'bad' if k % 2 else 'good'}/u{k}/v", 1 - k % 2) for k in range(60)]
+    rows += [("h", "/a/b/d/other/bad/u/w", None), ("h", "/a/b/d/k0/" + "/".join("abcdefghij"), None)]
+    rows += [("one", "/" + "/".join("s" * k), 1) for k in range(40)]
+    df = spark.createDataFrame(rows, "host string, masked string, label int")
+    tree = {(r.host, r.masked): (r.template, r.method) for r in url_templates.template_verdicts(df).collect()}
+    root = "/*/*/*"
+    assert tree["h", "/a/b/c/bad/*/x"][1] == "block" and tree["h", "/a/b/c/good/*"][1] == "allow"
+    assert tree["h", "/a/b/d/k1/bad/u1/v"][1] == "block" == tree["h", "/a/b/d/other/bad/u/w"][1]
+    assert tree["h", "/a/b/d/k2/good/u2/v"][1] == "allow"
+    assert tree["h", "/a/b/c/bad/*/x"][0] == f"{root}/bad/**" and tree["h", "/a/b/c/new"][0] == f"{root}/**"
+    assert tree["h", "/a/b/d/k1/bad/u1/v"][0] == f"{root}/**/bad/**"
+    assert {t for (h, _), (t, _) in tree.items() if h == "one"} == {"", "/*", "/*/*", root, f"{root}/**"}
+
+
 def test_lines_cases(spark, docs_of, duck_over, tmp_path):
     rng = random.Random(9)
     words = [f"wort{c}" for c in "abcdefghijklmnop"]
