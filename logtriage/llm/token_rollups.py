@@ -1,7 +1,8 @@
 """Token counts as rollups that are maintained by deltas.
 
 A change feed says what happened to documents' counts: ``insert`` or ``revise`` (the document now has ``n_tokens`` under
-``tokenizer``, in ``source`` and ``lang``) and ``delete``. A commit looks up what the ledger has for the same documents,
+``tokenizer``, in ``source`` and ``lang``) and ``delete``. Where ids may be null or repeat, a column ``row`` tells rows of
+one id apart; a feed without it has one row for each id. A commit looks up what the ledger has for the same rows,
 and writes signed deltas: minus what was counted, plus what is counted now, summed by source, language and tokenizer
 version. Totals are the sums of all deltas; no commit reads texts or totals again.
 
@@ -9,9 +10,10 @@ Commits are idempotent. A batch has an id; its ledger rows are written first, it
 of the id, and Spark's ``_SUCCESS`` file of the deltas is the commit. A batch that is committed already changes nothing, one
 that broke off is written anew, and readers look at committed batches only.
 
-Cases: several changes of one document and tokenizer in a batch count as one, a delete before others, else the one with
-the most tokens; a delete of what is not there, and a delete without tokenizer for each tokenizer that is there, are
-allowed; a null ``doc_id`` is a document of its own; null sources and languages are groups of their own; null counts are
+Cases: several changes of one row and tokenizer in a batch count as one, a delete before others, else the one with the
+most tokens; a delete of what is not there is allowed, and a delete without tokenizer or with a null ``row`` is one for each
+tokenizer or row of the document that is there; a null ``row`` of another change, and of a feed without the column, is
+row 0; a null ``doc_id`` is an id like others; null sources and languages are groups of their own; null counts are
 0; an empty batch commits nothing but its id. Other columns are not read.
 """
 
@@ -20,9 +22,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEDGER = "doc_id bigint, tokenizer string, source string, lang string, n_tokens bigint, live boolean, turn int"
+from logtriage.llm.common import stored
+
+LEDGER = "doc_id bigint, row bigint, tokenizer string, source string, lang string, n_tokens bigint, live boolean, turn int"
 DELTAS = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
-CHANGES = ["op", "doc_id", "tokenizer", "source", "lang", "n_tokens"]
+CHANGES = ["op", "doc_id", "row", "tokenizer", "source", "lang", "n_tokens"]
 
 #: Token patterns by tokenizer version (white space is ASCII).
 WORDS = r"[^ \t\n\x0B\f\r]+"
@@ -53,11 +57,11 @@ class TokenRollup:
         return self.spark.read.schema(schema).parquet(*paths)
 
     def ledger(self) -> DataFrame:
-        """What is counted now: the last row of each document and tokenizer, if it is live."""
+        """What is counted now: the last entry of each document, row and tokenizer, if it is live."""
         columns = ("source", "lang", "n_tokens", "live")
         last = F.max_by(F.struct(*columns), "turn").alias("last")
-        rows = self._read("ledger", LEDGER).groupBy("doc_id", "tokenizer").agg(last)
-        return rows.select("doc_id", "tokenizer", "last.*").where("live").drop("live")
+        rows = self._read("ledger", LEDGER).groupBy("doc_id", "row", "tokenizer").agg(last)
+        return rows.select("doc_id", "row", "tokenizer", "last.*").where("live").drop("live")
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply a batch of ``changes``; False if it was committed before."""
@@ -65,22 +69,27 @@ class TokenRollup:
         if batch_id in (batch for _, batch in done):
             return False
         turn = len(done)
+        if "row" not in changes.columns:
+            changes = changes.withColumn("row", F.lit(0).cast("bigint"))
         feed = changes.select(*CHANGES).withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)).cast("bigint"))
-        now = self.ledger().select(F.col("doc_id").alias("id"), F.col("tokenizer").alias("version"))
-        whole = feed.where(F.col("tokenizer").isNull() & (F.col("op") == "delete"))
-        spread = whole.join(now, F.col("doc_id").eqNullSafe(F.col("id")))
-        spread = spread.select(*(F.col("version").alias(c) if c == "tokenizer" else c for c in CHANGES))
-        feed = feed.where(F.col("tokenizer").isNotNull()).unionByName(spread)
+        now = self.ledger().select(F.col("doc_id").alias("id"), F.col("row").alias("place"), F.col("tokenizer").alias("version"))
+        wide = F.col("op").eqNullSafe("delete") & (F.col("tokenizer").isNull() | F.col("row").isNull())
+        meets = F.col("doc_id").eqNullSafe(F.col("id"))
+        meets &= F.coalesce(F.col("row") == F.col("place"), F.lit(True))
+        meets &= F.coalesce(F.col("tokenizer") == F.col("version"), F.lit(True))
+        found = {"row": F.col("place"), "tokenizer": F.col("version")}
+        spread = feed.where(wide).join(now, meets).select(*(found.get(c, F.col(c)).alias(c) for c in CHANGES))
+        feed = feed.where(~wide & F.col("tokenizer").isNotNull()).withColumn("row", F.coalesce("row", F.lit(0))).unionByName(spread)
         order = F.struct((F.col("op") == "delete").alias("gone"), "n_tokens", "source", "lang")
-        rows = feed.groupBy("doc_id", "tokenizer").agg(F.max(order).alias("x"))
+        rows = feed.groupBy("doc_id", "row", "tokenizer").agg(F.max(order).alias("x"))
         live = (~F.col("x.gone")).alias("live")
-        rows = rows.select("doc_id", "tokenizer", "x.source", "x.lang", "x.n_tokens", live, F.lit(turn).alias("turn"))
+        rows = rows.select("doc_id", "row", "tokenizer", "x.source", "x.lang", "x.n_tokens", live, F.lit(turn).alias("turn"))
         own = f"{turn}-{batch_id}"
         rows.write.mode("overwrite").parquet(f"{self.path}/ledger/{own}")
         new = self.spark.read.schema(LEDGER).parquet(f"{self.path}/ledger/{own}")
-        old = self.ledger().withColumnsRenamed({"doc_id": "id", "tokenizer": "version"})
-        same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tokenizer") == F.col("version"))
-        minus = old.join(new.select("doc_id", "tokenizer"), same, "left_semi")
+        old = self.ledger().withColumnsRenamed({"doc_id": "id", "row": "place", "tokenizer": "version"})
+        same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("place")) & (F.col("tokenizer") == F.col("version"))
+        minus = old.join(new.select("doc_id", "row", "tokenizer"), same, "left_semi")
         minus = minus.select("source", "lang", F.col("version").alias("tokenizer"), F.lit(-1).alias("sign"), "n_tokens")
         plus = new.where("live").select("source", "lang", "tokenizer", F.lit(1).alias("sign"), "n_tokens")
         counts = [F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens")]
@@ -95,29 +104,37 @@ class TokenRollup:
         return found.where("n_docs <> 0 or n_tokens <> 0")
 
 
-def counted(docs: DataFrame, tokenizer: str, pattern: str, op: str = "insert") -> DataFrame:
-    """A change for every document: its matches of ``pattern``."""
-    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(pattern)).cast("bigint")
-    return docs.select(F.lit(op).alias("op"), "doc_id", F.lit(tokenizer).alias("tokenizer"), "source", "lang", n.alias("n_tokens"))
+def counted(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """``doc_id``, ``row`` (a number of each row, written down), ``source``, ``lang`` and the matches of each pattern."""
+    text = F.coalesce("text", F.lit(""))
+    counts = (F.regexp_count(text, F.lit(p)).cast("bigint").alias(c) for c, p in patterns.items())
+    row = F.monotonically_increasing_id().alias("row")
+    return stored(docs.select("doc_id", row, "source", "lang", *counts), "token-counts")
 
 
 def corpus_rollup(docs: DataFrame, labels: DataFrame, path: str) -> DataFrame:
     """Load the corpus under two tokenizer versions, revise the counts of low quality, delete what is toxic; the first
-    batch arrives twice."""
+    batch arrives twice. Texts are read once; every row counts, whatever its id."""
     rollup = TokenRollup(docs.sparkSession, path)
-    docs = docs.select("doc_id", "text", "source", "lang")
     flags = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     flags = flags.withColumnRenamed("doc_id", "labelled")
-    first = counted(docs, "words", WORDS)
+    counts = counted(docs, {"words": WORDS, "marks": MARKS, "lettered": LETTERED})
+
+    def feed(op: str, tokenizer: str, column: str) -> DataFrame:
+        return counts.select(
+            F.lit(op).alias("op"), "doc_id", "row", F.lit(tokenizer).alias("tokenizer"), "source", "lang", F.col(column).alias("n_tokens")
+        )
+
+    first = feed("insert", "words", "words")
     rollup.commit("load-words", first)
     rollup.commit("load-words", first)
-    rollup.commit("load-marks", counted(docs, "marks", MARKS))
-    # Counted before it meets the labels: counts are moved, not texts.
-    revised = counted(docs, "words", LETTERED, "revise")
+    rollup.commit("load-marks", feed("insert", "marks", "marks"))
+    revised = feed("revise", "words", "lettered")
     rollup.commit("revise", revised.join(flags.where("quality = 0"), F.col("doc_id") == F.col("labelled"), "left_semi"))
     gone = flags.where("toxic = 1").select(
         F.lit("delete").alias("op"),
         F.col("labelled").alias("doc_id"),
+        F.lit(None).cast("bigint").alias("row"),
         *(F.lit(None).cast("string").alias(c) for c in ("tokenizer", "source", "lang")),
         F.lit(None).cast("bigint").alias("n_tokens"),
     )

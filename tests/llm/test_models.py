@@ -209,3 +209,17 @@ def test_rollup(spark):
     assert totals() == {("s", None, "a", 1, 5), ("s", "en", "a", 1, 7)}
     assert rollup.commit("b6", change(spark, [("insert", 2, "a", "s", None, 1), ("delete", 2, "a", None, None, None)]))
     assert totals() == {("s", "en", "a", 1, 7)}
+
+
+def test_rollup_counts_every_row(spark, duck_over, tmp_path):
+    """Null and repeated ids, equal rows, labels for some of them."""
+    texts = ["a b, 1 2", "a b, 1 2", "c d!", None, "", "x 9 y"]
+    ids = [1, 1, 2, None, None, 3, 3, 3, 4, None]
+    rows = [(d, texts[k % 6], "s" if k % 3 else None, "en") for k, d in enumerate(ids * 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string").repartition(3)
+    labels = spark.createDataFrame([(2, 1, 1), (3, 0, 0), (None, 0, 1)], "doc_id bigint, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = token_rollups.corpus_rollup(docs, labels, new_folder(spark, "rollup-rows"))
+    assert rows_of(got) == sql_rows(duck_over(str(tmp_path)), statements.ORACLES["op10_token_rollups"])
+    assert got.where("tokenizer = 'marks'").agg(F.sum("n_docs")).first()[0] == 27
