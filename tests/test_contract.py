@@ -1,6 +1,11 @@
 """Registered queries against their SQL at the smallest scale."""
 
+import json
 import math
+import pathlib
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -67,3 +72,16 @@ def test_detection_plans_shuffle_only_where_stated(spark, sf):
         plan = entry.queries()[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
         # The fixture spreads its small file; the detector itself adds no exchange.
         assert plan.count("Exchange") <= exchanges, plan
+
+
+@pytest.mark.parametrize("gone", [("llm", "corpus_pipeline.py"), ("llm",), ("corpus_pipeline.py",)])
+def test_library_without_the_corpus_operators(tmp_path, gone):
+    root = pathlib.Path(entry.__file__).parent
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "tests", "__pycache__", *gone))
+    told = "import __spark_entry__ as e, json; print(json.dumps([sorted(e.queries()), sorted(e.oracle_sql())]))"
+    done = subprocess.run([sys.executable, "-c", told], cwd=copy, capture_output=True, text=True, timeout=120, check=True)
+    queries, sql = json.loads(done.stdout)
+    assert set(QUERIES) <= set(queries) and set(ORACLES) <= set(sql) and "pipeline" not in queries
+    if "llm" in gone:
+        assert set(queries) == set(QUERIES)
