@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from logtriage.llm import (
     decontam,
+    divergence,
     kd_search,
     line_templates,
     near_dups,
@@ -74,6 +75,10 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollups.corpus_rollup(docs, labels, new_folder(spark, "rollup"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,5 +92,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_templates,
         op9_line_dedup,
         op10_token_rollups,
+        op13_source_divergence,
     )
 }
