@@ -12,7 +12,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: no lineage, no second computation."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
 
 
 def forget(spark: SparkSession, path: str) -> None:
@@ -23,6 +25,12 @@ def forget(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` returned, once nothing that is still to be computed reads them."""
+    for table in tables:
+        forget(table.sparkSession, table.stored_at)
+
+
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only ``key`` and ``text`` (as ``doc_id``, ``text``), a null text as an empty one."""
     return df.select(df[key].alias("doc_id"), F.coalesce(df[text], F.lit("")).alias("text"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from logtriage.llm import (
     decontam,
     divergence,
+    dual_tree,
     kd_search,
     line_templates,
     near_dups,
@@ -75,6 +76,10 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollups.corpus_rollup(docs, labels, new_folder(spark, "rollup"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_templates,
         op9_line_dedup,
         op10_token_rollups,
+        op12_vector_codes,
         op13_source_divergence,
     )
 }

@@ -107,6 +107,45 @@ c AS (
 SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM c GROUP BY ALL
 """
 
+def _lloyd_round(k: int) -> str:
+    """Codebooks c<k> to c<k+1>: assign every part, then take floors of means."""
+    return f"""
+n{k} AS MATERIALIZED (
+  SELECT x.r, x.part, any_value(x.v) AS v,
+         min(struct_pack(d := list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i]))),
+                         e := c.e)) AS best
+  FROM x JOIN c{k} c ON x.part = c.part GROUP BY x.r, x.part),
+m{k} AS (
+  SELECT part, e, pos, sum(y) AS s, count(*) AS n
+  FROM (SELECT part, best.e AS e, unnest(v) AS y, unnest(range(len(v))) AS pos FROM n{k}) GROUP BY ALL),
+c{k + 1} AS MATERIALIZED (
+  SELECT c.part, c.e, coalesce(any_value(t.v), any_value(c.v)) AS v
+  FROM c{k} c LEFT JOIN (
+    SELECT part, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS v FROM m{k} GROUP BY ALL) t
+    ON c.part = t.part AND c.e = t.e GROUP BY c.part, c.e),"""
+
+
+OP12_VECTOR_CODES = (
+    r"""
+WITH w AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(4096 * x::DOUBLE) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (
+  SELECT r, part, v[part * len(v) // 8 + 1:(part + 1) * len(v) // 8] AS v
+  FROM (SELECT r, v, unnest(range(8)) AS part FROM w)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS e, v FROM x WHERE r <= 16),"""
+    + "".join(_lloyd_round(k) for k in range(7))
+    + r"""
+b AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c6),
+g AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error
+      FROM n6 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM w JOIN g ON w.r = g.r, b
+"""
+)
+
 OP13_SOURCE_DIVERGENCE = r"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
@@ -148,5 +187,6 @@ ORACLES: dict[str, str] = {
     "op8_url_templates": OP8_URL_TEMPLATES,
     "op9_line_dedup": OP9_LINE_DEDUP,
     "op10_token_rollups": OP10_TOKEN_ROLLUPS,
+    "op12_vector_codes": OP12_VECTOR_CODES,
     "op13_source_divergence": OP13_SOURCE_DIVERGENCE,
 }
