@@ -16,6 +16,7 @@ from logtriage.llm import (
     line_templates,
     near_dups,
     packing,
+    parity,
     suffix_index,
     token_file,
     token_rollups,
@@ -76,6 +77,10 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollups.corpus_rollup(docs, labels, new_folder(spark, "rollup"))
 
 
+def op11_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity.jaccard_classes(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dual_tree.compress(table(spark, sf_dir, "embeddings")).drop("label")
 
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_templates,
         op9_line_dedup,
         op10_token_rollups,
+        op11_parity_join,
         op12_vector_codes,
         op13_source_divergence,
     )

@@ -107,6 +107,33 @@ c AS (
 SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM c GROUP BY ALL
 """
 
+def _jaccard(percent: int, columns: str) -> str:
+    """Components of texts whose sets of three-word shingles are this similar."""
+    return rf"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                            ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS t
+  FROM d),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+l AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b FROM s a JOIN s b ON a.t = b.t AND a.r <> b.r JOIN n x ON x.r = a.r JOIN n y ON y.r = b.r
+  GROUP BY a.r, b.r, x.n, y.n HAVING 100 * count(*) >= {percent} * (x.n + y.n - count(*))),
+reached AS (SELECT r AS a, r AS b FROM d UNION SELECT reached.a, l.b FROM reached JOIN l ON reached.b = l.a),
+c AS (SELECT a AS r, min(doc_id) AS component_id FROM reached JOIN d ON d.r = reached.b GROUP BY a)
+SELECT {columns} FROM d JOIN c ON d.r = c.r LEFT JOIN n ON n.r = d.r
+"""
+
+
+OP5_NEAR_DUPLICATES = _jaccard(
+    85, "doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept"
+)
+OP11_PARITY_JOIN = _jaccard(90, "doc_id, coalesce(n, 0) AS n_shingles, component_id")
+
+
 def _lloyd_round(k: int) -> str:
     """Codebooks c<k> to c<k+1>: assign every part, then take floors of means."""
     return f"""
@@ -187,6 +214,8 @@ ORACLES: dict[str, str] = {
     "op8_url_templates": OP8_URL_TEMPLATES,
     "op9_line_dedup": OP9_LINE_DEDUP,
     "op10_token_rollups": OP10_TOKEN_ROLLUPS,
+    "op5_near_duplicates": OP5_NEAR_DUPLICATES,
+    "op11_parity_join": OP11_PARITY_JOIN,
     "op12_vector_codes": OP12_VECTOR_CODES,
     "op13_source_divergence": OP13_SOURCE_DIVERGENCE,
 }
