@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +40,11 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(df[key].alias("doc_id"), F.coalesce(df[text], F.lit("")).alias("text"))
 
 
+def digested(df: DataFrame) -> DataFrame:
+    """``doc_id``, ``digest`` of the text, ``text``: id and digest together find a row again, whatever its id."""
+    return texts(df).select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -43,3 +52,37 @@ def partitions(spark: SparkSession) -> int:
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """Whether crc32 of the id as text leaves no remainder; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % F.lit(folds) == 0
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of its numbered forms that no column of ``df`` has."""
+    taken, found, k = {c.lower() for c in df.columns}, name, 0
+    while found.lower() in taken:
+        k += 1
+        found = f"{name}_{k}"
+    return found
+
+
+def rows_where(docs: DataFrame, keep: Callable[[bytes], bool], text: str = "text") -> DataFrame:
+    """The rows whose text (a null one is empty) is to be kept, with all their columns, judged in one scan."""
+    at = docs.columns.index(text)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = (x.as_py() or b"" for x in batch.column(at).cast(pa.binary()))
+            yield batch.filter(pa.array([keep(x) for x in told], pa.bool_()))
+
+    return docs.mapInArrow(passed, docs.schema)
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of every row, and the key's name.
+
+    Rows of Parquet files are told by their file and place there, so nothing is written; other rows are written down first.
+    """
+    name = fresh_name(docs, "row_key")
+    try:
+        place = docs.metadataColumn("_metadata")
+        return docs.withColumn(name, F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("row"))), name
+    except AnalysisException:
+        return keyed(stored(docs, "keyed-rows"))

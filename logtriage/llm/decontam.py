@@ -19,14 +19,14 @@ from __future__ import annotations
 import functools
 import string
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
-from logtriage.llm.common import texts
+from logtriage.llm.common import rows_where, stored, texts
 from logtriage.llm.shingles import Runs, runs
 
 #: Bound on the benchmark text that one scan of the documents looks for.
@@ -45,7 +45,7 @@ class Items:
 
     def __init__(self, items: list[tuple[int | None, bytes]], seed: int) -> None:
         self.seed, self.words = seed, {}
-        self.rows = []
+        self.rows, self.runs = [], []
         found: dict[int, set[int]] = defaultdict(set)
         self.short: set[int] = set()  # lengths of items with fewer words than a seed
         for item_id, text in items:
@@ -58,6 +58,7 @@ class Items:
             if len(ids) < seed:
                 self.short.add(len(ids))
             self.rows.append((item_id, ids))
+            self.runs.append(runs(ids, seed))
         self.seeds = {h: tuple(sorted(x)) for h, x in found.items()}
         self.known = np.array(sorted(self.seeds), dtype=np.uint64)
 
@@ -67,18 +68,41 @@ class Items:
         get = self.words.get
         return np.fromiter((get(w, 0) for w in own), dtype=np.uint64, count=len(own))
 
-    def candidates(self, ids: np.ndarray) -> set[int]:
-        """Items that share a seed with the document."""
+    def candidates(self, ids: np.ndarray, threshold: float = 0.0) -> set[int]:
+        """Items that share a seed with the document, as far as all shared seeds together cover enough of the item."""
         hit: set[int] = set()
+        shared = []
         for n in {self.seed, *self.short}:
             if n > len(ids) or not len(self.known):
                 continue
             hashes = runs(ids, n)
             hashes = hashes[_unbroken(ids, n)]
             at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-            for h in np.unique(hashes[self.known[at] == hashes]).tolist():
+            shared.append(np.unique(hashes[self.known[at] == hashes]))
+            for h in shared[-1].tolist():
                 hit.update(self.seeds[h])
-        return hit
+        return {k for k in hit if self._reach(k, np.concatenate(shared)) >= threshold * len(self.rows[k][1])}
+
+    def _reach(self, k: int, shared: np.ndarray) -> int:
+        """Words of an item that lie in a seed which the document has too: tiles cannot cover more."""
+        n = len(self.rows[k][1])
+        starts = np.flatnonzero(np.isin(self.runs[k], shared))
+        if n <= self.seed:
+            return n if len(starts) else 0
+        edges = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(edges, starts, 1)
+        np.add.at(edges, starts + self.seed, -1)
+        return int((np.cumsum(edges)[:n] > 0).sum())
+
+    def matches(self, text: bytes, threshold: float) -> Iterator[tuple[int | None, int, int, int]]:
+        """Item id, words, covered words and tiles of every item that a document covers far enough."""
+        ids = self.number(text)
+        for k in sorted(self.candidates(ids, threshold)):
+            item_id, item = self.rows[k]
+            found = tiles(ids, item, self.seed)
+            covered = sum(n for _, _, n in found)
+            if covered >= threshold * len(item):
+                yield item_id, len(item), covered, len(found)
 
 
 def _unbroken(ids: np.ndarray, n: int) -> np.ndarray:
@@ -154,31 +178,50 @@ def contaminated(
 
     def scan(own: Items, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                ids = own.number(data.as_py())
-                for k in sorted(own.candidates(ids)):
-                    item_id, item = own.rows[k]
-                    found = tiles(ids, item, seed)
-                    covered = sum(n for _, _, n in found)
-                    if covered >= threshold * len(item):
-                        rows.append((doc_id, item_id, len(item), covered, len(found), covered / len(item)))
+            rows = [
+                (doc_id, item_id, n, covered, many, covered / n)
+                for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True)
+                for item_id, n, covered, many in own.matches(data.as_py(), threshold)
+            ]
             columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
             arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     found = spark.createDataFrame([], schema)
-    for block in blocks(benchmark, key, text):
-        shared = spark.sparkContext.broadcast(Items(block, seed))
-        found = found.unionByName(texts(docs).mapInArrow(functools.partial(_scan, scan, shared), schema))
+    for own, is_last in _sent(spark, blocks(benchmark, key, text), seed):
+        part = texts(docs).mapInArrow(functools.partial(_scan, scan, own), schema)
+        if not is_last:  # an earlier block's pairs are written, so that its seeds need not stay on the executors
+            part = stored(part, "contaminated")
+            own.unpersist()
+        found = found.unionByName(part)
     return found
 
 
-def _scan(scan: object, shared: object, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sent(spark: SparkSession, found: Iterator[list], seed: int) -> Iterator[tuple[Broadcast, bool]]:
+    """The broadcast items of every block, and whether it is the last one."""
+    block = next(found, None)
+    while block is not None:
+        after = next(found, None)
+        yield spark.sparkContext.broadcast(Items(block, seed)), after is None
+        block = after
+
+
+def _scan(scan: Callable, shared: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return scan(shared.value, batches)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
-    """The rows of ``docs`` that match no item; rows with a null id stay, since they cannot be told apart."""
-    hits = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("hit")).distinct()
-    return docs.join(hits, docs["doc_id"] == hits["hit"], "left_anti")
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, seed: int = 5, threshold: float = 0.8, key: str = "item_id", text: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` whose text matches no item, as they are: each row is judged by itself, in one scan a block."""
+    found = docs
+    for own, is_last in _sent(docs.sparkSession, blocks(benchmark, key, text), seed):
+        found = rows_where(found, functools.partial(_is_clean, own, threshold))
+        if not is_last:
+            found = stored(found, "decontaminated")
+            own.unpersist()
+    return found
+
+
+def _is_clean(own: Broadcast, threshold: float, text: bytes) -> bool:
+    return next(own.value.matches(text, threshold), None) is None

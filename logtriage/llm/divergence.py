@@ -2,12 +2,12 @@
 
 Late string materialization: a term is a fixed-width digest until the end.
 
-1. Every task counts the terms of its documents and writes one row for each (lang, source, term) it holds: digest, text,
-   occurrences, documents. The table lies in columns; the counting that follows reads the digests and never the texts.
-2. Only digests are shuffled, pre-aggregated by (lang, digest) and by (lang, source, digest). A digest whose terms are
+1. Every task counts the terms of its documents and writes one row for each (lang, source, digest) it holds, with
+   occurrences and documents, and one row for each (lang, digest) with the text. The counting that follows reads no texts.
+2. Only digests are shuffled, by (lang, source, digest) and then, pre-aggregated, by (lang, digest). A digest whose terms are
    together in too few documents goes; two terms behind one digest can only be too many here, never too few.
 3. The texts behind the digests that are left are fetched: their smallest and largest string show whether a digest
-   stands for several terms. Those few digests are split: their terms are counted again by text.
+   stands for several terms. Only then documents are read again and the terms of those few digests are counted by text.
 4. The sum over all terms for every two sources is taken in blocks of a language's terms, so that no language and no term
    is one group. A block holds a matrix of sources and terms and adds one row for each two sources.
 5. Ranks need texts for ties only. The value at the wanted rank is found on counts of equal values; what lies below it goes,
@@ -37,9 +37,9 @@ from logtriage.llm.common import stored
 #: Documents of a language that a term must be in.
 MIN_DOCS = 3
 #: Distinct (source, term) entries that a task holds before it writes them; a bound on memory only.
-HELD_TERMS = 400_000
+HELD_TERMS = 600_000
 #: Cells of the matrix of one block of terms, and ordered pairs of sources that one task adds up for a block.
-BLOCK_CELLS = 2_000_000
+BLOCK_CELLS = 50_000
 BLOCK_PAIRS = 500_000
 SCALE = 1_000_000_000
 
@@ -51,38 +51,46 @@ _LOWER = range(0x61, 0x7B)
 _TERMS = bytes(b + 0x20 if b in _UPPER else b if b in _LOWER or b >= 0x80 else 0x20 for b in range(256))
 
 
-def _counted(bits: int):
-    """Rows of (lang, source, digest, term, n, docs) of a task; those of ``term`` null name the group itself."""
-    shift = 64 - bits
+def _counted(bits: int, with_text: bool):
+    """Counts of a task: rows with ``n`` for (lang, source, digest), rows without for texts.
 
-    def digests(terms: list[bytes]) -> np.ndarray:
-        found = np.fromiter(map(xxhash.xxh3_64_intdigest, terms), dtype=np.uint64, count=len(terms))
-        return (found >> np.uint64(shift)).astype(np.int64)
-
-    def written(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in held.items():
-            terms = list(n)
-            columns = [
-                pa.array([lang] * (len(terms) + 1), pa.string()),
-                pa.array([source] * (len(terms) + 1), pa.string()),
-                pa.concat_arrays([pa.array(digests(terms)), pa.nulls(1, pa.int64())]),
-                pa.array([*terms, None], pa.binary()).cast(pa.string()),
-                pa.array([*n.values(), 0], pa.int64()),
-                pa.array([*map(docs.__getitem__, terms), 0], pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "digest", "term", "n", "docs"])
+    A row without a digest names its group. With ``with_text`` every count carries its text, and there are no other rows.
+    """
+    shift = 64 - bits
+    names = ["lang", "source", "digest", "term", "n", "docs"]
+    types = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+
+    def digest(term: bytes) -> int:
+        found = xxhash.xxh3_64_intdigest(term) >> shift
+        return found - (1 << 64) if found >> 63 else found
+
+    def batch(*columns: list) -> pa.RecordBatch:
+        arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+        arrays[3] = arrays[3].cast(pa.string())
+        return pa.RecordBatch.from_arrays(arrays, names)
+
+    def written(held: dict[str, dict[str, tuple[Counter, Counter]]]) -> Iterator[pa.RecordBatch]:
+        for lang, sources in held.items():
+            digests = {term: digest(term) for term in set().union(*(n for n, _ in sources.values()))}
+            if not with_text:
+                none = [None] * len(digests)
+                yield batch([lang] * len(digests), none, list(digests.values()), list(digests), none, none)
+            for source, (n, docs) in sources.items():
+                size = len(n) + 1
+                columns = [[*map(digests.__getitem__, n), None], [*n, None] if with_text else [None] * size]
+                yield batch([lang] * size, [source] * size, *columns, [*n.values(), 0], [*map(docs.__getitem__, n), 0])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held: dict[str, dict[str, tuple[Counter, Counter]]] = {}
         size = 0
-        for batch in batches:
-            texts = batch.column(2).cast(pa.binary())
-            groups = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for group, text in zip(groups, texts, strict=True):
-                if group not in held:
-                    held[group] = (Counter(), Counter())
+        for own in batches:
+            texts = own.column(2).cast(pa.binary())
+            for lang, source, text in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), texts, strict=True):
+                sources = held.setdefault(lang, {})
+                if source not in sources:
+                    sources[source] = (Counter(), Counter())
                     size += 1
-                n, docs = held[group]
+                n, docs = sources[source]
                 size -= len(n)
                 terms = text.as_py().translate(_TERMS).split()
                 n.update(terms)
@@ -96,40 +104,43 @@ def _counted(bits: int):
     return count
 
 
-def term_counts(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """Pre-aggregated counts of each task, written down once."""
+def term_counts(docs: DataFrame, bits: int = 64, with_text: bool = False) -> DataFrame:
+    """Pre-aggregated counts and texts of each task."""
     plain = docs.select(*(F.coalesce(docs[c], F.lit("")).alias(c) for c in ("lang", "source", "text")))
     schema = "lang string, source string, digest bigint, term string, n bigint, docs bigint"
-    return stored(plain.mapInArrow(_counted(bits), schema), "term-counts")
+    return plain.mapInArrow(_counted(bits, with_text), schema)
 
 
-def kept_terms(counts: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
+def kept_terms(docs: DataFrame, raw: DataFrame, min_docs: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """The kept terms of each language, as (counts by group, texts).
 
     The first has ``lang``, ``source``, ``digest``, ``text`` (empty, but for digests of several terms), ``n``; the second ``lang``,
     ``digest``, ``text``, ``term``.
     """
-    numbered = counts.where("term is not null")
-    often = numbered.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
+    counts = raw.where("n > 0").groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counts = stored(counts, "digest-counts")
+    often = counts.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
     often = stored(often.select("lang", "digest"), "kept-digests")
-    # Texts of kept digests only; a term's smallest and largest text over all tasks tell a digest of several terms.
-    ends = [F.min("term").alias("term"), F.max("term").alias("last")]
-    known = numbered.select("lang", "digest", "term").join(often, ["lang", "digest"], "left_semi")
-    known = stored(known.groupBy("lang", "digest").agg(*ends), "kept-texts")
+    # Texts of kept digests only: the smallest and the largest over all tasks tell a digest of several terms.
+    known = raw.where("n is null").select("lang", "digest", "term").join(often, ["lang", "digest"], "left_semi")
+    known = known.groupBy("lang", "digest").agg(F.min("term").alias("term"), F.max("term").alias("last"))
+    known = stored(known, "kept-texts")
+    kept = counts.select("lang", "source", "digest", "n").join(often, ["lang", "digest"], "left_semi")
+    texts = known.select("lang", "digest", F.lit("").alias("text"), "term")
     several = known.where("term <> last").select("lang", "digest")
-    clear = known.where("term = last").select("lang", "digest")
-    by_digest = numbered.select("lang", "source", "digest", "n").join(clear, ["lang", "digest"], "left_semi")
-    by_digest = by_digest.groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"))
-    by_digest = by_digest.withColumn("text", F.lit(""))
-    texts = known.where("term = last").select("lang", "digest", F.lit("").alias("text"), "term")
     if not several.isEmpty():
-        split = numbered.join(several, ["lang", "digest"], "left_semi")
-        enough = split.groupBy("lang", "digest", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
-        enough = stored(enough.select("lang", "digest", "term"), "split-terms")
-        by_text = split.join(enough, ["lang", "digest", "term"], "left_semi").groupBy("lang", "source", "digest", "term")
-        by_digest = by_digest.unionByName(by_text.agg(F.sum("n").alias("n")).withColumnRenamed("term", "text"))
+        key = ["lang", "digest", "term"]
+        split = term_counts(docs, bits, with_text=True).where("n > 0").join(several, ["lang", "digest"], "left_semi")
+        split = stored(split, "split-counts")
+        enough = split.groupBy(*key).agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select(*key)
+        by_text = split.join(enough, key, "left_semi").groupBy("lang", "source", "digest", "term").agg(F.sum("n").alias("n"))
+        kept = kept.join(several, ["lang", "digest"], "left_anti").withColumn("text", F.lit(""))
+        kept = kept.unionByName(by_text.withColumnRenamed("term", "text"))
+        texts = texts.join(several, ["lang", "digest"], "left_anti")
         texts = texts.unionByName(enough.select("lang", "digest", F.col("term").alias("text"), "term"))
-    return stored(by_digest.select("lang", "source", "digest", "text", "n"), "group-counts"), texts
+    else:
+        kept = kept.withColumn("text", F.lit(""))
+    return stored(kept.select("lang", "source", "digest", "text", "n"), "group-counts"), texts
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
@@ -209,12 +220,12 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, ranks: int = 20
 
     ``bits`` is the width of a digest; fewer bits give more digests that stand for several terms, and equal results.
     """
-    raw = term_counts(docs, bits)
-    kept, texts = kept_terms(raw, min_docs)
+    raw = stored(term_counts(docs, bits), "term-counts")
+    kept, texts = kept_terms(docs, raw, min_docs, bits)
     sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("group_total"))
     totals = kept.groupBy("lang").agg(F.sum("n").alias("total"))
     terms = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
-    every = raw.where("term is null").select("lang", "source").distinct()
+    every = raw.where("n = 0").select("lang", "source").distinct()
     sources = every.groupBy("lang").agg(F.count(F.lit(1)).alias("sources"))
     langs = sources.join(terms, "lang", "left").join(totals, "lang", "left")
     langs = langs.select("lang", "sources", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("terms", "total")))

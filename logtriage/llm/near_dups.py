@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtriage.llm.common import stored, texts
+from logtriage.llm.common import digested, drop_stored, stored
 from logtriage.llm.components import components
 from logtriage.llm.shingles import mixed, shingles
 
@@ -73,14 +73,15 @@ def class_key(hashes: np.ndarray) -> bytes:
 
 
 def profiles(docs: DataFrame, words: int) -> DataFrame:
-    """Of each row: ``doc_id``, ``n`` (set size), ``cls`` (null for an empty set), tokens and byte-wide signature."""
+    """Of each row: ``doc_id``, ``digest`` of its text, ``n`` (set size), ``cls`` (null for an empty set), tokens and
+    byte-wide signature."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)
         byte = np.uint64(1) << (np.arange(COORDINATES, dtype=np.uint64) % np.uint64(7) * np.uint64(8))
         for batch in batches:
             sizes, keys, tokens, narrow = [], [], [], []
-            for text in batch.column(1).cast(pa.binary()):
+            for text in batch.column(2).cast(pa.binary()):
                 own = shingles(text.as_py(), words)
                 sizes.append(len(own))
                 if len(own):
@@ -92,12 +93,14 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
                 else:
                     keys.append(None), tokens.append(None), narrow.append(None)
             longs = pa.list_(pa.int64())
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())]
+            columns = [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())]
             columns += [pa.array(tokens, longs), pa.array(narrow, longs)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", "tokens", "narrow"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "cls", "tokens", "narrow"])
 
-    schema = "doc_id bigint, n bigint, cls binary, tokens array<bigint>, narrow array<bigint>"
-    return texts(docs).mapInArrow(profile, schema)
+    plain = digested(docs)
+    kind = plain.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, digest binary, n bigint, cls binary, tokens array<bigint>, narrow array<bigint>"
+    return plain.mapInArrow(profile, schema)
 
 
 def postings(classes: DataFrame, needed: int) -> DataFrame:
@@ -201,7 +204,7 @@ def block_links(long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``cls``, ``n``, ``hashes`` of the classes in ``wanted`` (``cls``, ``rep``: the id of a row that has the text)."""
+    """``cls``, ``n``, ``hashes`` of the classes in ``wanted`` (``cls``, ``row``: id and digest of a row that has the text)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,8 +214,9 @@ def class_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             columns.append(pa.array([x.astype(np.int64) for x in found], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, ["wanted", "cls", "n", "hashes"])
 
-    plain = texts(docs)
-    rows = plain.join(wanted.withColumnRenamed("cls", "wanted"), plain.doc_id.eqNullSafe(F.col("rep")))
+    plain = digested(docs)
+    same = (plain.digest == F.col("row.digest")) & plain.doc_id.eqNullSafe(F.col("row.doc_id"))
+    rows = plain.join(wanted.withColumnRenamed("cls", "wanted"), same)
     read_back = rows.select("text", "wanted").mapInArrow(read, "wanted binary, cls binary, n bigint, hashes array<bigint>")
     return read_back.where("cls = wanted").select("cls", "n", "hashes").dropDuplicates(["cls"])
 
@@ -226,21 +230,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     profile = stored(profiles(docs, words), "profiles")
     classes = profile.where("cls is not null").groupBy("cls")
     same = (F.first(c).alias(c) for c in ("n", "tokens", "narrow"))  # equal in all rows of a class
-    classes = classes.agg(F.min("doc_id").alias("rep"), *same)
+    classes = classes.agg(F.min(F.struct("doc_id", "digest")).alias("row"), *same)
     classes = stored(classes, "classes")
-    prefix = stored(postings(classes, needed), "postings")
-    length = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
-    prefix = prefix.join(length, "token")
+    posted = stored(postings(classes, needed), "postings")
+    length = posted.groupBy("token").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
+    prefix = posted.join(length, "token")
     short, long = prefix.where(F.col("length") <= SHORT), prefix.where(F.col("length") > SHORT)
     pairs = stored(short_pairs(short, needed, percent), "pairs")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(long.select("cls")).distinct()
-    sets = stored(class_sets(docs, wanted.join(classes.select("cls", "rep"), "cls"), words), "sets")
+    sets = stored(class_sets(docs, wanted.join(classes.select("cls", "row"), "cls"), words), "sets")
     of = lambda side: sets.select(*(F.col(c).alias(f"{c}_{side}") for c in ("cls", "n", "hashes")))
     full = pairs.join(of("a"), F.col("a") == F.col("cls_a")).join(of("b"), F.col("b") == F.col("cls_b"))
     common = F.size(F.array_intersect("hashes_a", "hashes_b"))
     links = full.where(_similar(common, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     links = links.unionByName(block_links(long, sets, percent))
     roots = components(links)
+    drop_stored(classes, posted, pairs, sets)
     grouped = profile.where("cls is not null").select("doc_id", "n", "cls")
     grouped = grouped.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))

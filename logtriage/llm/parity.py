@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtriage.llm.common import drop_stored, stored, texts
+from logtriage.llm.common import digested, drop_stored, stored
 from logtriage.llm.components import components
 from logtriage.llm.near_dups import block_links, class_key
 from logtriage.llm.shingles import mixed, shingles
@@ -127,13 +127,10 @@ def profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
             columns = [pa.array(x, t) for x, t in zip(found.values(), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "digest", *found])
 
-    schema = "doc_id bigint, digest binary, n bigint, cls binary, c bigint, tokens array<bigint>, band int, folds array<array<bigint>>"
-    return _digested(docs).mapInArrow(profile, schema)
-
-
-def _digested(docs: DataFrame) -> DataFrame:
-    plain = texts(docs)
-    return plain.select(plain.doc_id.cast("bigint").alias("doc_id"), F.unhex(F.md5("text")).alias("digest"), "text")
+    plain = digested(docs)
+    kind = plain.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, digest binary, n bigint, cls binary, c bigint, tokens array<bigint>, band int, "
+    return plain.mapInArrow(profile, schema + "folds array<array<bigint>>")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -146,7 +143,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             hashes = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("cls"), n, hashes], ["c", "cls", "n", "hashes"])
 
-    rows = _digested(docs)
+    rows = digested(docs)
     same = (rows.digest == F.col("row.digest")) & rows.doc_id.eqNullSafe(F.col("row.doc_id"))
     found = rows.join(wanted.select("c", "cls", "row"), same).select("c", "cls", "text")
     # Rows that repeat both id and text are the only ones that come twice.

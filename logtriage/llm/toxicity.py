@@ -20,7 +20,6 @@ of the toxic ones (0.0 without any); an empty table gives no row. Other columns
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtriage.llm.common import held_out, texts
+from logtriage.llm.common import drop_stored, held_out, partitions, rows_where, stored, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -112,47 +111,168 @@ def words(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
-def _matrix(rows: list[set[str]], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    known = [vocabulary.ids(own) for own in rows]
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in known])
-    return row, np.concatenate([np.zeros(0, np.int64), *known])
+def _flat(known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and feature ids of a sparse matrix of ones."""
+    return np.repeat(np.arange(len(known)), [len(x) for x in known]), np.concatenate([np.zeros(0, np.int64), *known])
 
 
-def telling(own: list[set[str]], y: np.ndarray, seen: Counter, least_texts: int, least_z: float) -> list[str]:
-    """Features in ``least_texts`` texts or more whose shares among the two classes differ by ``least_z`` standard
-    errors, and the identity terms."""
-    toxic = Counter(f for x, label in zip(own, y, strict=True) if label for f in {f for w in x for f in word_features(w)})
-    names = sorted(f for f, n in seen.items() if n >= least_texts)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    total, ones = (np.array([c[f] for f in names], dtype=float) for c in (seen, toxic))
-    share = np.clip(total / len(y), 1e-9, 1 - 1e-9)
-    z = (ones / n1 - (total - ones) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-    return [f for f, x in zip(names, z, strict=True) if abs(x) >= least_z or f in SWAP]
+def swapped(own: set[str]) -> set[str] | None:
+    """The words of a text's counterfactual; none for a text that names no group."""
+    return None if own.isdisjoint(SWAP) else {SWAP.get(w, w) for w in own}
 
 
-def fit(
-    labelled: list[tuple[str, int]],
+def counted(rows: list[tuple[set[str], int]]) -> dict[str, list[int]]:
+    """Of every feature: in how many texts and counterfactuals it is, and in how many toxic texts."""
+    found: dict[str, list[int]] = {}
+    for own, label in rows:
+        for words_, toxic in ((own, label), (swapped(own), 0)):
+            for f in {f for w in words_ or () for f in word_features(w)}:
+                counts = found.setdefault(f, [0, 0])
+                counts[0] += 1
+                counts[1] += toxic
+    return found
+
+
+def telling(names: list[str], seen: np.ndarray, toxic: np.ndarray, n1: int, n0: int, least_z: float) -> list[str]:
+    """Features whose shares among the two classes differ by ``least_z`` standard errors, and the identity terms."""
+    share = np.clip(seen / (n1 + n0), 1e-9, 1 - 1e-9)
+    z = (toxic / n1 - (seen - toxic) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    return sorted(f for f, x in zip(names, z, strict=True) if abs(x) >= least_z or f in SWAP)
+
+
+def train(
+    vocabulary: Vocabulary,
+    y: np.ndarray,
+    own: list[np.ndarray],
+    other: dict[int, np.ndarray],
     pull: float = 1.0,
     ridge: float = 1e-3,
-    least_texts: int = 3,
-    least_z: float = 3.0,
     steps: int = 300,
     rate: float = 0.1,
 ) -> Model:
-    """Adam on the whole sample: log-loss, counterfactual pull, ridge."""
+    """Adam on the whole sample: log-loss, counterfactual pull, ridge.
+
+    ``own`` are the feature ids of each text, ``other`` those of the counterfactuals, by the number of their text.
+    """
+    row, col = _flat(own)
+    swapped_row, swapped_col = _flat(list(other.values()))
+    first = np.array(list(other), dtype=np.int64)
+    n, m, width = len(y), len(other), len(vocabulary.place)
+    balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    w, bias = np.zeros(width), 0.0
+    moment, power = np.zeros(width + 1), np.zeros(width + 1)
+    change = np.zeros(m)
+    for step in range(1, steps + 1):
+        logit = bias + np.bincount(row, weights=w[col], minlength=n)
+        slope = balance * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / n
+        if m:
+            change = logit[first] - bias - np.bincount(swapped_row, weights=w[swapped_col], minlength=m)
+            tug = 2 * pull * change / m
+            slope_w = np.bincount(swapped_col, weights=-tug[swapped_row], minlength=width)
+            slope_own = slope + np.bincount(first, weights=tug, minlength=n)
+        else:
+            slope_w, slope_own = np.zeros(width), slope
+        slope_w += np.bincount(col, weights=slope_own[row], minlength=width) + ridge * w
+        gradient = np.append(slope_w, slope.sum())
+        moment = 0.9 * moment + 0.1 * gradient
+        power = 0.999 * power + 0.001 * gradient**2
+        move = rate * (moment / (1 - 0.9**step)) / (np.sqrt(power / (1 - 0.999**step)) + 1e-8)
+        w, bias = w - move[:-1], bias - move[-1]
+    gap = float(np.abs(change).mean()) if m else 0.0
+    return Model(float(bias), vocabulary, w, gap=gap)
+
+
+def fit(labelled: list[tuple[str, int]], least_texts: int = 3, least_z: float = 3.0, **options: float) -> Model:
+    """A model of (text, label) rows that are at hand."""
     y = np.array([label for _, label in labelled], dtype=float)
     if not len(y) or y.min() == y.max():
         return Model(constant=float(y.mean()) if len(y) else 0.0)
-    shared: dict[str, str] = {}  # texts hold the same words, so each is kept once
-    own = [{shared.setdefault(w, w) for w in words(text)} for text, _ in labelled]
-    pairs = [(k, {SWAP.get(w, w) for w in x}) for k, x in enumerate(own) if not x.isdisjoint(SWAP)]
-    seen = Counter(f for x in [*own, *(x for _, x in pairs)] for f in {f for w in x for f in word_features(w)})
-    vocabulary = Vocabulary({f: k for k, f in enumerate(telling(own, y, seen, least_texts, least_z))})
-    row, col = _matrix(own, vocabulary)
-    swapped_row, swapped_col = _matrix([x for _, x in pairs], vocabulary)
-    first = np.array([k for k, _ in pairs], dtype=np.int64)
-    del own, seen, shared
-    n, m, width = len(y), len(pairs), len(vocabulary.place)
+    rows = [(words(text), label) for text, label in labelled]
+    counts = {f: c for f, c in counted(rows).items() if c[0] >= least_texts}
+    seen, toxic = np.array(list(counts.values()), dtype=float).reshape(-1, 2).T
+    told = telling(list(counts), seen, toxic, int(y.sum()), int(len(y) - y.sum()), least_z)
+    vocabulary = Vocabulary({f: k for k, f in enumerate(told)})
+    other = {k: vocabulary.ids(x) for k, (own, _) in enumerate(rows) if (x := swapped(own)) is not None}
+    return train(vocabulary, y, [vocabulary.ids(own) for own, _ in rows], other, **options)
+
+
+def sample_rows(docs: DataFrame, labels: DataFrame, sample: int, label: str = "toxic") -> DataFrame:
+    """At most ``sample`` rows (``text``, ``label``, ``place``) outside the held-out fold, the first by a hash of their id.
+
+    The labels are chosen before any text is touched, so no more than ``sample`` of them are sent to the scan of the texts,
+    and no text but theirs is moved.
+    """
+    known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label"))
+    known = known.where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id")))
+    chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
+    rows = texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    place = F.xxhash64("id", "text")
+    return rows.orderBy(place, "id", "label").limit(sample).select("text", "label", place.alias("place"))  # ids may repeat
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, label: str = "toxic") -> list[tuple[str, int]]:
+    """The sample's (text, label) rows, on the driver."""
+    return [(r.text, r.label) for r in sample_rows(docs, labels, sample, label).toLocalIterator()]
+
+
+def score(self, text: str) -> float:
+        if self.constant is not None:
+            return self.constant
+        logit = self.bias + self.weights[self.vocabulary.ids(words(text))].sum()
+        return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+
+
+def words(text: str) -> set[str]:
+    return set(WORD.findall(text.lower()))
+
+
+def _flat(known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and feature ids of a sparse matrix of ones."""
+    return np.repeat(np.arange(len(known)), [len(x) for x in known]), np.concatenate([np.zeros(0, np.int64), *known])
+
+
+def swapped(own: set[str]) -> set[str] | None:
+    """The words of a text's counterfactual; none for a text that names no group."""
+    return None if own.isdisjoint(SWAP) else {SWAP.get(w, w) for w in own}
+
+
+def counted(rows: list[tuple[set[str], int]]) -> dict[str, list[int]]:
+    """Of every feature: in how many texts and counterfactuals it is, and in how many toxic texts."""
+    found: dict[str, list[int]] = {}
+    for own, label in rows:
+        for words_, toxic in ((own, label), (swapped(own), 0)):
+            for f in {f for w in words_ or () for f in word_features(w)}:
+                counts = found.setdefault(f, [0, 0])
+                counts[0] += 1
+                counts[1] += toxic
+    return found
+
+
+def telling(names: list[str], seen: np.ndarray, toxic: np.ndarray, n1: int, n0: int, least_z: float) -> list[str]:
+    """Features whose shares among the two classes differ by ``least_z`` standard errors, and the identity terms."""
+    share = np.clip(seen / (n1 + n0), 1e-9, 1 - 1e-9)
+    z = (toxic / n1 - (seen - toxic) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    return sorted(f for f, x in zip(names, z, strict=True) if abs(x) >= least_z or f in SWAP)
+
+
+def train(
+    vocabulary: Vocabulary,
+    y: np.ndarray,
+    own: list[np.ndarray],
+    other: dict[int, np.ndarray],
+    pull: float = 1.0,
+    ridge: float = 1e-3,
+    steps: int = 300,
+    rate: float = 0.1,
+) -> Model:
+    """Adam on the whole sample: log-loss, counterfactual pull, ridge.
+
+    ``own`` are the feature ids of each text, ``other`` those of the counterfactuals, by the number of their text.
+    """
+    row, col = _flat(own)
+    swapped_row, swapped_col = _flat(list(other.values()))
+    first = np.array(list(other), dtype=np.int64)
+    n, m, width = len(y), len(other), len(vocabulary.place)
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     w, bias = np.zeros(width), 0.0
     moment, power = np.zeros(width + 1), np.zeros(width + 1)
@@ -177,6 +297,39 @@ def fit(
     return Model(float(bias), vocabulary, w, gap=gap)
 
 
+def fit(labelled: list[tuple[str, int]], least_texts: int = 3, least_z: float = 3.0, **options: float) -> Model:
+    """A model of (text, label) rows that are at hand."""
+    y = np.array([label for _, label in labelled], dtype=float)
+    if not len(y) or y.min() == y.max():
+        return Model(constant=float(y.mean()) if len(y) else 0.0)
+    rows = [(words(text), label) for text, label in labelled]
+    counts = {f: c for f, c in counted(rows).items() if c[0] >= least_texts}
+    seen, toxic = np.array(list(counts.values()), dtype=float).reshape(-1, 2).T
+    told = telling(list(counts), seen, toxic, int(y.sum()), int(len(y) - y.sum()), least_z)
+    vocabulary = Vocabulary({f: k for k, f in enumerate(told)})
+    other = {k: vocabulary.ids(x) for k, (own, _) in enumerate(rows) if (x := swapped(own)) is not None}
+    return train(vocabulary, y, [vocabulary.ids(own) for own, _ in rows], other, **options)
+
+
+def sample_rows(docs: DataFrame, labels: DataFrame, sample: int, label: str = "toxic") -> DataFrame:
+    """At most ``sample`` rows (``text``, ``label``, ``place``) outside the held-out fold, the first by a hash of their id.
+
+    The labels are chosen before any text is touched, so no more than ``sample`` of them are sent to the scan of the texts,
+    and no text but theirs is moved.
+    """
+    known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label"))
+    known = known.where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id")))
+    chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
+    rows = texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    place = F.xxhash64("id", "text")
+    return rows.orderBy(place, "id", "label").limit(sample).select("text", "label", place.alias("place"))  # ids may repeat
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, label: str = "toxic") -> list[tuple[str, int]]:
+    """The sample's (text, label) rows, on the driver."""
+    return [(r.text, r.label) for r in sample_rows(docs, labels, sample, label).toLocalIterator()]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, label: str = "toxic") -> list[tuple[str, int]]:
     """At most ``sample`` (text, label) rows outside the held-out fold, of the labels that come first by a hash of their id.
 
@@ -205,9 +358,51 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return plain.mapInArrow(scored, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = 6_000, **options: float) -> Model:
-    """Fit on a bounded sample of labelled rows of ``docs``."""
-    return fit(labelled_sample(docs, labels, sample), **options)
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that are not predicted to be toxic, as they are: judged and passed on in one scan."""
+    return rows_where(docs, lambda text: model.score(text.decode("utf-8", "replace")) < 0.5)
+
+
+def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(map(words, batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True)
+        found = counted(list(rows))
+        columns = [pa.array(list(found), pa.string()), *(pa.array([c[k] for c in found.values()], pa.int64()) for k in (0, 1))]
+        yield pa.RecordBatch.from_arrays(columns, ["feature", "seen", "toxic"])
+
+
+def trained(
+    docs: DataFrame, labels: DataFrame, sample: int = 6_000, least_texts: int = 3, least_z: float = 3.0, **options: float
+) -> Model:
+    """Fit on a bounded sample of labelled rows of ``docs``. The driver sees feature counts and ids, never texts."""
+    rows = stored(sample_rows(docs, labels, sample).repartition(partitions(docs.sparkSession)), "toxicity-sample")
+    n, n1 = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not 0 < n1 < n:
+        drop_stored(rows)
+        return Model(constant=n1 / n if n else 0.0)
+    counts = rows.select("text", "label").mapInArrow(_count_features, "feature string, seen bigint, toxic bigint")
+    counts = counts.groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
+    often = counts.where(F.col("seen") >= least_texts).toArrow()  # as many as the bounded sample has
+    seen, toxic = (often.column(c).to_numpy().astype(float) for c in ("seen", "toxic"))
+    told = telling(often.column("feature").to_pylist(), seen, toxic, n1, n - n1, least_z)
+    vocabulary = Vocabulary({f: k for k, f in enumerate(told)})
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
+        for batch in batches:
+            own = [words(text) for text in batch.column(0).to_pylist()]
+            other = [None if (x := swapped(w)) is None else vocabulary.ids(x) for w in own]
+            columns = [pa.array([vocabulary.ids(w) for w in own], longs), pa.array(other, longs)]
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[1:]], ["own", "other", "label", "place"])
+
+    schema = "own array<bigint>, other array<bigint>, label int, place bigint"
+    found = rows.select("text", "label", "place").mapInArrow(ids, schema).toArrow()
+    found = found.sort_by([("place", "ascending"), ("label", "ascending")])
+    drop_stored(rows)
+    y = found.column("label").to_numpy().astype(float)
+    own = [x.values.to_numpy() for x in found.column("own")]
+    other = {k: x.values.to_numpy() for k, x in enumerate(found.column("other")) if x.is_valid}
+    return train(vocabulary, y, own, other, **options)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6_000, **options: float) -> DataFrame:

@@ -63,3 +63,46 @@ def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert [s for s, _ in corpus_pipeline.STAGES][0] == "toxicity" and corpus_pipeline.ORACLE_SQL is None
+
+
+CLASHES = "id row key row_key row_key_1 _row_key _metadata file cls n place label hit doc_id_1 root kept gone".split()
+
+
+def odd_rows():
+    a, b = (" ".join(f"{x}{k}" for k in range(20)) for x in "ab")
+    return [(1, a), (None, a), (None, None), (2, ""), (2, ""), (3, b), (3, b), (4, " \n \n"), (5, "long " * 60_000), (6, b + " z")]
+
+
+def test_stages_keep_clashing_columns(spark, sf, docs_of, tmp_path):
+    plain = docs_of(odd_rows())
+    wide = plain.selectExpr("*", *(f"concat('{c}', coalesce(doc_id, 0)) AS {c}" for c in CLASHES))
+    wide.write.parquet(f"{tmp_path}/wide")
+    for docs in (wide, spark.read.parquet(f"{tmp_path}/wide")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            found = stage(spark, docs, sf)
+            assert found.columns == wide.columns, name
+            rows = found.collect()
+            assert all(r[c] == f"{c}{r.doc_id or 0}" for r in rows for c in CLASHES), name
+            bare = stage(spark, docs.select(plain.columns), sf)
+            assert sorted(map(repr, (r[:2] for r in rows))) == sorted(map(repr, (r[:2] for r in bare.collect()))), name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() > len(odd_rows())
+
+
+def test_stages_on_empty_tables(spark, sf, docs_of, tmp_path):
+    empty = docs_of([])
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for at in (sf, str(tmp_path)):
+        for _, stage in corpus_pipeline.STAGES:
+            assert stage(spark, empty, at).count() == 0
+    rows = docs_of(odd_rows())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, rows, str(tmp_path)).count()
+        assert found == (5 + 2 if name == "near-duplicates" else len(odd_rows())), name
+
+
+def test_run_drops_what_it_wrote(spark, sf, monkeypatch):
+    dropped = []
+    monkeypatch.setattr(corpus_pipeline, "drop_stored", lambda df: dropped.append(df.stored_at))
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    assert len(set(dropped)) == len(corpus_pipeline.STAGES) - 2
