@@ -1,7 +1,8 @@
 """Training-text pipeline: five stages over ``documents``, each of which calls one operator.
 
-Every stage reads what the one before it has written. All stages but the last return the columns of ``documents``. A stage
-that decides for rows gives each a key of its own first and filters by it, so null and repeated ids are told apart.
+Every stage reads what the one before it has written. All stages but the last return the columns of ``documents``, whatever
+they are called. Stages decide for rows, not for ids, so null and repeated ids are told apart: toxicity and decontamination
+judge each row in the scan that passes it on; near-duplicates tells rows by their place in the files they were read from.
 """
 
 from __future__ import annotations
@@ -13,29 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtriage.llm import decontam, line_templates, near_dups, packing, toxicity
-from logtriage.llm.common import stored
-
-
-#: Column that a stage keeps a row's own key in.
-KEY = "_row_key"
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key for every row, written down: ids may be null or repeat, and a computed key may change."""
-    return stored(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed-rows")
-
-
-def _as_id(rows: DataFrame) -> DataFrame:
-    """The keys in place of the ids, for operators that name rows by ``doc_id``."""
-    return rows.select(F.col(KEY).alias("doc_id"), "text")
+from logtriage.llm.common import drop_stored, keyed, stored
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier predicts to be toxic go."""
-    rows = _keyed(docs)
-    model = toxicity.trained(rows.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    clean = toxicity.score(_as_id(rows), model).where("predicted = 0").select(F.col("doc_id").alias("id"))
-    return rows.join(clean, F.col(KEY) == F.col("id"), "left_semi").drop(KEY)
+    model = toxicity.trained(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.clean(docs, model)
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,22 +29,18 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one row stays: the smallest by id, then by key; null ids come last."""
-    rows = _keyed(docs)
-    found = near_dups.near_duplicates(_as_id(rows), words=5, percent=80)
-    groups = found.select(F.col("doc_id").alias("id"), "component_id")
-    placed = rows.select("doc_id", KEY).join(groups, F.col(KEY) == F.col("id"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY)).alias("first")
-    kept = placed.groupBy("component_id").agg(first).select(F.col("first")[KEY].alias("id"))
-    return rows.join(kept, F.col(KEY) == F.col("id"), "left_semi").drop(KEY)
+    """Of each group of near-duplicates one row stays: the smallest by id, then by place; null ids come last."""
+    rows, key = keyed(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("is_null"), F.col("doc_id").alias("id"), F.col(key).alias("key"))
+    found = near_dups.near_duplicates(rows.select(order.alias("doc_id"), "text"), words=5, percent=80)
+    gone = stored(found.where(~F.col("kept")).select("doc_id.key.*"), "near-duplicates-gone")
+    place = (F.col(key)["file"] == gone["file"]) & (F.col(key)["row"] == gone["row"])
+    return rows.join(gone, place, "left_anti").drop(key)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold a benchmark item go."""
-    rows = _keyed(docs)
-    found = decontam.contaminated(_as_id(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hits = found.select(F.col("doc_id").alias("id")).distinct()
-    return rows.join(hits, F.col(KEY) == F.col("id"), "left_anti").drop(KEY)
+    return decontam.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,6 +63,10 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            drop_stored(before)  # the next stage's rows are written, so nothing reads these any more
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
