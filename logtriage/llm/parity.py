@@ -14,11 +14,12 @@ a Jaccard similarity of ``percent`` bounds that difference by D = (a + b) (100 -
    rule a pair out. What is left is confirmed on the full sets.
 4. Equal sets form a class and post once. In a long posting list only the member with the most company (the leader) is
    compared with all others. Lists whose members are in one component then are done, for no link is missing between
-   components. In the others the next leaders follow, from the smallest component of the list, for ``ROUNDS`` rounds; what
-   is still open is compared in blocks of bounded size, every two blocks of a list in one task.
+   components. In the others sketches meet in blocks of bounded size: a member names the ``NEAREST`` members of other
+   components that its sketch allows; these are confirmed, components grow, and the next round names others, until no member
+   has anyone left to name. After ``ROUNDS`` rounds all that are left are named at once.
 
-Sets are read again from the texts of classes that need them, found by id and digest of the text; sketches and postings are of
-fixed width. Posting lists, families and components are never gathered in one task or on the driver.
+Sets are read again from the texts of classes that need them, found by id and digest of the text; postings and sketches are
+what lists are made of. Posting lists, families and components are never gathered in one task or on the driver.
 
 Cases: a null or empty text, or one of white space only, has no shingles and is linked with nothing; rows that repeat a
 ``doc_id`` are separate texts, and equal texts are linked whatever their ids; a null ``doc_id`` can be linked but is never the
@@ -38,13 +39,16 @@ from pyspark.sql import functions as F
 
 from logtriage.llm.common import digested, drop_stored, stored
 from logtriage.llm.components import components
-from logtriage.llm.near_dups import block_links, class_key
+from logtriage.llm.near_dups import class_key
 from logtriage.llm.shingles import mixed, shingles
 
 #: Posting lists up to this length are joined into pairs; longer ones are compared with leaders.
 SHORT = 12
-#: Rounds of leaders before the lists that are still open are compared in blocks.
-ROUNDS = 4
+#: Members of other components that a member of an open list names in a round, and rounds of a bounded number of names.
+NEAREST = 3
+ROUNDS = 8
+#: Members of one block of an open list.
+BLOCK_ROWS = 4096
 #: Bits of one segment of a sketch.
 SEGMENT_BITS = 20
 
@@ -77,7 +81,7 @@ class Bands:
         """Segments, slack, and 64-bit words of the folded sketch."""
         most = self.differences(2 * (self.borders[band + 1] - 1))
         slack = 1 + most // 16
-        return most + 1 + slack, slack, 4 + most // 16
+        return most + 1 + slack, slack, 4 + most // 8
 
 
 def sketch(hashes: np.ndarray, band: int, shape: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -111,25 +115,24 @@ def profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 own = shingles(text.as_py(), words)
                 key = class_key(own) if len(own) else None
                 posts = [(b, *sketch(own, b, bands.shape(b))) for b in bands.of(len(own))] if len(own) else []
-                tokens = [t.view(np.int64) for _, t, _ in posts]
                 row = (
                     len(own),
                     key,
                     None if key is None else int.from_bytes(key[:8], "big", signed=True),
-                    np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.int64),
+                    [t.view(np.int64) for _, t, _ in posts],
                     posts[0][0] if posts else 0,
                     [f.view(np.int64) for _, _, f in posts],
                 )
                 for name, value in zip(found, row, strict=True):
                     found[name].append(value)
             longs = pa.list_(pa.int64())
-            types = (pa.int64(), pa.binary(), pa.int64(), longs, pa.int32(), pa.list_(longs))
+            types = (pa.int64(), pa.binary(), pa.int64(), pa.list_(longs), pa.int32(), pa.list_(longs))
             columns = [pa.array(x, t) for x, t in zip(found.values(), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "digest", *found])
 
     plain = digested(docs)
     kind = plain.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, digest binary, n bigint, cls binary, c bigint, tokens array<bigint>, band int, "
+    schema = f"doc_id {kind}, digest binary, n bigint, cls binary, c bigint, tokens array<array<bigint>>, band int, "
     return plain.mapInArrow(profile, schema + "folds array<array<bigint>>")
 
 
@@ -177,45 +180,71 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent).select("a", "b")
 
 
-def leader_pairs(long: DataFrame, done: DataFrame | None = None) -> DataFrame:
-    """Pairs of the leader of each list (``token``, ``c``, ``root``, ``company``) and its members in other components.
+def leader_pairs(long: DataFrame) -> DataFrame:
+    """Pairs of the member of each list (``token``, ``c``, ``company``) that has the most company, and all others."""
+    lead = long.groupBy("token").agg(F.max(F.struct("company", "c")).alias("lead"))
+    met = long.join(lead.select("token", F.col("lead.c").alias("leader")), "token").where(F.col("c") != F.col("leader"))
+    return met.select(F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b"))
 
-    The first leaders have the most company; later ones come from the smallest component of their list.
-    """
-    if done is None:
-        lead = long.groupBy("token").agg(F.max(F.struct("company", "c")).alias("lead"))
-        lead = lead.select("token", F.col("lead.c").alias("leader"), F.lit(None).cast("bigint").alias("own"))
-    else:
-        fresh = long.join(done.select("token", F.col("c")), ["token", "c"], "left_anti")
-        parts = fresh.groupBy("token", "root").agg(
-            F.count(F.lit(1)).alias("rows"), F.max(F.struct("company", "c")).alias("lead")
-        )
-        lead = parts.groupBy("token").agg(F.min(F.struct("rows", "root", "lead")).alias("x"))
-        lead = lead.select("token", F.col("x.lead.c").alias("leader"), F.col("x.root").alias("own"))
-    met = long.join(lead, "token").where((F.col("c") != F.col("leader")) & ~F.col("root").eqNullSafe(F.col("own")))
-    return met.select("token", F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b"), "leader")
 
+def open_lists(long: DataFrame, roots: DataFrame) -> DataFrame:
+    """Lists with members of several components; every member with its component (``root``)."""
+    found = long.join(roots, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c")).drop("node")
+    spread = found.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return found.join(spread.select("token"), "token", "left_semi")
 
-def _rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    found = lists.join(roots, F.col("c") == F.col("node"), "left").drop("node")
-    return found.withColumn("now", F.coalesce("root", "c")).drop("root").withColumnRenamed("now", "root")
 
+def nearest(lists: DataFrame, known: DataFrame, named: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """Pairs (``a`` names ``b``) of members of one list and different components whose sketches allow a link.
 
-def open_lists(lists: DataFrame, done: DataFrame) -> DataFrame:
-    """Lists in which members of several components have not been leaders yet."""
-    fresh = lists.join(done, ["token", "c"], "left_anti")
-    spread = fresh.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    return lists.join(spread.select("token"), "token", "left_semi")
+    A member names at most ``most`` others in a block, the least unlike ones first, and nobody it has named before.
+    """
+    size = lists.groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
+    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")
+    before = named.groupBy("a").agg(F.collect_set("b").alias("named"))  # at most ``most`` a round and block
+    about = known.join(before, F.col("c") == F.col("a"), "left").drop("a")
+    rows = lists.join(size.select("token", blocks), "token").join(about, "c")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    fold = F.get("folds", F.col("k")).alias("fold")
+    meets = rows.select("token", "c", "root", "n", fold, "named", "mine", every)
+    meets = meets.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("mine", "other")
+
+    def compare(_: tuple, own: pa.Table) -> pa.Table:
+        a, b = _allowed(own, percent, most)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return meets.groupBy("token", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def _allowed(own: pa.Table, percent: int, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    c, root, n = (own.column(x).to_numpy() for x in ("c", "root", "n"))
+    folds = np.stack([np.asarray(x, dtype=np.int64) for x in own.column("fold").to_pylist()]).view(np.uint64)
+    named = own.column("named").to_pylist()
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(len(c)):
+        apart = np.bitwise_count(folds ^ folds[k]).sum(axis=1, dtype=np.int64)
+        bound = (n + n[k]) * (100 - percent) // (100 + percent)
+        fits = (apart <= bound) & (root != root[k]) & (np.minimum(n, n[k]) * 100 >= np.maximum(n, n[k]) * percent)
+        if named[k]:
+            fits &= ~np.isin(c, named[k])
+        at = np.flatnonzero(fits)
+        if most is not None and len(at) > most:
+            at = at[np.argsort(apart[at] - bound[at], kind="stable")[:most]]
+        found_a.append(np.full(len(at), c[k]))
+        found_b.append(c[at])
+    return np.concatenate(found_a), np.concatenate(found_b)
 
 
 def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``: the smallest id reachable over links of this similarity."""
+    spark = docs.sparkSession
     profile = stored(profiles(docs, words, percent), "parity-profiles")
     some = profile.where("cls is not null")
     same = (F.first(x).alias(x) for x in ("c", "n", "band", "folds", "tokens"))  # equal in all rows of a class
     rep = [F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "digest")).alias("row")]
     classes = stored(some.groupBy("cls").agg(*rep, *same), "parity-classes")
-    posted = classes.select("c", F.explode("tokens").alias("token"))
+    posted = classes.select("c", F.posexplode("tokens").alias("k", "own")).select("c", "k", F.explode("own").alias("token"))
     lengths = posted.groupBy("token").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
     lists = stored(posted.join(lengths, "token"), "parity-postings")
     short = lists.where(F.col("length") <= SHORT).select("token", "c")
@@ -225,39 +254,29 @@ def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
 
     long = lists.where(F.col("length") > SHORT)
     company = long.groupBy("c").agg(F.sum("length").alias("company"))
-    long = long.join(company, "c").select("token", "c", "company", F.col("c").alias("root"))
-    long = stored(long, "parity-long-lists")
-    first = stored(leader_pairs(long), "parity-leaders")
+    first = leader_pairs(long.join(company, "c"))
     known = classes.select("c", "n", "band", "folds")
-    open_pairs = stored(candidates(pairs.unionByName(first.select("a", "b")).distinct(), known, percent), "parity-pairs")
-
+    open_pairs = stored(candidates(pairs.unionByName(first).distinct(), known, percent), "parity-pairs")
     wanted = open_pairs.select(F.col("a").alias("c")).union(open_pairs.select("b")).union(long.select("c")).distinct()
     wanted = stored(classes.select("c", "cls", "row").join(wanted, "c", "left_semi"), "parity-wanted")
     sets = stored(class_sets(docs, wanted, words), "parity-sets")
     links = stored(confirmed(open_pairs, sets, percent), "parity-links")
-    done = first.select("token", F.col("leader").alias("c")).distinct()
     roots = components(links)
-    used = [lists, first, open_pairs, wanted]
-    for _ in range(ROUNDS):
-        long = stored(open_lists(_rooted(long.drop("root"), roots), done), "parity-open-lists")
-        used.append(long)
-        if long.isEmpty():
+    named = spark.createDataFrame([], "a bigint, b bigint")
+    for turn in range(ROUNDS + 1):
+        still = stored(open_lists(long.select("token", "c", "k"), roots), "parity-open-lists")
+        found = stored(nearest(still, known, named, percent, NEAREST if turn < ROUNDS else None), "parity-nearest")
+        drop_stored(still)
+        if found.isEmpty():
             break
-        more = stored(leader_pairs(long, done), "parity-leaders")
-        fitting = candidates(more.select("a", "b").distinct(), known, percent)
-        links = stored(links.unionByName(confirmed(fitting, sets, percent)), "parity-links")
-        done = stored(done.unionByName(more.select("token", F.col("leader").alias("c")).distinct()), "parity-done")
-        roots = components(links)
-        used += [more, done]
-    else:
-        long = open_lists(_rooted(long.drop("root"), roots), done)
-        member = long.join(sets.select("c", "cls", "n"), "c").select("token", "cls", "n")
-        blocks = block_links(member, sets, percent)
-        number = sets.select(F.col("cls").alias("of"), F.col("c").alias("number"))
-        blocks = blocks.join(number, F.col("a") == F.col("of")).select(F.col("number").alias("x"), "b")
-        blocks = blocks.join(number, F.col("b") == F.col("of")).select(F.col("x").alias("a"), F.col("number").alias("b"))
-        links = stored(links.unionByName(blocks), "parity-links")
-        roots = components(links)
+        named = stored(named.unionByName(found), "parity-named")
+        fresh = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = stored(confirmed(fresh, sets, percent), "parity-links")
+        drop_stored(found)
+        if not more.isEmpty():
+            links = stored(links.unionByName(more), "parity-links")
+            roots = components(links)
+    drop_stored(lists, open_pairs, wanted, sets)
 
     reps = classes.select("c", "least")
     linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
@@ -265,7 +284,6 @@ def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     placed = reps.join(linked.select("node", "found", F.lit(True).alias("is_linked")), F.col("c") == F.col("node"), "left")
     component = F.when(F.col("is_linked"), F.col("found")).otherwise(F.col("least")).alias("component_id")
     placed = stored(placed.select(F.col("c").alias("of"), component), "parity-components")
-    drop_stored(*used, sets)
     grouped = some.select("doc_id", "n", "c").join(placed, F.col("c") == F.col("of")).select("doc_id", "n", "component_id")
     alone = profile.where("cls is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return grouped.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
