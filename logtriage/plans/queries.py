@@ -38,7 +38,9 @@ from logtriage.schema import SIGNAL_KEYS
 from logtriage.session import cut_lineage, new_folder
 from logtriage.sources import datasets as D
 from logtriage.sources.alerts import alert_rows
+from logtriage.sources.follow import follow_logs
 from logtriage.sources.logs import non_blank, scan_lines
+from logtriage.streaming.landing import land_growing
 from logtriage.streaming.monitor import monitored, replay, write_alerts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -805,3 +807,29 @@ def stream_alerts(spark, sf):
 
     stored = read_alerts(spark, f"{out}/alerts")
     return stored.groupBy("label", "risk_level", "risk_score").agg(F.count(F.lit(1)).alias("rows"))
+
+
+#: Appends that the lines of the documents are landed in; they cut lines anywhere.
+APPENDS = 3
+
+
+@register
+def stream_follow(spark, sf):
+    """Lines of the documents, landed as growing files in three appends and followed by a query that restarts after each."""
+    lines = non_blank(scan_lines(documents(spark, sf), "text", ["doc_id"]))
+    out = new_folder(spark, "stream-follow")
+    for _ in land_growing(lines, ["doc_id", "line"], f"{out}/logs", APPENDS):
+        query = (
+            follow_logs(spark, f"{out}/logs", startingOffsets="earliest")
+            .writeStream.format("parquet")
+            .option("path", f"{out}/rows")
+            .option("checkpointLocation", f"{out}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    cells = F.split("raw_log", " ", 3)
+    stored = spark.read.schema("file string, start bigint, raw_log string").parquet(f"{out}/rows")
+    return stored.select(
+        cells[0].cast("bigint").alias("doc_id"), cells[1].cast("int").alias("line"), cells[2].alias("raw_log")
+    )

@@ -824,3 +824,6 @@ for _variant in ("raw", "normalized", "signal"):
     ORACLES[f"learned_{_variant}"] = logs().sql(
         "SELECT split, label, count(*) AS rows, true AS learned FROM request_logs GROUP BY split, label"
     )
+
+# -- streams that follow ---------------------------------------------------------------------------------------
+ORACLES["stream_follow"] = ORACLES["scan_lines"]
