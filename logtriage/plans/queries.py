@@ -41,6 +41,7 @@ from logtriage.sources.alerts import alert_rows
 from logtriage.sources.follow import follow_logs
 from logtriage.sources.logs import non_blank, scan_lines
 from logtriage.streaming.landing import land_growing
+from logtriage.streaming.ledger import Ledger, read_totals, read_windows, write_last, write_once, write_totals, write_windows
 from logtriage.streaming.monitor import monitored, replay, write_alerts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -833,3 +834,56 @@ def stream_follow(spark, sf):
     return stored.select(
         cells[0].cast("bigint").alias("doc_id"), cells[1].cast("int").alias("line"), cells[2].alias("raw_log")
     )
+
+
+#: Files that request lines are landed in for streams that take one file a trigger.
+TRIGGERS = 3
+
+
+def _landed(spark: SparkSession, sf: str, out: str) -> DataFrame:
+    """Request lines as a stream of ``TRIGGERS`` files, one a trigger, with the time of the event they stand for."""
+    logs = request_logs(spark, sf).select("log_id", "raw_log")
+    logs = logs.withColumn("seen_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("log_id") % 6000))
+    logs.repartition(TRIGGERS).write.parquet(f"{out}/lines")
+    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/lines")
+    return alerts(detect(stream))
+
+
+@register
+def stream_ledger(spark, sf):
+    """Alerts of a stream through the ledger sink, with one batch broken off and repeated, then joined."""
+    out = new_folder(spark, "stream-ledger")
+    found = _landed(spark, sf, out).select("log_id", "label", "risk_level", "score")
+    ledger = Ledger(spark, f"{out}/alerts")
+    schema = found.schema
+    # A folder that nothing names stands for a batch that broke off before its commit.
+    spark.createDataFrame([(-1, "none", "none", 0.0)], schema).write.json(f"{out}/alerts/rows/0000000000000000000-broken")
+    write_once(found, f"{out}/alerts", f"{out}/checkpoint", available_now=True).awaitTermination()
+    ledger.append(ledger.read(schema), ledger.last())  # a batch that comes again
+    ledger.compact(schema)
+    ledger.sweep()
+    return ledger.read(schema).groupBy("label", "risk_level", "score").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register
+def stream_totals(spark, sf):
+    """Alert totals, totals by ten minutes and the last 50 alerts, kept by streams over three triggers."""
+    out = new_folder(spark, "stream-totals")
+    found = _landed(spark, sf, out).select("log_id", "seen_at", "risk_level")
+    write_totals(found, ["risk_level"], f"{out}/totals", f"{out}/cp-totals", available_now=True).awaitTermination()
+    write_windows(
+        found, "seen_at", "10 minutes", "2 hours", ["risk_level"], f"{out}/windows", f"{out}/cp-windows", available_now=True
+    ).awaitTermination()
+    newest = lambda: [F.col("seen_at").desc(), F.col("log_id").desc()]
+    write_last(found, newest, 50, f"{out}/last", f"{out}/cp-last", available_now=True).awaitTermination()
+    totals = read_totals(spark, f"{out}/totals", "risk_level string, rows bigint").withColumns(
+        {"part": F.lit("total"), "place": F.lit(None).cast("bigint")}
+    )
+    windows = read_windows(spark, f"{out}/windows", ["risk_level"], "risk_level string").select(
+        "risk_level", "rows", F.lit("window").alias("part"), F.unix_timestamp("start").alias("place")
+    )
+    ledger = Ledger(spark, f"{out}/last", "parquet")
+    last = ledger.read(found.schema, only=ledger.last()).select(
+        "risk_level", F.lit(1).cast("bigint").alias("rows"), F.lit("last").alias("part"), F.col("log_id").alias("place")
+    )
+    return totals.unionByName(windows).unionByName(last)

@@ -827,3 +827,13 @@ for _variant in ("raw", "normalized", "signal"):
 
 # -- streams that follow ---------------------------------------------------------------------------------------
 ORACLES["stream_follow"] = ORACLES["scan_lines"]
+ORACLES["stream_ledger"] = detected().sql(
+    f"SELECT label, risk_level, score, count(*) AS rows FROM detected WHERE {_ALERT} GROUP BY ALL"
+)
+_TOTALS = detected()
+_TOTALS.add("alerted", f"SELECT log_id, 1700000000 + log_id % 6000 AS sec, risk_level FROM detected WHERE {_ALERT}")
+ORACLES["stream_totals"] = _TOTALS.sql(
+    """SELECT 'total' AS part, NULL::BIGINT AS place, risk_level, count(*) AS rows FROM alerted GROUP BY ALL
+    UNION ALL SELECT 'window', sec - sec % 600, risk_level, count(*) FROM alerted GROUP BY ALL
+    UNION ALL (SELECT 'last', log_id, risk_level, 1 FROM alerted ORDER BY sec DESC, log_id DESC LIMIT 50)"""
+)
