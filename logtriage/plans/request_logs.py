@@ -141,8 +141,12 @@ def from_events(events: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def request_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of all events. Three narrow columns are dealt out anew: decoding a line costs far more than moving its key."""
-    events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id").repartition("event_id")
+    """Lines of all events. Three narrow columns are dealt out anew: decoding a line costs far more than moving its key.
+
+    The number of partitions is given, because narrow rows would be put into one or two tasks by their size in bytes.
+    """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id").repartition(tasks, "event_id")
     return from_events(events, read_table(spark, sf_dir, "pages"))
 
 
