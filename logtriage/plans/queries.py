@@ -14,6 +14,7 @@ from logtriage.functions import signals as S
 from logtriage.functions import signature as G
 from logtriage.functions import text as X
 from logtriage.functions.html import html_unescape
+from logtriage.operators import charlm as LM
 from logtriage.operators import corpus as C
 from logtriage.operators import evaluation as E
 from logtriage.operators import ingest as I
@@ -776,6 +777,58 @@ def learned_signal(spark, sf):
     return _learned(spark, sf, "signal")
 
 
+def _charlm(spark: SparkSession, sf: str) -> tuple[DataFrame, list[LM.CharModel]]:
+    """Lines with canonical text and signals, computed once, and the models of the training split."""
+    logs = cut_lineage(LM.with_features(request_logs(spark, sf)))
+    train = logs.filter(F.col("split") == "train")
+    return logs, [LM.fit(train, variant) for variant in LM.VARIANTS]
+
+
+def _charlm_totals(spark: SparkSession, sf: str) -> DataFrame:
+    logs, models = _charlm(spark, sf)
+    parts = [
+        LM.totals(logs, model, ["log_id", "split", "label"]).withColumn("model", F.lit(model.variant)) for model in models
+    ]
+    return C.union_all(parts)
+
+
+@register
+def charlm_scores(spark, sf):
+    """Sum of weights of every line under every language model."""
+    return _charlm_totals(spark, sf).select("log_id", "model", "total", "n")
+
+
+@register
+def charlm_splits(spark, sf):
+    """Lines on the right side of every split and label, trained on one split and scored on all."""
+    right = ((F.col("total") >= 0).cast("int") == F.col("label")).cast("int")
+    found = _charlm_totals(spark, sf).groupBy("model", "split", "label")
+    return found.agg(F.count(F.lit(1)).alias("rows"), F.sum(right).alias("right"))
+
+
+@register
+def charlm_auc(spark, sf):
+    """ROC-AUC and average precision by model over all held-out splits, and by model and split where both labels occur."""
+    rows = _charlm_totals(spark, sf).where("split NOT IN ('train', 'val')")
+    rows = rows.select("model", "split", "label", (F.col("total") / F.col("n")).alias("score"))
+    rows = cut_lineage(rows.unionByName(rows.withColumn("split", F.lit("held out"))))
+    area = M.roc_auc(rows, ["model", "split"]).withColumn("roc_auc", F.round("roc_auc", 9))
+    precision = M.average_precision(rows, ["model", "split"]).withColumn("pr_auc", F.round("pr_auc", 9))
+    return area.join(precision, ["model", "split"]).select("model", "split", "roc_auc", "pr_auc")
+
+
+@register
+def charlm_evaluate(spark, sf):
+    """Trained scores through the prediction table and the evaluation report."""
+    logs, models = _charlm(spark, sf)
+    scores = LM.score_columns(logs, models, ["log_id", "split", "label"])
+    kept = scores.select(
+        F.col("log_id").alias("id"), "split", "label", *[f"score_{v}" for v in LM.VARIANTS],
+        *[F.lit(None).cast("string").alias(c) for c in ("raw_log", "normalized_log", "obfuscation_type", "source")],
+    )
+    return E.evaluate(E.predictions(kept, list(LM.VARIANTS)), ranking=False).drop("roc_auc", "pr_auc", "latency_ms", "throughput_lps")
+
+
 # -- streaming ----------------------------------------------------------------------------------------------
 
 

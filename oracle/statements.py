@@ -18,6 +18,7 @@ from oracle.base import (
     WS,
     Chain,
     add_canonical,
+    add_comparison,
     add_logs,
     canon,
     cleanup_sql,
@@ -837,3 +838,99 @@ ORACLES["stream_totals"] = _TOTALS.sql(
     UNION ALL SELECT 'window', sec - sec % 600, risk_level, count(*) FROM alerted GROUP BY ALL
     UNION ALL (SELECT 'last', log_id, risk_level, 1 FROM alerted ORDER BY sec DESC, log_id DESC LIMIT 50)"""
 )
+
+# -- character language models -----------------------------------------------------------------------------------
+
+
+def _lm_variant(chain: Chain, variant: str, column: str) -> Chain:
+    """Counts, probabilities and weights of one variant, restated, and the sum of weights of every line."""
+    v = f"lm_{variant}"
+    chain.add(
+        f"{v}_grams",
+        f"""SELECT log_id, split, label, substring(chr(2) || chr(2) || t || chr(3), i, 3) AS gram
+        FROM (SELECT log_id, split, label, coalesce({column}, '') AS t,
+                     unnest(generate_series(1, length(coalesce({column}, '')) + 1)) AS i FROM canon)""",
+    )
+    chain.add(
+        f"{v}_3",
+        f"""SELECT gram, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1
+        FROM {v}_grams WHERE split = 'train' GROUP BY gram""",
+    )
+    lower = None
+    for n in (1, 2, 3):
+        chain.add(
+            f"{v}_s{n}",
+            f"SELECT substring(gram, {4 - n}, {n}) AS gram, sum(n0)::BIGINT AS n0, sum(n1)::BIGINT AS n1 FROM {v}_3 GROUP BY 1",
+        )
+        below = "(1.0::DOUBLE / 256.0::DOUBLE)"
+        join = "" if lower is None else f"JOIN {lower} b ON substring(s.gram, 2, {n - 1}) = b.gram"
+        rates = ", ".join(
+            f"(s.n{k}::DOUBLE + {below if lower is None else f'b.p{k}'} * 2) / (t{k} + 2)::DOUBLE AS p{k}" for k in (0, 1)
+        )
+        chain.add(
+            f"{v}_p{n}",
+            f"""SELECT s.gram, {rates} FROM {v}_s{n} s
+            JOIN (SELECT substring(gram, 1, {n - 1}) AS h, sum(n0)::BIGINT AS t0, sum(n1)::BIGINT AS t1
+                  FROM {v}_s{n} GROUP BY 1) t ON substring(s.gram, 1, {n - 1}) = t.h {join}""",
+        )
+        lower = f"{v}_p{n}"
+        chain.add(f"{v}_w{n}", f"SELECT gram, CAST(round((ln(p1) - ln(p0)) * 1000000) AS BIGINT) AS w FROM {v}_p{n}")
+    chain.add(
+        f"{v}_text",
+        f"""SELECT log_id, split, label, sum(coalesce(a.w, b.w, c.w, 0))::BIGINT AS total, count(*) AS n
+        FROM {v}_grams g LEFT JOIN {v}_w3 a ON g.gram = a.gram LEFT JOIN {v}_w2 b ON right(g.gram, 2) = b.gram
+        LEFT JOIN {v}_w1 c ON right(g.gram, 1) = c.gram GROUP BY ALL""",
+    )
+    if variant != "signal":
+        return chain.add(v, f"SELECT '{variant}' AS model, * FROM {v}_text")
+    weight = lambda top, under: f"CAST(round((ln({top}) - ln({under})) * 1000000) AS BIGINT)"
+    sums = ", ".join(
+        f"count(*) FILTER (label = 1 AND {k}) AS {k}_1, count(*) FILTER (label = 0 AND {k}) AS {k}_0" for k in SIGNAL_KEYS
+    )
+    shares = ", ".join(
+        f"""{weight(f"({k}_1 + 1)::DOUBLE / (t1 + 2)::DOUBLE", f"({k}_0 + 1)::DOUBLE / (t0 + 2)::DOUBLE")} AS {k}_set,
+        {weight(f"(t1 - {k}_1 + 1)::DOUBLE / (t1 + 2)::DOUBLE", f"(t0 - {k}_0 + 1)::DOUBLE / (t0 + 2)::DOUBLE")} AS {k}_not"""
+        for k in SIGNAL_KEYS
+    )
+    chain.add(
+        f"{v}_sums",
+        f"""SELECT count(*) FILTER (label = 1) AS t1, count(*) FILTER (label = 0) AS t0, {sums}
+        FROM canon WHERE split = 'train'""",
+    )
+    chain.add(f"{v}_shares", f"SELECT {shares} FROM {v}_sums")
+    told = " + ".join(f"CASE WHEN {k} THEN {k}_set ELSE {k}_not END" for k in SIGNAL_KEYS)
+    chain.add(f"{v}_signals", f"SELECT log_id, {told} AS extra FROM canon, {v}_shares")
+    return chain.add(
+        v,
+        f"""SELECT 'signal' AS model, log_id, split, label, total + extra AS total, n + {len(SIGNAL_KEYS)} AS n
+        FROM {v}_text JOIN {v}_signals USING (log_id)""",
+    )
+
+
+def charlm() -> Chain:
+    chain = canon()
+    for variant, column in (("raw", "raw_log"), ("normalized", "normalized_log"), ("signal", "normalized_log")):
+        _lm_variant(chain, variant, column)
+    return chain.add("lm", " UNION ALL ".join(f"SELECT * FROM lm_{v}" for v in ("raw", "normalized", "signal")))
+
+
+ORACLES["charlm_scores"] = charlm().sql("SELECT log_id, model, total, n FROM lm")
+ORACLES["charlm_splits"] = charlm().sql(
+    """SELECT model, split, label, count(*) AS rows, count(*) FILTER ((total >= 0) = (label = 1)) AS "right"
+    FROM lm GROUP BY ALL"""
+)
+_AREAS = charlm()
+_AREAS.add("lm_held", "SELECT model, split, label, total / n AS score FROM lm WHERE split NOT IN ('train', 'val')")
+_AREAS.add("lm_points", "SELECT * FROM lm_held UNION ALL SELECT model, 'held out', label, score FROM lm_held")
+ORACLES["charlm_auc"] = add_ranking(_AREAS, "lm_points", "model, split").sql(
+    "SELECT model, split, round(roc_auc, 9) AS roc_auc, round(pr_auc, 9) AS pr_auc FROM ranking"
+)
+_LM_REPORT = charlm()
+_LM_REPORT.add(
+    "preds",
+    f"""SELECT CASE model {' '.join(f"WHEN '{k}' THEN {lit(DISPLAY_NAMES[k])}" for k in ("raw", "normalized", "signal"))} END
+    AS model, split AS test_set, 0.5::DOUBLE AS threshold, label AS true_label, (total >= 0)::INT AS pred_label FROM lm""",
+)
+ORACLES["charlm_evaluate"] = add_comparison(_LM_REPORT).sql(
+    f"SELECT {', '.join(c for c in E.COMPARISON_COLUMNS if c not in ('roc_auc', 'pr_auc', 'latency_ms', 'throughput_lps'))} FROM comparison"
+)
