@@ -64,15 +64,17 @@ def fresh_name(df: DataFrame, name: str) -> str:
 
 
 def rows_where(docs: DataFrame, keep: Callable[[bytes], bool], text: str = "text") -> DataFrame:
-    """The rows whose text (a null one is empty) is to be kept, with all their columns, judged in one scan."""
-    at = docs.columns.index(text)
+    """The rows whose text (a null one is empty) is to be kept, as they are, judged in one scan.
 
-    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            told = (x.as_py() or b"" for x in batch.column(at).cast(pa.binary()))
-            yield batch.filter(pa.array([keep(x) for x in told], pa.bool_()))
+    Only texts go to the Python workers and only flags come back; the other columns stay where they are.
+    """
+
+    def judged(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            yield pa.array([keep(x.as_py() or b"") for x in part.cast(pa.binary())], pa.bool_())
 
-    return docs.mapInArrow(passed, docs.schema)
+    judged.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.where(F.arrow_udf(judged, "boolean")(docs[text]))
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:

@@ -10,7 +10,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hash a worker keeps; a bound on memory only.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _BASE = 0x9E3779B97F4A7C15
 

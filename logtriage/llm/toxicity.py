@@ -60,7 +60,9 @@ SWAP = {term: family[(k + 1) % len(family)] for family in IDENTITY_FAMILIES for
 #: Beginnings of a word that count as features of their own, so that unseen forms of a known stem are recognised.
 STEMS = range(4, 9)
 #: Words whose features a worker keeps; a bound on memory only.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
+#: Texts whose features a task counts before it writes the counts; a bound on memory only.
+COUNTED_TEXTS = 100
 
 
 def word_features(word: str) -> list[str]:
@@ -364,7 +366,7 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (own.slice(at, COUNTED_TEXTS) for own in batches for at in range(0, own.num_rows, COUNTED_TEXTS)):
         rows = zip(map(words, batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True)
         found = counted(list(rows))
         columns = [pa.array(list(found), pa.string()), *(pa.array([c[k] for c in found.values()], pa.int64()) for k in (0, 1))]
