@@ -16,6 +16,7 @@ from logtriage.functions import text as X
 from logtriage.functions.html import html_unescape
 from logtriage.operators import charlm as LM
 from logtriage.operators import corpus as C
+from logtriage.operators import epochs as EP
 from logtriage.operators import evaluation as E
 from logtriage.operators import ingest as I
 from logtriage.operators import learned as L
@@ -52,7 +53,7 @@ DAY = "2026-01-01"
 MODELS = ["signature", "raw", "normalized", "signal"]
 #: Line shapes rotate with the sample number; twelve samples show all of them.
 EXPANSION_SAMPLES = 12
-#: Share of the training lines of each label that a trained model has to get right.
+#: Share of the lines of each split and label that a trained model has to get right, held-out splits included.
 LEARNED_SHARE = 0.75
 
 
@@ -754,12 +755,14 @@ def _learned(spark: SparkSession, sf: str, variant: str) -> DataFrame:
     table = cut_lineage(L.feature_table(request_logs(spark, sf)))
     known = F.col("split").isin("train", "val")
     model = L.train(table.filter(known), variant, max_iter=10)
-    scored = L.score(table, model, "score")
+    return _shares(L.score(table, model, "score"))
+
+
+def _shares(scored: DataFrame) -> DataFrame:
+    """Lines by split and label, and whether the wanted share of them is on the right side; every split is scored."""
     right = ((F.col("score") >= G.LEARNED_THRESHOLD).cast("int") == F.col("label")).cast("int")
     counts = scored.groupBy("split", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum(right).alias("right"))
-    seen = counts.filter(known).groupBy("label").agg((F.sum("right") / F.sum("rows")).alias("share"))
-    learned = seen.agg((F.min("share") >= LEARNED_SHARE).alias("ok")).select("ok").scalar()
-    return counts.select("split", "label", "rows", learned.alias("learned"))
+    return counts.select("split", "label", "rows", (F.col("right") >= F.col("rows") * LEARNED_SHARE).alias("learned"))
 
 
 @register
@@ -829,6 +832,45 @@ def charlm_evaluate(spark, sf):
     return E.evaluate(E.predictions(kept, list(LM.VARIANTS)), ranking=False).drop("roc_auc", "pr_auc", "latency_ms", "throughput_lps")
 
 
+def _trained_epochs(spark: SparkSession, sf: str) -> tuple[DataFrame, list[EP.Epochs]]:
+    logs = cut_lineage(LM.with_features(request_logs(spark, sf)))
+    train, val = (logs.filter(F.col("split") == split) for split in ("train", "val"))
+    return logs, [EP.fit_epochs(train, val, variant, "log_id") for variant in LM.VARIANTS]
+
+
+@register
+def training_splits(spark, sf):
+    """Models trained by epochs with early stopping, on every split."""
+    logs, models = _trained_epochs(spark, sf)
+    return C.union_all([_shares(EP.score_epochs(logs, m, "score")).withColumn("model", F.lit(m.variant)) for m in models])
+
+
+@register
+def training_history(spark, sf):
+    """Bounds on the epochs of each model, whose weights go through a write and a read: losses fall, the least is chosen."""
+    logs, models = _trained_epochs(spark, sf)
+    found = []
+    for model in models:
+        path = new_folder(spark, "epochs")
+        EP.save_epochs(spark, model, path)
+        again = EP.load_epochs(spark, path)
+        p = EP.score_epochs(logs, again, "again").join(
+            EP.score_epochs(logs, model, "first").select(F.col("log_id").alias("id"), "first"), F.col("log_id") == F.col("id")
+        )
+        same = p.agg((F.max(F.abs(F.col("again") - F.col("first"))) == 0).alias("same")).select("same").scalar()
+        losses = EP.history(spark, again)
+        first, last = (F.min_by("train_loss", F.col("epoch")), F.max_by("train_loss", F.col("epoch")))
+        found.append(
+            losses.agg(
+                (F.count(F.lit(1)) > 1).alias("several_epochs"),
+                (last < first).alias("train_loss_falls"),
+                (F.min("val_loss") == F.min(F.when(F.col("chosen"), F.col("val_loss")))).alias("least_is_chosen"),
+                F.count_if("chosen").alias("chosen"),
+            ).select(F.lit(model.variant).alias("model"), "*", same.alias("same_after_reading"))
+        )
+    return C.union_all(found)
+
+
 # -- streaming ----------------------------------------------------------------------------------------------
 
 

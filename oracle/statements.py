@@ -820,7 +820,7 @@ _ENCODE.add(
 ORACLES["encode_chars"] = _ENCODE.sql("SELECT log_id, ids FROM encoded")
 
 # -- learned detectors ---------------------------------------------------------------------------------------
-# Rows by split and label, and that training has worked, which SQL can only expect.
+# Rows by split and label, and that a model does well on each of them, which SQL can only expect.
 for _variant in ("raw", "normalized", "signal"):
     ORACLES[f"learned_{_variant}"] = logs().sql(
         "SELECT split, label, count(*) AS rows, true AS learned FROM request_logs GROUP BY split, label"
@@ -934,3 +934,11 @@ _LM_REPORT.add(
 ORACLES["charlm_evaluate"] = add_comparison(_LM_REPORT).sql(
     f"SELECT {', '.join(c for c in E.COMPARISON_COLUMNS if c not in ('roc_auc', 'pr_auc', 'latency_ms', 'throughput_lps'))} FROM comparison"
 )
+
+# -- training by epochs ------------------------------------------------------------------------------------------
+ORACLES["training_splits"] = logs().sql(
+    """SELECT model, split, label, count(*) AS rows, true AS learned
+    FROM request_logs, (VALUES ('raw'), ('normalized'), ('signal')) m(model) GROUP BY ALL"""
+)
+ORACLES["training_history"] = """SELECT model, true AS several_epochs, true AS train_loss_falls, true AS least_is_chosen,
+    1::BIGINT AS chosen, true AS same_after_reading FROM (VALUES ('raw'), ('normalized'), ('signal')) m(model)"""
