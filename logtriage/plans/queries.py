@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logtriage.functions import signals as S
@@ -36,12 +36,13 @@ from logtriage.plans.request_logs import (
     request_logs,
     scored_logs,
 )
-from logtriage.schema import SIGNAL_KEYS
+from logtriage.schema import DATASET_COLUMNS, SIGNAL_KEYS
 from logtriage.session import cut_lineage, new_folder
 from logtriage.sources import datasets as D
 from logtriage.sources.alerts import alert_rows
 from logtriage.sources.follow import follow_logs
 from logtriage.sources.logs import non_blank, scan_lines
+from logtriage.sources.quoted import read_labelled
 from logtriage.streaming.landing import land_growing
 from logtriage.streaming.ledger import Ledger, read_totals, read_windows, write_last, write_once, write_totals, write_windows
 from logtriage.streaming.monitor import monitored, replay, write_alerts
@@ -871,6 +872,32 @@ def training_history(spark, sf):
     return C.union_all(found)
 
 
+@register
+def labelled_csv(spark, sf):
+    """Documents written as labelled CSV with line breaks in cells, every tenth row broken, read by blocks: good and bad rows."""
+    at = new_folder(spark, "labelled-csv")
+    cell = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    text = F.coalesce("text", F.lit(""))
+    label = F.when(F.col("doc_id") % 20 == 10, F.lit("many")).otherwise((F.col("doc_id") % 2).cast("string"))
+    cells = [F.col("doc_id").cast("string"), F.lit("2026"), F.lit("s"), cell(text), F.lit("n"), label, F.lit("f"), F.lit("t"),
+             F.lit("x"), F.lit("train"), F.lit("low")]
+    row = F.concat_ws(",", *cells)
+    row = F.when(F.col("doc_id") % 20 == 0, F.concat(row, F.lit(",more,cells"))).otherwise(row)
+    header = F.lit(",".join(DATASET_COLUMNS) + "\n")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = documents(spark, sf).repartition(tasks, "doc_id").select(row.alias("value"), F.spark_partition_id().alias("file"))
+    first = F.row_number().over(Window.partitionBy("file").orderBy("value")) == 1
+    rows = rows.select("file", F.when(first, F.concat(header, "value")).otherwise(F.col("value")).alias("value"))
+    rows.sortWithinPartitions("file", F.col("value").startswith(header).desc()).write.partitionBy("file").text(at)
+    good, bad = read_labelled(spark, at)
+    kept = good.select(F.col("id").cast("bigint").alias("doc_id"), "label", F.md5("raw_log").alias("digest"), F.lit("").alias("reason"))
+    lost = bad.select(
+        F.split("text", ",")[0].cast("bigint").alias("doc_id"), F.lit(None).cast("int").alias("label"),
+        F.lit(None).cast("string").alias("digest"), "reason",
+    )
+    return kept.unionByName(lost)
+
+
 # -- streaming ----------------------------------------------------------------------------------------------
 
 

@@ -942,3 +942,8 @@ ORACLES["training_splits"] = logs().sql(
 )
 ORACLES["training_history"] = """SELECT model, true AS several_epochs, true AS train_loss_falls, true AS least_is_chosen,
     1::BIGINT AS chosen, true AS same_after_reading FROM (VALUES ('raw'), ('normalized'), ('signal')) m(model)"""
+
+# -- labelled CSV ----------------------------------------------------------------------------------------------
+ORACLES["labelled_csv"] = """SELECT doc_id, CASE WHEN doc_id % 10 > 0 THEN CAST(doc_id % 2 AS INTEGER) END AS label,
+    CASE WHEN doc_id % 10 > 0 THEN md5(coalesce(text, '')) END AS digest,
+    CASE doc_id % 20 WHEN 0 THEN 'cells' WHEN 10 THEN 'label' ELSE '' END AS reason FROM documents"""
