@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,6 +78,29 @@ def rows_where(docs: DataFrame, keep: Callable[[bytes], bool], text: str = "text
     return docs.where(F.arrow_udf(judged, "boolean")(docs[text]))
 
 
+def sieved(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, bits: int = 26) -> DataFrame:
+    """Rows of ``df`` whose key (a bigint) may be among the wanted ones, before a join that settles it.
+
+    The wanted keys leave marks in a map of ``2 ** bits`` bits, a fixed size however many there are: few of them keep most
+    other rows from being shuffled, and with very many of them every row passes. No wanted row is lost.
+    """
+    bit = F.pmod(wanted_key, F.lit(1 << bits)).alias("bit")
+    mask = F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS int))")).alias("mask")
+    marks = wanted.select(bit).groupBy(F.expr("bit div 64").alias("word")).agg(mask).toArrow()  # 2 ** (bits - 6) rows at most
+    words = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    words[marks.column("word").to_numpy()] = marks.column("mask").to_numpy().view(np.uint64)
+    shared = df.sparkSession.sparkContext.broadcast(words)
+
+    def marked(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            at = part.to_numpy().view(np.uint64) & np.uint64((1 << bits) - 1)
+            found = (shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+            yield pa.array(found.astype(bool))
+
+    marked.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return df.where(F.arrow_udf(marked, "boolean")(key))
+
+
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with a key of every row, and the key's name.
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtriage.llm.common import digested, drop_stored, stored
+from logtriage.llm.common import digested, drop_stored, sieved, stored
 from logtriage.llm.components import components
 from logtriage.llm.near_dups import class_key
 from logtriage.llm.shingles import mixed, shingles
@@ -146,9 +146,11 @@ def class_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             hashes = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("cls"), n, hashes], ["c", "cls", "n", "hashes"])
 
-    rows = digested(docs)
+    wanted = wanted.select("c", "cls", "row")
+    own, theirs = F.xxhash64("doc_id", "digest"), F.xxhash64("row.doc_id", "row.digest")
+    rows = sieved(digested(docs), own, wanted, theirs)
     same = (rows.digest == F.col("row.digest")) & rows.doc_id.eqNullSafe(F.col("row.doc_id"))
-    found = rows.join(wanted.select("c", "cls", "row"), same).select("c", "cls", "text")
+    found = rows.join(wanted, same).select("c", "cls", "text")
     # Rows that repeat both id and text are the only ones that come twice.
     return found.mapInArrow(read, "c bigint, cls binary, n bigint, hashes array<bigint>").dropDuplicates(["cls"])
 

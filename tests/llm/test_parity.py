@@ -87,3 +87,16 @@ def test_empty_table(spark, docs_of):
 def test_similarity_out_of_range():
     with pytest.raises(ValueError, match="similarity"):
         parity.Bands(40)
+
+
+def test_sieve_keeps_all_that_is_wanted(spark):
+    from pyspark.sql import functions as F
+
+    from logtriage.llm.common import sieved
+
+    rows = spark.range(-500, 500)
+    for bits, most in ((6, 1000), (26, 120)):
+        wanted = rows.where("id % 10 = 0")
+        found = {r.id for r in sieved(rows, F.xxhash64("id"), wanted, F.xxhash64("id"), bits).collect()}
+        assert set(range(-500, 500, 10)) <= found and len(found) <= most
+    assert sieved(rows, F.xxhash64("id"), rows.limit(0), F.xxhash64("id")).count() == 0
