@@ -304,3 +304,10 @@ def leakage_checked(df: DataFrame, train_split: str, heldout: list[str]) -> Data
 def merge_taxonomy(old: dict[str, str], new: dict[str, str]) -> dict[str, str]:
     """Descriptions by type, the new ones winning."""
     return {**old, **new}
+
+
+def merge_types(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``obfuscation_type``, ``description`` of two tables; where both describe a type, the new description stands."""
+    added = new.select("obfuscation_type", F.col("description").alias("new"))
+    both = old.join(added, "obfuscation_type", "full_outer")
+    return both.select("obfuscation_type", F.coalesce("new", "description").alias("description"))

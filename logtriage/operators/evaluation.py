@@ -176,10 +176,13 @@ def family_rates(preds: DataFrame) -> DataFrame:
     )
 
 
-def dataset_stats(df: DataFrame) -> DataFrame:
-    """Counts by split, by label, by source, by type, and in total: one pass over the table."""
-    # The five groupings are exploded after a first aggregation on the full key, so the explode is small.
-    cells = df.groupBy("split", "label", "source", "obfuscation_type").agg(F.count(F.lit(1)).alias("n"))
+def stats_cells(df: DataFrame) -> DataFrame:
+    """Counts by split, label, source and type: what all statistics are sums of, and what can be kept split by split."""
+    return df.groupBy("split", "label", "source", "obfuscation_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stats_of_cells(cells: DataFrame) -> DataFrame:
+    """Counts by split, by label, by source, by type, and in total."""
     facets = F.array(
         F.struct(F.lit("by_split").alias("statistic"), F.col("split").alias("value")),
         F.struct(F.lit("by_label").alias("statistic"), F.col("label").cast("string").alias("value")),
@@ -193,6 +196,12 @@ def dataset_stats(df: DataFrame) -> DataFrame:
     )
 
 
+def dataset_stats(df: DataFrame) -> DataFrame:
+    """Counts by split, by label, by source, by type, and in total: one pass over the table."""
+    # The five groupings are exploded after a first aggregation on the full key, so the explode is small.
+    return stats_of_cells(stats_cells(df))
+
+
 def split_label_matrix(df: DataFrame) -> DataFrame:
     counts = df.groupBy("split").pivot("label", [0, 1]).agg(F.count(F.lit(1))).na.fill(0)
     return counts.select("split", F.col("0").alias("benign"), F.col("1").alias("malicious"))

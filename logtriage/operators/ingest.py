@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -125,12 +127,79 @@ def _json_texts(value: object) -> list[str]:
     return found
 
 
+_JSON_SPACE = re.compile(r"[ \t\n\r]*")
+_JSON_SCALAR = re.compile(r"-?Infinity|NaN|true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
+
+
+def load_deep(text: str) -> object:
+    """``json.loads`` without recursion, for values of any depth. Raises ``ValueError`` for other text."""
+    root: list = []
+    stack: list[dict | list] = [root]
+    keys: list[str] = []
+    at, state = 0, "value"  # what comes next: value, first (value or end), key, first key (key or end), more
+    while True:
+        at = _JSON_SPACE.match(text, at).end()
+        char, top = text[at : at + 1], stack[-1]
+        if state == "more":
+            if len(stack) == 1:
+                if char:
+                    raise ValueError(f"extra text at {at}")
+                return root[0]
+            if char == ("}" if isinstance(top, dict) else "]"):
+                stack.pop()
+            elif char == ",":
+                state = "key" if isinstance(top, dict) else "value"
+            else:
+                raise ValueError(f"comma or end expected at {at}")
+            at += 1
+        elif state in ("key", "first key"):
+            if char == "}" and state == "first key":
+                stack.pop()
+                at, state = at + 1, "more"
+                continue
+            if char != '"':
+                raise ValueError(f"key expected at {at}")
+            key, at = scanstring(text, at + 1, True)
+            at = _JSON_SPACE.match(text, at).end()
+            if text[at : at + 1] != ":":
+                raise ValueError(f"colon expected at {at}")
+            keys.append(key)
+            at, state = at + 1, "value"
+        elif char == "]" and state == "first":
+            stack.pop()
+            at, state = at + 1, "more"
+        else:
+            if char in ("[", "{"):
+                value = [] if char == "[" else {}
+                at += 1
+            elif char == '"':
+                value, at = scanstring(text, at + 1, True)
+            else:
+                found = _JSON_SCALAR.match(text, at)
+                if found is None:
+                    raise ValueError(f"value expected at {at}")
+                value, at = json.loads(found[0]), found.end()
+            if isinstance(top, dict):
+                top[keys.pop()] = value
+            else:
+                top.append(value)
+            if char in ("[", "{"):
+                stack.append(value)
+            state = {"[": "first", "{": "first key"}.get(char, "more")
+
+
 def _flatten_text(text: str | None) -> list[str] | None:
     if text is None:
         return None
     try:
         return _json_texts(json.loads(text))
-    except (ValueError, RecursionError):
+    except RecursionError:
+        pass
+    except ValueError:
+        return []
+    try:
+        return _json_texts(load_deep(text))
+    except ValueError:
         return []
 
 

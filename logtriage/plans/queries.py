@@ -872,6 +872,48 @@ def training_history(spark, sf):
     return C.union_all(found)
 
 
+def _stored_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Request lines as rows of a labelled dataset."""
+    empty = [c for c in DATASET_COLUMNS if c not in ("id", "source", "raw_log", "label", "obfuscation_type", "split")]
+    return request_logs(spark, sf).select(
+        F.format_string("LS-%09d", "log_id").alias("id"),
+        F.concat(F.lit("source "), (F.col("log_id") % 3).cast("string")).alias("source"),
+        "raw_log",
+        F.col("label").cast("int").alias("label"),
+        F.col("family").alias("obfuscation_type"),
+        "split",
+        *[F.lit("").alias(c) for c in empty],
+    )
+
+
+@register
+def split_rewrite(spark, sf):
+    """One split of a stored dataset is replaced and its statistics with it; the other splits keep files and statistics."""
+    at = new_folder(spark, "split-rewrite")
+    rows = _stored_lines(spark, sf)
+    D.write_dataset(rows, f"{at}/rows")
+    D.write_split_cells(E.stats_cells(rows), f"{at}/cells")
+    before = cut_lineage(D.split_files(spark, f"{at}/rows"))
+    fresh = rows.where("split = 'ood_stress_test' AND label = 1")
+    fresh = fresh.withColumns({"obfuscation_type": F.concat("obfuscation_type", F.lit(" again")), "source": F.lit("again")})
+    D.rewrite_split(fresh, f"{at}/rows", "ood_stress_test")
+    D.write_split_cells(E.stats_cells(D.read_split(spark, f"{at}/rows", "ood_stress_test")), f"{at}/cells")
+    merged = E.stats_of_cells(spark.read.parquet(f"{at}/cells"))
+    kept = before.join(D.split_files(spark, f"{at}/rows"), ["split", "file", "rows"])
+    untouched = kept.groupBy("split").agg(F.sum("rows").alias("rows"))
+    return merged.unionByName(untouched.select(F.lit("files kept").alias("statistic"), F.col("split").alias("value"), "rows"))
+
+
+@register
+def taxonomy_merge(spark, sf):
+    """Type descriptions of the training split, merged with those of all splits."""
+    types = request_logs(spark, sf).groupBy("split", F.col("family").alias("obfuscation_type")).agg(F.count(F.lit(1)).alias("n"))
+    said = lambda df, word: df.groupBy("obfuscation_type").agg(
+        F.concat(F.lit(word), F.sum("n").cast("string"), F.lit(" lines")).alias("description")
+    )
+    return C.merge_types(said(types.where("split <> 'test'"), "before: "), said(types.where("split IN ('train', 'test')"), "now: "))
+
+
 @register
 def labelled_csv(spark, sf):
     """Documents written as labelled CSV with line breaks in cells, every tenth row broken, read by blocks: good and bad rows."""

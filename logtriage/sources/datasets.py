@@ -37,6 +37,31 @@ def write_dataset(df: DataFrame, root: str) -> None:
     df.select(*DATASET_COLUMNS).write.mode("overwrite").partitionBy("split").parquet(root)
 
 
+def rewrite_split(df: DataFrame, root: str, split: str) -> None:
+    """Replace one split of a table that :func:`write_dataset` wrote; the files of all others stay as they are.
+
+    Rows lie in the order of their ids, so that files cover narrow ranges of it. Rows of another split raise.
+    """
+    validate_schema(df)
+    rows = df.select(*DATASET_COLUMNS).withColumn(
+        "split", F.when(F.col("split") == split, F.col("split")).otherwise(F.raise_error(F.lit(f"a row is not of {split}")))
+    )
+    writer = rows.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("split").parquet(root)
+
+
+def split_files(spark: SparkSession, root: str) -> DataFrame:
+    """``split``, ``file`` of a table by split."""
+    files = spark.read.parquet(root).select("split", F.col("_metadata.file_path").alias("file"))
+    return files.groupBy("split", "file").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def write_split_cells(cells: DataFrame, root: str) -> None:
+    """Statistics of each split in its own folder; only the splits that occur are replaced."""
+    writer = cells.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("split").parquet(root)
+
+
 def write_split_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 

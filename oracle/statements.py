@@ -947,3 +947,28 @@ ORACLES["training_history"] = """SELECT model, true AS several_epochs, true AS t
 ORACLES["labelled_csv"] = """SELECT doc_id, CASE WHEN doc_id % 10 > 0 THEN CAST(doc_id % 2 AS INTEGER) END AS label,
     CASE WHEN doc_id % 10 > 0 THEN md5(coalesce(text, '')) END AS digest,
     CASE doc_id % 20 WHEN 0 THEN 'cells' WHEN 10 THEN 'label' ELSE '' END AS reason FROM documents"""
+
+# -- one split replaced ----------------------------------------------------------------------------------------
+_REWRITE = logs()
+_REWRITE.add(
+    "now",
+    """SELECT split, label, 'source ' || (log_id % 3) AS source, family AS obfuscation_type FROM request_logs
+    WHERE split <> 'ood_stress_test'
+    UNION ALL SELECT split, label, 'again', family || ' again' FROM request_logs WHERE split = 'ood_stress_test' AND label = 1""",
+)
+ORACLES["split_rewrite"] = _REWRITE.sql(
+    """SELECT 'by_split' AS statistic, split AS value, count(*) AS rows FROM now GROUP BY ALL
+    UNION ALL SELECT 'by_label', label::VARCHAR, count(*) FROM now GROUP BY ALL
+    UNION ALL SELECT 'by_source', source, count(*) FROM now GROUP BY ALL
+    UNION ALL SELECT 'by_obfuscation_type', obfuscation_type, count(*) FROM now GROUP BY ALL
+    UNION ALL SELECT 'total_rows', '', count(*) FROM now
+    UNION ALL SELECT 'files kept', split, count(*) FROM now WHERE split <> 'ood_stress_test' GROUP BY ALL"""
+)
+ORACLES["taxonomy_merge"] = logs().sql(
+    """SELECT coalesce(o.obfuscation_type, n.obfuscation_type) AS obfuscation_type,
+    coalesce(n.description, o.description) AS description
+    FROM (SELECT family AS obfuscation_type, 'before: ' || count(*) || ' lines' AS description FROM request_logs
+          WHERE split <> 'test' GROUP BY ALL) o
+    FULL JOIN (SELECT family AS obfuscation_type, 'now: ' || count(*) || ' lines' AS description FROM request_logs
+          WHERE split IN ('train', 'test') GROUP BY ALL) n ON o.obfuscation_type = n.obfuscation_type"""
+)

