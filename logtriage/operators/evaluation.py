@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from logtriage.operators.detect import DISPLAY_NAMES, literal_map, model_threshold
@@ -131,6 +134,24 @@ def evaluate(
     return table.withColumn("latency_ms", measured).withColumn("throughput_lps", speed).select(*COMPARISON_COLUMNS)
 
 
+def measured_latency(lines: DataFrame, scorers: dict[str, Callable[[DataFrame], DataFrame]]) -> dict[str, float]:
+    """Milliseconds a line of scoring all ``lines`` with each model, by model name, as one run has taken them.
+
+    Rows are counted where they are scored (an observed metric), so the run computes scores only and keeps none. The time is
+    that of the whole cluster: more cores lower it. A model without lines has no entry.
+    """
+    found = {}
+    for model, scorer in scorers.items():
+        seen = Observation(f"scored {model}")
+        scored = scorer(lines).observe(seen, F.count(F.lit(1)).alias("rows"))
+        started = time.perf_counter()
+        scored.write.format("noop").mode("overwrite").save()
+        took = time.perf_counter() - started
+        if rows := seen.get["rows"]:
+            found[model] = took * 1000 / rows
+    return found
+
+
 def unavailable(comparison: DataFrame) -> DataFrame:
     """Warning text for each (model, test set) without metrics."""
     return comparison.filter(F.col("metric_note") == UNAVAILABLE_NOTE).select(

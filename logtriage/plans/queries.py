@@ -940,6 +940,25 @@ def labelled_csv(spark, sf):
     return kept.unionByName(lost)
 
 
+@register
+def evaluate_timed(spark, sf):
+    """The evaluation of the signature and a trained model with measured times: whether each is filled and fits the other."""
+    logs, models = _charlm(spark, sf)
+    raw = models[0]
+    keys = ["log_id", "split", "label"]
+    scorers = {
+        R.SIGNATURE: lambda df: signature(df).select(*keys, F.col("sig_score").alias("score_signature")),
+        R.RAW: lambda df: LM.score_columns(df, [raw], keys),
+    }
+    times = E.measured_latency(logs.select(*keys, "raw_log"), scorers)
+    scores = scorers[R.SIGNATURE](logs.select(*keys, "raw_log")).join(scorers[R.RAW](logs), keys)
+    empty = [F.lit(None).cast("string").alias(c) for c in ("raw_log", "normalized_log", "obfuscation_type", "source")]
+    rows = scores.select(F.col("log_id").alias("id"), "split", "label", "score_signature", "score_raw", *empty)
+    table = E.evaluate(E.predictions(rows, ["signature", "raw"]), latency_ms=times, ranking=False)
+    speed = F.abs(F.col("throughput_lps") * F.col("latency_ms") - 1000) < 1e-6
+    return table.select("model", "test_set", "tp", "fp", (F.col("latency_ms") > 0).alias("timed"), speed.alias("fits"))
+
+
 # -- streaming ----------------------------------------------------------------------------------------------
 
 

@@ -20,6 +20,7 @@ from oracle.base import (
     add_canonical,
     add_comparison,
     add_logs,
+    add_signature,
     canon,
     cleanup_sql,
     compared,
@@ -972,3 +973,13 @@ ORACLES["taxonomy_merge"] = logs().sql(
     FULL JOIN (SELECT family AS obfuscation_type, 'now: ' || count(*) || ' lines' AS description FROM request_logs
           WHERE split IN ('train', 'test') GROUP BY ALL) n ON o.obfuscation_type = n.obfuscation_type"""
 )
+
+# -- measured times ----------------------------------------------------------------------------------------------
+_TIMED = charlm()
+add_signature(_TIMED, "canon", "signed")
+ORACLES["evaluate_timed"] = _TIMED.sql(
+    f"""SELECT model, split AS test_set, count(*) FILTER (label = 1 AND hit) AS tp, count(*) FILTER (label = 0 AND hit) AS fp,
+    true AS timed, true AS fits
+    FROM (SELECT {lit(R.SIGNATURE)} AS model, split, label, sig_score >= 0.7 AS hit FROM signed
+          UNION ALL SELECT {lit(R.RAW)}, split, label, total >= 0 FROM lm_raw) GROUP BY ALL"""
+)
