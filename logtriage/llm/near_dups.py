@@ -12,7 +12,7 @@
 5. Every link is confirmed on full sets. Components come from large and small stars.
 
 In a family whose members are not linked to its centre, the comparisons inside a block pair grow with the square of
-the block; nothing of that is written or shuffled.
+the block. A member's hashes are shuffled once for each long list and block pair it is in.
 
 Cases: a null or empty text, or one of white space only, has no shingles and is linked with nothing; rows that repeat a
 ``doc_id`` are separate texts, and equal texts are linked whatever their ids; a null ``doc_id`` can be linked but is
