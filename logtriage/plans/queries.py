@@ -655,8 +655,10 @@ def family_recall(spark, sf):
 
 @register
 def family_recall_joined(spark, sf):
-    dataset = scored_logs(spark, sf).select("split", "label", "obfuscation_type")
-    errors = E.error_analysis(preds(spark, sf))
+    # Lines are scored once; both sides of the join read that.
+    scored = cut_lineage(scored_logs(spark, sf))
+    dataset = scored.select("split", "label", "obfuscation_type")
+    errors = E.error_analysis(E.predictions(scored, MODELS))
     return R.family_recall_joined(dataset, errors, "adversarial_evasion_test", R.CHALLENGE_MODELS)
 
 
