@@ -105,3 +105,11 @@ def test_first_distinct_shuffle_and_tail(spark):
     assert [r.line for r in tail(df, F.col("line"), 2).collect()] == [4, 5]
     one, two = (sorted((r.position, r.line) for r in shuffle(df, "line", 1).collect()) for _ in range(2))
     assert one == two and [p for p, _ in one] == [1, 2, 3, 4, 5]
+
+
+def test_latency_is_measured_over_scored_lines(spark):
+    from logtriage.operators.evaluation import measured_latency
+
+    lines = spark.range(500)
+    found = measured_latency(lines, {"all": lambda df: df, "none": lambda df: df.where("id < 0")})
+    assert set(found) == {"all"} and 0 < found["all"] < 1000

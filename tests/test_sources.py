@@ -106,3 +106,30 @@ def test_stats_document(spark, tmp_path):
     assert document["total_rows"] == 4 and document["by_split"] == {"train": 2, "val": 1, "test": 1}
     datasets.write_source_meta(spark.createDataFrame([("s", 1)], "source string, rows int"), f"{tmp_path}/meta")
     assert spark.read.json(f"{tmp_path}/meta").filter(F.col("rows") == 1).count() == 1
+
+
+def test_rewriting_one_split_keeps_the_others(spark, tmp_path):
+    from logtriage.operators.corpus import merge_types
+    from logtriage.schema import DATASET_COLUMNS
+
+    def rows(*parts):
+        made = [{**{c: c for c in DATASET_COLUMNS}, "id": i, "label": n % 2, "split": s} for n, (i, s) in enumerate(parts)]
+        return spark.createDataFrame(made, datasets.DATASET_SCHEMA)
+
+    root = f"{tmp_path}/rows"
+    datasets.write_dataset(rows(("a", "train"), ("b", "train"), ("c", "val"), ("d", "test")), root)
+    before = {(r.split, r.file) for r in datasets.split_files(spark, root).collect()}
+    datasets.rewrite_split(rows(("x", "val"), ("y", "val")), root, "val")
+    after = {(r.split, r.file) for r in datasets.split_files(spark, root).collect()}
+    assert {f for f in before if f[0] != "val"} == {f for f in after if f[0] != "val"}
+    assert not {f for f in before if f[0] == "val"} & after
+    assert sorted(r.id for r in datasets.read_split(spark, root, "val").collect()) == ["x", "y"]
+    with pytest.raises(Exception, match="not of val"):
+        datasets.rewrite_split(rows(("z", "train")), root, "val")
+    assert datasets.read_split(spark, root, "train").count() == 2
+
+    types = "obfuscation_type string, description string"
+    old = spark.createDataFrame([("a", "old a"), ("b", "old b"), ("n", None)], types)
+    new = spark.createDataFrame([("b", "new b"), ("c", "new c"), ("n", None)], types)
+    merged = {r.obfuscation_type: r.description for r in merge_types(old, new).collect()}
+    assert merged == {"a": "old a", "b": "new b", "c": "new c", "n": None}
