@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logtriage.llm.common import rows_where, stored, texts
 from logtriage.llm.shingles import Runs, runs
@@ -210,7 +211,13 @@ def _scan(scan: Callable, shared: Broadcast, batches: Iterator[pa.RecordBatch])
     return scan(shared.value, batches)
 
 
-def decontaminated(
+def decontaminated(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
+    """The rows of ``docs`` whose id matches no item; rows with a null id stay, since an id does not tell them apart."""
+    hits = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("hit")).distinct()
+    return docs.join(hits, docs["doc_id"] == hits["hit"], "left_anti")
+
+
+def clean_rows(
     docs: DataFrame, benchmark: DataFrame, seed: int = 5, threshold: float = 0.8, key: str = "item_id", text: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` whose text matches no item, as they are: each row is judged by itself, in one scan a block."""

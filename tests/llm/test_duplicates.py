@@ -246,6 +246,9 @@ def test_reordered_passages_are_found(spark, docs_of):
     assert {r.doc_id: r.n_tiles for r in found}[1] == 4 and all(r.coverage == 1.0 for r in found)
     kept = decontam.decontaminated(docs_of(rows, clash=True), bench)
     assert {r.doc_id for r in kept.collect()} == {2, 3, None, 5, 6} and "cls" in kept.columns
+    clean = decontam.clean_rows(docs_of(rows, clash=True), bench)
+    assert {r.doc_id for r in clean.collect()} == {2, 3, 5, 6} and clean.columns == kept.columns
+    assert decontam.clean_rows(docs_of(rows), bench.limit(0)).count() == len(rows)
     assert decontam.contaminated(docs_of([]), bench).count() == 0
     assert decontam.contaminated(docs_of(rows), bench.limit(0)).count() == 0
 
@@ -277,3 +280,22 @@ def test_benchmark_blocks(spark, sf, monkeypatch):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     planted = {(d, i) for i, x in items.items() for d, t in docs.items() if x in t}
     assert planted <= {(r[0], r[1]) for r in whole}
+
+
+def test_clean_rows_in_blocks(spark, sf, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "benchmark"))
+    whole = {r.doc_id for r in decontam.clean_rows(docs, bench).collect()}
+    hits = {r.doc_id for r in decontam.contaminated(docs, bench).collect()}
+    assert whole == {r.doc_id for r in docs.collect()} - hits
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 1500)
+    assert {r.doc_id for r in decontam.clean_rows(docs, bench).collect()} == whole
+
+
+def test_null_ids_read_their_texts_once(spark, docs_of):
+    """Many rows without an id: texts are fetched by id and digest, so the rows that are read stay as many as the rows."""
+    data = [(None, f"{k} one text of many that has no id of its own") for k in range(2000)] + [(None, "a b c d")] * 50
+    docs = docs_of(data)
+    profile = near_dups.profiles(docs, 3)
+    classes = profile.where("cls is not null").groupBy("cls").agg({"digest": "first"})
+    wanted = classes.selectExpr("cls", "named_struct('doc_id', cast(null as bigint), 'digest', `first(digest)`) AS row")
+    assert near_dups.class_sets(docs, wanted, 3).count() == 2001
