@@ -204,7 +204,8 @@ def nearest(lists: DataFrame, known: DataFrame, named: DataFrame, percent: int,
     size = lists.groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")
     before = named.groupBy("a").agg(F.collect_set("b").alias("named"))  # at most ``most`` a round and block
-    about = known.join(before, F.col("c") == F.col("a"), "left").drop("a")
+    about = known.join(lists.select("c").distinct(), "c", "left_semi")
+    about = about.join(before, F.col("c") == F.col("a"), "left").drop("a")
     rows = lists.join(size.select("token", blocks), "token").join(about, "c")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
