@@ -1021,16 +1021,20 @@ def stream_follow(spark, sf):
     )
 
 
-#: Files that request lines are landed in for streams that take one file a trigger.
+#: Triggers in which streams take the request lines that are landed for them.
 TRIGGERS = 3
 
 
 def _landed(spark: SparkSession, sf: str, out: str) -> DataFrame:
-    """Request lines as a stream of ``TRIGGERS`` files, one a trigger, with the time of the event they stand for."""
+    """Request lines as a stream of ``TRIGGERS`` triggers, with the time of the event they stand for.
+
+    A trigger takes one file for each task: a single file would be classified in one task, however many lines it holds.
+    """
     logs = request_logs(spark, sf).select("log_id", "raw_log")
     logs = logs.withColumn("seen_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("log_id") % 6000))
-    logs.repartition(TRIGGERS).write.parquet(f"{out}/lines")
-    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/lines")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    logs.repartition(TRIGGERS * tasks, "log_id").write.parquet(f"{out}/lines")
+    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", tasks).parquet(f"{out}/lines")
     return alerts(detect(stream))
 
 

@@ -78,3 +78,14 @@ def test_totals_windows_and_last_rows_over_restarts(spark, tmp_path):
     found = {(round((r.start - start).total_seconds() / 60), r.kind): r.rows for r in windows}
     # Row 5 came long after row 500 had moved the watermark past its window.
     assert found == {(0, "odd"): 2, (0, "even"): 2, (20, "odd"): 1, (20, "even"): 1, (500, "even"): 1, (500, "odd"): 1}
+
+
+def test_triggers_are_shared_out(spark, sf, tmp_path):
+    """A trigger of the landed lines is classified by several tasks, not read from one file by one."""
+    from logtriage.plans import queries as Q
+
+    tasks = []
+    found = Q._landed(spark, sf, str(tmp_path)).writeStream.option("checkpointLocation", str(tmp_path / "checkpoint"))
+    query = found.foreachBatch(lambda batch, _: tasks.append(batch.rdd.getNumPartitions())).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(tasks) == Q.TRIGGERS and min(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
