@@ -9,17 +9,20 @@ not on the share of lines of each class. A sum of integers is the same in whatev
 
 The ``signal`` variant reads canonical text and adds the weights of its thirteen signals, each set or not.
 
-Counting is one aggregation with map-side combining, scoring one aggregation by line. Counts of lower orders are sums of the
-higher ones. The table of weights holds distinct n-grams of the training lines; it is written once, so that its size is
-known and Spark decides whether to send it to all tasks or to shuffle.
+Counting is one aggregation with map-side combining. Counts of lower orders are sums of the higher ones. The table of weights
+holds distinct n-grams of the training lines. Up to ``LOOKUP`` of them are sent to the tasks that read the lines, where a line's
+sum is looked up in sorted arrays and no row moves; with more, the trigrams of lines are joined with the table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
-from operator import add
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ START, END = "\x02", "\x03"
 #: Observations that each order takes from the order below, and how many characters share evenly at the bottom.
 MASS, ALPHABET = 2, 256
 MICRO = 1_000_000
+#: Weights that a task holds, 16 bytes each.
+LOOKUP = 4_000_000
 
 MODEL_SCHEMA = "variant string, gram string, weight bigint"
 
@@ -118,11 +123,75 @@ def load(spark: SparkSession, path: str, variant: str) -> CharModel:
     return CharModel(variant, spark.read.schema(MODEL_SCHEMA).parquet(path).where(F.col("variant") == variant))
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+
+
+def _sorted_weights(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ascending keys and weights of the n-grams of each length; a key is the code points side by side."""
+    found = []
+    for n in range(1, ORDER + 1):
+        own = table.filter(pc.equal(pc.utf8_length(table.column("gram")), n))
+        codes = _codes("".join(own.column("gram").to_pylist())).reshape(-1, n)
+        keys = sum(codes[:, i] << 21 * (n - 1 - i) for i in range(n))
+        order = np.argsort(keys)
+        found.append((keys[order], own.column("weight").to_numpy()[order]))
+    return found
+
+
+def _weights_of(keys: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weights of n-grams, of their last characters where they are not known."""
+    if not tables:
+        return np.zeros(len(keys), np.int64)
+    known, weights = tables[-1]
+    place = np.searchsorted(known, keys)
+    place[place == len(known)] = 0
+    hit = known[place] == keys if len(known) else np.zeros(len(keys), bool)
+    found = np.where(hit, weights[place], 0) if len(known) else np.zeros(len(keys), np.int64)
+    missed = np.flatnonzero(~hit)
+    if len(missed):
+        found[missed] = _weights_of(keys[missed] & ((1 << 21 * (len(tables) - 1)) - 1), tables[:-1])
+    return found
+
+
+def _sums(texts: pa.Array, tables: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sum of the weights of the trigrams of every text."""
+    if not len(texts):
+        return np.zeros(0, np.int64)
+    sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes + ORDER)
+    padded = np.full(ends[-1], ord(START), np.int64)
+    padded[ends - 1] = ord(END)
+    padded[np.arange(sizes.sum()) + np.repeat(np.arange(len(sizes)) * ORDER + ORDER - 1, sizes)] = _codes("".join(texts.to_pylist()))
+    weights = _weights_of(padded[:-2] << 42 | padded[1:-1] << 21 | padded[2:], tables)
+    sums = np.concatenate([[0], np.cumsum(weights)])
+    return sums[ends - 2] - sums[ends - sizes - ORDER]
+
+
 def totals(df: DataFrame, model: CharModel, keys: list[str]) -> DataFrame:
-    """``keys``, ``total`` (sum of weights) and ``n`` (its terms) of every row; ``keys`` tell the rows apart.
+    """``keys``, ``total`` (sum of weights) and ``n`` (its terms) of every row; ``keys`` tell the rows apart."""
+    if model.weights.count() > LOOKUP:
+        return joined_totals(df, model, keys)
+    table = model.weights.select("gram", "weight").toArrow()
+    tables = _sorted_weights(table)
+
+    def summed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            yield pa.array(_sums(texts, tables))
+
+    summed.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    text = F.make_valid_utf8(F.coalesce(F.col(VARIANTS[model.variant]), F.lit("")))
+    total, n = F.arrow_udf(summed, "bigint")(text), F.length(text).cast("bigint") + 1
+    if model.variant == "signal":
+        of = dict(zip(table.column("gram").to_pylist(), table.column("weight").to_pylist()))
+        for key in SIGNAL_KEYS:
+            total += F.when(F.col(f"signals.{key}"), F.lit(of[f"1:{key}"])).otherwise(F.lit(of[f"0:{key}"]))
+        n += len(SIGNAL_KEYS)
+    return df.select(*keys, total.alias("total"), n.alias("n"))
+
 
-    A text's trigrams leave their task as one sum.
-    """
+def joined_totals(df: DataFrame, model: CharModel, keys: list[str]) -> DataFrame:
+    """``totals`` by joins with the table of weights, of any size. A text's trigrams leave their task as one sum."""
     text = F.coalesce(F.col(VARIANTS[model.variant]), F.lit(""))
     terms = grams(text)
     if model.variant == "signal":

