@@ -154,18 +154,27 @@ def _weights_of(keys: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]]) -
     return found
 
 
-def _sums(texts: pa.Array, tables: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Sum of the weights of the trigrams of every text."""
-    if not len(texts):
-        return np.zeros(0, np.int64)
+def trigram_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points side by side of the trigrams of texts that lie one after the other, and the number of each text's own.
+
+    Between the trigrams of two texts stand two that belong to none.
+    """
     sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes + ORDER)
     padded = np.full(ends[-1], ord(START), np.int64)
     padded[ends - 1] = ord(END)
     padded[np.arange(sizes.sum()) + np.repeat(np.arange(len(sizes)) * ORDER + ORDER - 1, sizes)] = _codes("".join(texts.to_pylist()))
-    weights = _weights_of(padded[:-2] << 42 | padded[1:-1] << 21 | padded[2:], tables)
-    sums = np.concatenate([[0], np.cumsum(weights)])
-    return sums[ends - 2] - sums[ends - sizes - ORDER]
+    return padded[:-2] << 42 | padded[1:-1] << 21 | padded[2:], sizes + 1
+
+
+def _sums(texts: pa.Array, tables: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sum of the weights of the trigrams of every text."""
+    if not len(texts):
+        return np.zeros(0, np.int64)
+    keys, own = trigram_keys(texts)
+    sums = np.concatenate([[0], np.cumsum(_weights_of(keys, tables))])
+    begins = np.cumsum(own + ORDER - 1) - own - ORDER + 1
+    return sums[begins + own] - sums[begins]
 
 
 def totals(df: DataFrame, model: CharModel, keys: list[str]) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Lines are binary features: hashed trigrams of their characters and, for the ``signal`` variant, the signals that are set. In an
 epoch every task runs stochastic gradient steps over its own lines from the same weights; the tasks' weights are averaged by
-their number of lines, in Spark. Then the loss of the training and the validation split is measured under the averaged
-weights. Training stops when ``patience`` epochs have brought no lower validation loss; the weights of the best epoch are returned.
+their number of lines, in Spark. The loss of the training and the validation split is measured under the averaged
+weights, in the pass that takes the steps of the next epoch. Training stops when ``patience`` epochs have brought no lower validation loss; the weights of the best epoch are returned.
 
 The driver holds weights, whose number ``bits`` bounds, never lines. Lines stay in the partitions that they are dealt to by their
 key, in its order, so a repeated or lost task takes the same steps.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtriage.operators.charlm import VARIANTS, grams
+from logtriage.operators.charlm import ORDER, VARIANTS, trigram_keys
 from logtriage.schema import SIGNAL_KEYS
 from logtriage.session import cut_lineage
 
@@ -38,17 +38,34 @@ class Epochs:
     history: list[tuple[int, float, float]] = field(default_factory=list)
 
 
+def _places(texts: pa.Array, room: int) -> pa.Array:
+    """Distinct hashed trigrams of every text, from thirteen on."""
+    if not len(texts):
+        return pa.array([], pa.list_(pa.int32()))
+    keys, own = trigram_keys(texts)
+    keys = keys[np.arange(own.sum()) + np.repeat(np.arange(len(own)) * (ORDER - 1), own)].astype(np.uint64)
+    keys = (keys ^ keys >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    keys = (keys ^ keys >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    hashed = ((keys >> np.uint64(32)) % np.uint64(room)).astype(np.int64) + len(SIGNAL_KEYS)
+    found = np.unique(np.repeat(np.arange(len(own)), own) << 32 | hashed)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(found >> 32, minlength=len(own)))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found & 0xFFFFFFFF, pa.int32()))
+
+
 def feature_ids(variant: str, bits: int = BITS) -> Column:
-    """Distinct places of a line's features; signals take the first thirteen."""
-    room = F.lit((1 << bits) - len(SIGNAL_KEYS))
-    hashed = F.transform(
-        grams(F.coalesce(F.col(VARIANTS[variant]), F.lit(""))),
-        lambda g: (F.pmod(F.xxhash64(g), room) + len(SIGNAL_KEYS)).cast("int"),
-    )
+    """Distinct places of a line's features; signals take the first thirteen. Trigrams are cut and hashed a batch at a time."""
+    room = (1 << bits) - len(SIGNAL_KEYS)
+
+    def placed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            yield _places(texts, room)
+
+    placed.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    hashed = F.arrow_udf(placed, "array<int>")(F.make_valid_utf8(F.coalesce(F.col(VARIANTS[variant]), F.lit(""))))
     if variant != "signal":
-        return F.array_distinct(hashed)
+        return hashed
     told = [F.when(F.col(f"signals.{key}"), F.lit(k)) for k, key in enumerate(SIGNAL_KEYS)]
-    return F.array_distinct(F.concat(hashed, F.array_compact(F.array(*told))))
+    return F.concat(hashed, F.array_compact(F.array(*told)))
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,55 +81,63 @@ def _logits(weights: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> np.ndarr
     return (sums[base[1:]] - sums[base[:-1]]) / np.sqrt(np.maximum(np.diff(base), 1)) + weights[-1]
 
 
-def _steps(weights: np.ndarray, balance: tuple[float, float], rate: float, ridge: float, batches: Iterator[pa.RecordBatch]):
-    own, rows = weights.copy(), 0
+def _step_batch(own: np.ndarray, balance: tuple[float, float], rate: float, ridge: float, batch: pa.RecordBatch) -> None:
+    y, flat, ends = _columns(batch)
+    ends = ends - ends[0]
+    for at in range(0, len(y), STEP_ROWS):
+        part = slice(at, min(at + STEP_ROWS, len(y)))
+        borders = ends[part.start : part.stop + 1]
+        ids = flat[borders[0] : borders[-1]]
+        p = 1 / (1 + np.exp(-np.clip(_logits(own, ids, borders), -30, 30)))
+        slope = (p - y[part]) * np.where(y[part] == 1, balance[1], balance[0])
+        size = np.diff(borders)
+        spread = np.repeat(slope / np.sqrt(np.maximum(size, 1)), size)
+        own[:-1] *= 1 - rate * ridge
+        np.subtract.at(own, ids, rate * spread / len(slope) * np.sqrt(len(slope)))
+        own[-1] -= rate * slope.mean()
+
+
+def _loss(weights: np.ndarray, balance: tuple[float, float], batch: pa.RecordBatch) -> np.ndarray:
+    """Sum of losses and of weights of the lines of both splits: validation, training."""
+    y, flat, ends = _columns(batch)
+    z = np.clip(_logits(weights, flat, ends), -30, 30)
+    weight = np.where(y == 1, balance[1], balance[0])
+    loss = weight * (np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - y * z)
+    split = batch.column("is_train").to_numpy(zero_copy_only=False).astype(int)
+    return np.stack([np.bincount(split, loss, 2), np.bincount(split, weight, 2)])
+
+
+def _pass(
+    weights: np.ndarray, balance: tuple[float, float], rate: float | None, ridge: float, batches: Iterator[pa.RecordBatch]
+) -> Iterator[pa.RecordBatch]:
+    """A task's part of a pass: the losses under ``weights`` (places -2 and -1) and, with a rate, its weights after its steps."""
+    own, rows, losses = weights.copy(), 0, np.zeros((2, 2))
     for batch in batches:
-        y, flat, ends = _columns(batch)
-        ends = ends - ends[0]
-        for at in range(0, len(y), STEP_ROWS):
-            part = slice(at, min(at + STEP_ROWS, len(y)))
-            borders = ends[part.start : part.stop + 1]
-            ids = flat[borders[0] : borders[-1]]
-            p = 1 / (1 + np.exp(-np.clip(_logits(own, ids, borders), -30, 30)))
-            slope = (p - y[part]) * np.where(y[part] == 1, balance[1], balance[0])
-            size = np.diff(borders)
-            spread = np.repeat(slope / np.sqrt(np.maximum(size, 1)), size)
-            own[:-1] *= 1 - rate * ridge
-            np.subtract.at(own, ids, rate * spread / len(slope) * np.sqrt(len(slope)))
-            own[-1] -= rate * slope.mean()
-        rows += len(y)
+        losses += _loss(weights, balance, batch)
+        if rate is not None:
+            train = batch.filter(batch.column("is_train"))
+            _step_batch(own, balance, rate, ridge, train)
+            rows += len(train)
+    place, sums, counts = [np.array([-2, -1])], [losses[0]], [losses[1]]
     if rows:
-        place = np.arange(len(own), dtype=np.int64)
-        columns = [pa.array(place), pa.array(own * rows), pa.array(np.full(len(own), float(rows)))]
-        yield pa.RecordBatch.from_arrays(columns, ["place", "sum", "rows"])
-
-
-def _loss(weights: np.ndarray, balance: tuple[float, float], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        y, flat, ends = _columns(batch)
-        z = np.clip(_logits(weights, flat, ends), -30, 30)
-        weight = np.where(y == 1, balance[1], balance[0])
-        loss = weight * (np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - y * z)
-        columns = [batch.column("is_train"), pa.array(loss), pa.array(weight)]
-        yield pa.RecordBatch.from_arrays(columns, ["is_train", "loss", "weight"])
-
-
-def _measured(rows: DataFrame, weights: np.ndarray, balance: tuple[float, float]) -> dict[bool, float]:
-    found = rows.select("is_train", "label", "ids").mapInArrow(
-        lambda batches: _loss(weights, balance, batches), "is_train boolean, loss double, weight double"
-    )
-    found = found.groupBy("is_train").agg((F.sum("loss") / F.sum("weight")).alias("loss"))
-    return {r.is_train: r.loss for r in found.collect()}
-
-
-def _averaged(train: DataFrame, weights: np.ndarray, balance: tuple[float, float], rate: float, ridge: float) -> np.ndarray:
-    parts = train.select("label", "ids").mapInArrow(
-        lambda batches: _steps(weights, balance, rate, ridge, batches), "place bigint, sum double, rows double"
+        place, sums = [*place, np.arange(len(own))], [*sums, own * rows]
+        counts.append(np.full(len(own), float(rows)))
+    columns = [pa.array(np.concatenate(x)) for x in (place, sums, counts)]
+    yield pa.RecordBatch.from_arrays(columns, ["place", "sum", "rows"])
+
+
+def _passed(
+    rows: DataFrame, weights: np.ndarray, balance: tuple[float, float], rate: float | None, ridge: float
+) -> tuple[dict[bool, float], np.ndarray]:
+    """Losses of both splits under ``weights``, and the averaged weights after the steps of the next epoch, read at once."""
+    parts = rows.select("is_train", "label", "ids").mapInArrow(
+        lambda batches: _pass(weights, balance, rate, ridge, batches), "place bigint, sum double, rows double"
     )
-    table = parts.groupBy("place").agg((F.sum("sum") / F.sum("rows")).alias("weight")).toArrow()  # one row a weight
+    table = parts.groupBy("place").agg((F.try_divide(F.sum("sum"), F.sum("rows"))).alias("weight")).toArrow()  # one row a weight
+    place, value = table.column("place").to_numpy(), table.column("weight").to_numpy()
     found = weights.copy()
-    found[table.column("place").to_numpy()] = table.column("weight").to_numpy()
-    return found
+    found[place[place >= 0]] = value[place >= 0]
+    return {bool(k + 2): float(value[place == k][0]) for k in (-2, -1)}, found
 
 
 def fit_epochs(
@@ -142,14 +167,17 @@ def fit_epochs(
     weights = np.zeros((1 << bits) + 1)
     best = Epochs(variant, weights, 0)
     least = np.inf
+    # The pass that measures an epoch takes the steps of the next one, from the same weights.
+    _, weights = _passed(rows, weights, balance, rate, ridge)
     for epoch in range(1, epochs + 1):
-        weights = _averaged(rows.where("is_train"), weights, balance, rate / np.sqrt(epoch), ridge)
-        loss = _measured(rows, weights, balance)
+        ahead = rate / np.sqrt(epoch + 1) if epoch < epochs else None
+        loss, stepped = _passed(rows, weights, balance, ahead, ridge)
         best.history.append((epoch, loss[True], loss[False]))
         if loss[False] < least:
             least, best.best, best.weights = loss[False], epoch, weights
         elif epoch - best.best >= patience:
             break
+        weights = stepped
     return best
 
 

@@ -123,3 +123,17 @@ def test_lookups_equal_joins_and_move_no_rows(spark, sf):
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, LM.joined_totals(rows, model, ["log_id"]).collect()))
         plan = LM.totals(logs, model, ["log_id"])._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan.split("InMemoryRelation")[0] and "Join" not in plan.split("InMemoryRelation")[0]
+
+
+def test_an_epoch_reads_lines_once(spark, lines, monkeypatch):
+    """The pass that measures an epoch takes the next one's steps: n epochs are n + 1 passes."""
+    passes = []
+    once = EP._passed
+    monkeypatch.setattr(EP, "_passed", lambda *args: passes.append(1) or once(*args))
+    train, other = lines
+    model = EP.fit_epochs(train, other, "signal", "log_id", epochs=3, patience=3)
+    assert len(model.history) == 3 and len(passes) == 4
+    ids = train.select("raw_log", EP.feature_ids("raw").alias("ids")).collect()
+    room = (1 << EP.BITS)
+    assert all(len(set(r.ids)) == len(r.ids) <= len(set(trigrams(r.raw_log))) for r in ids)
+    assert all(13 <= i < room for r in ids for i in r.ids)
