@@ -186,8 +186,12 @@ def class_weights(df: DataFrame) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame) -> DataFrame:
-    """Attach the class weight to each row, as two scalar subqueries rather than a join."""
-    positives = df.agg(F.sum((F.col("label") == 1).cast("long")).alias("v")).select("v").scalar()
-    total = df.agg(F.count(F.lit(1)).alias("v")).select("v").scalar()
+    """Attach the class weight to each row, as two scalar subqueries rather than a join.
+
+    A row with a column ``rows`` stands for that many lines and weighs as much as all of them.
+    """
+    rows = F.col("rows") if "rows" in df.columns else F.lit(1)
+    positives = df.agg(F.sum((F.col("label") == 1).cast("long") * rows).alias("v")).select("v").scalar()
+    total = df.agg(F.sum(rows).alias("v")).select("v").scalar()
     size = F.when(F.col("label") == 1, positives).otherwise(total - positives)
-    return df.withColumn("class_weight", total / (2 * size))
+    return df.withColumn("class_weight", total / (2 * size) * rows)

@@ -754,8 +754,9 @@ def encode_chars_query(spark, sf):
 
 
 def _learned(spark: SparkSession, sf: str, variant: str) -> DataFrame:
-    # Training reads the features many times, so they are computed once.
-    table = cut_lineage(L.feature_table(request_logs(spark, sf)))
+    # Equal lines have equal features: each counts with its number. Training reads the features many times, so they are computed once.
+    lines = request_logs(spark, sf).groupBy("raw_log", "split", "label").agg(F.count(F.lit(1)).alias("rows"))
+    table = cut_lineage(L.feature_table(lines))
     known = F.col("split").isin("train", "val")
     model = L.train(table.filter(known), variant, max_iter=10)
     return _shares(L.score(table, model, "score"))
@@ -764,7 +765,8 @@ def _learned(spark: SparkSession, sf: str, variant: str) -> DataFrame:
 def _shares(scored: DataFrame) -> DataFrame:
     """Lines by split and label, and whether the wanted share of them is on the right side; every split is scored."""
     right = ((F.col("score") >= G.LEARNED_THRESHOLD).cast("int") == F.col("label")).cast("int")
-    counts = scored.groupBy("split", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum(right).alias("right"))
+    rows = F.col("rows") if "rows" in scored.columns else F.lit(1)
+    counts = scored.groupBy("split", "label").agg(F.sum(rows).alias("rows"), F.sum(right * rows).alias("right"))
     return counts.select("split", "label", "rows", (F.col("right") >= F.col("rows") * LEARNED_SHARE).alias("learned"))
 
 

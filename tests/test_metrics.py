@@ -113,3 +113,13 @@ def test_latency_is_measured_over_scored_lines(spark):
     lines = spark.range(500)
     found = measured_latency(lines, {"all": lambda df: df, "none": lambda df: df.where("id < 0")})
     assert set(found) == {"all"} and 0 < found["all"] < 1000
+
+
+def test_class_weight_of_counted_rows(spark):
+    """A row that stands for several equal lines weighs as much as they do together."""
+    lines = [("a", 1), ("a", 1), ("a", 1), ("b", 0), ("c", 0), ("c", 0), ("d", 1)]
+    single = M.with_class_weight(spark.createDataFrame(lines, "t string, label int")).collect()
+    counted = spark.createDataFrame(lines, "t string, label int").groupBy("t", "label").agg(F.count("*").alias("rows"))
+    found = {r.t: r.class_weight for r in M.with_class_weight(counted).collect()}
+    for t in "abcd":
+        assert found[t] == pytest.approx(sum(r.class_weight for r in single if r.t == t))
