@@ -2,12 +2,13 @@
 
 Late string materialization: a term is a fixed-width digest until the end.
 
-1. Every task counts the terms of its documents and writes one row for each (lang, source, digest) it holds, with
-   occurrences and documents, and one row for each (lang, digest) with the text. The counting that follows reads no texts.
+1. Every task digests the terms of its documents, some texts at a time, by prefix sums over their bytes. It writes one row for each
+   (lang, source, digest) it holds, with occurrences and documents, and one row for each digest and text. The counting
+   that follows reads no texts.
 2. Only digests are shuffled, by (lang, source, digest) and then, pre-aggregated, by (lang, digest). A digest whose terms are
    together in too few documents goes; two terms behind one digest can only be too many here, never too few.
-3. The texts behind the digests that are left are fetched: their smallest and largest string show whether a digest
-   stands for several terms. Only then documents are read again and the terms of those few digests are counted by text.
+3. The distinct texts behind the digests that are left are fetched: they show whether a digest stands for several terms.
+   Only then documents are read again and the terms of those few digests are counted by text.
 4. The sum over all terms for every two sources is taken in blocks of a language's terms, so that no language and no term
    is one group. A block holds a matrix of sources and terms and adds one row for each two sources.
 5. Ranks need texts for ties only. The value at the wanted rank is found on counts of equal values; what lies below it goes,
@@ -28,21 +29,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtriage.llm.common import stored
+from logtriage.llm.suffix_index import Fingerprints
 
 #: Documents of a language that a term must be in.
 MIN_DOCS = 3
-#: Distinct (source, term) entries that a task holds before it writes them; a bound on memory only.
-HELD_TERMS = 600_000
+#: Entries (counts of a group's term, texts) that a task holds before it writes them; a bound on memory only.
+HELD_TERMS = 2_000_000
+#: Bytes of texts whose terms are digested at a time; a bound on memory only.
+CHUNK = 1 << 20
+#: Rows of a batch that goes back to Spark.
+WRITTEN_ROWS = 100_000
 #: Cells of the matrix of one block of terms, and ordered pairs of sources that one task adds up for a block.
 BLOCK_CELLS = 50_000
 BLOCK_PAIRS = 500_000
 SCALE = 1_000_000_000
 
+COLUMNS = pa.schema(
+    [("lang", pa.string()), ("source", pa.string()), ("digest", pa.int64()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())]
+)
 PAIRS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 
 _UPPER = range(0x41, 0x5B)
@@ -51,64 +59,162 @@ _LOWER = range(0x61, 0x7B)
 _TERMS = bytes(b + 0x20 if b in _UPPER else b if b in _LOWER or b >= 0x80 else 0x20 for b in range(256))
 
 
-def _counted(bits: int, with_text: bool):
-    """Counts of a task: rows with ``n`` for (lang, source, digest), rows without for texts.
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A long text in pieces of about ``CHUNK`` bytes that cut no term."""
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + CHUNK)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end
 
-    A row without a digest names its group. With ``with_text`` every count carries its text, and there are no other rows.
+
+def _binary(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The parts of ``data`` with these starts and sizes."""
+    ends = np.cumsum(size)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])])
+
+
+def _terms_of(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+    """Of each term of a few texts: digest and the text's place in the list; and the distinct (``digest``, ``term``).
+
+    Terms of one digest are compared with the first of them byte by byte, so a digest of several terms is never overlooked.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    data = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)
+    letters = data != 0x20
+    flips = np.flatnonzero(letters[1:] != letters[:-1]) + 1
+    start, end = flips[::2], flips[1::2]
+    size = end - start
+    digest = Fingerprints(data, max(2 * CHUNK, 1 << len(data).bit_length())).of(start, end)
+    digest = (digest >> np.uint64(64 - bits)).view(np.int64)
+    text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, np.cumsum(sizes + 1) - sizes), append=len(start)) if texts else 0)
+    coded = pa.array(digest).dictionary_encode()
+    code, first = coded.indices.to_numpy(), np.zeros(len(coded.dictionary), dtype=np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    like = first[code]
+    at = np.flatnonzero(letters)
+    differs = data[np.minimum(at + np.repeat(start[like] - start, size), len(data) - 1)] != data[at]
+    other = size != size[like]
+    if differs.any():
+        other |= np.logical_or.reduceat(differs, np.cumsum(size) - size)
+    shown = np.concatenate([first, np.flatnonzero(other)])
+    return digest, text, pa.table({"digest": digest[shown], "term": _binary(data, start[shown], size[shown])})
+
+
+def _text_counts(digest: np.ndarray, text: np.ndarray) -> pa.Table:
+    """``digest``, ``text`` and ``n`` of every digest in every text."""
+    coded = pa.array(digest).dictionary_encode()
+    kinds = max(1, len(coded.dictionary))
+    key = np.sort(text * kinds + coded.indices.to_numpy())
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    n = np.diff(first, append=len(key))
+    return pa.table({"digest": coded.dictionary.to_numpy()[key[first] % kinds], "text": key[first] // kinds, "n": n})
+
+
+def _merged(tables: list[pa.Table], keys: list[str], sums: list[str]) -> list[pa.Table]:
+    """The tables as one, with one row for each key."""
+    if not tables:
+        return []
+    found = pa.concat_tables(tables).group_by(keys, use_threads=False).aggregate([(c, "sum") for c in sums])
+    return [found.rename_columns([x.removesuffix("_sum") for x in found.column_names])]
+
+
+def _counts_of(texts: list[bytes], bits: int) -> tuple[pa.Table, pa.Table]:
+    """``digest``, ``text``, ``n`` of a few texts or of one of any length, and the distinct (``digest``, ``term``)."""
+    counts, terms = [], []
+    for part in [texts] if len(texts) > 1 else [[x] for x in _pieces(texts[0])] or [texts]:
+        digest, text, shown = _terms_of(part, bits)
+        counts.append(_text_counts(digest, text))
+        terms.append(shown)
+    if len(counts) > 1:  # pieces of one text
+        return _merged(counts, ["digest", "text"], ["n"])[0], _merged(terms, ["digest", "term"], [])[0]
+    return counts[0], terms[0]
+
+
+def _batches(*columns: object) -> Iterator[pa.RecordBatch]:
+    """Rows of ``COLUMNS``; a column that is not given is null."""
+    size = max(len(c) for c in columns if c is not None)
+    columns = [pa.nulls(size, t) if c is None else c for c, t in zip(columns, COLUMNS.types, strict=True)]
+    yield from pa.table(columns, COLUMNS.names).cast(COLUMNS).to_batches(WRITTEN_ROWS)
+
+
+def _counted(bits: int):
+    """Counts of a task: rows with ``n`` for (lang, source, digest), rows without for the texts of digests.
+
+    A row without a digest names its group.
     """
-    shift = 64 - bits
-    names = ["lang", "source", "digest", "term", "n", "docs"]
-    types = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-
-    def digest(term: bytes) -> int:
-        found = xxhash.xxh3_64_intdigest(term) >> shift
-        return found - (1 << 64) if found >> 63 else found
-
-    def batch(*columns: list) -> pa.RecordBatch:
-        arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-        arrays[3] = arrays[3].cast(pa.string())
-        return pa.RecordBatch.from_arrays(arrays, names)
-
-    def written(held: dict[str, dict[str, tuple[Counter, Counter]]]) -> Iterator[pa.RecordBatch]:
-        for lang, sources in held.items():
-            digests = {term: digest(term) for term in set().union(*(n for n, _ in sources.values()))}
-            if not with_text:
-                none = [None] * len(digests)
-                yield batch([lang] * len(digests), none, list(digests.values()), list(digests), none, none)
-            for source, (n, docs) in sources.items():
-                size = len(n) + 1
-                columns = [[*map(digests.__getitem__, n), None], [*n, None] if with_text else [None] * size]
-                yield batch([lang] * size, [source] * size, *columns, [*n.values(), 0], [*map(docs.__getitem__, n), 0])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict[str, tuple[Counter, Counter]]] = {}
-        size = 0
-        for own in batches:
+
+    def chunks(found: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[str, str]], list[bytes]]]:
+        """Groups and texts, about ``CHUNK`` bytes at a time; a longer text comes alone."""
+        groups, held, size = [], [], 0
+        for own in found:
             texts = own.column(2).cast(pa.binary())
-            for lang, source, text in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), texts, strict=True):
-                sources = held.setdefault(lang, {})
-                if source not in sources:
-                    sources[source] = (Counter(), Counter())
-                    size += 1
-                n, docs = sources[source]
-                size -= len(n)
-                terms = text.as_py().translate(_TERMS).split()
-                n.update(terms)
-                docs.update(set(terms))
-                size += len(n)
-                if size >= HELD_TERMS:
-                    yield from written(held)
-                    held, size = {}, 0
-        yield from written(held)
+            for group, text in zip(zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True), texts, strict=True):
+                text = text.as_py().translate(_TERMS)
+                if held and size + len(text) > CHUNK:
+                    yield groups, held
+                    groups, held, size = [], [], 0
+                groups.append(group)
+                held.append(text)
+                size += len(text) + 1
+        if held:
+            yield groups, held
+
+    def written(groups: dict[tuple[str, str], int], counts: list[pa.Table], terms: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        langs, sources = (pa.array([g[k] for g in groups], pa.string()) for k in (0, 1))
+        none = np.zeros(len(groups), dtype=np.int64)
+        yield from _batches(langs, sources, None, None, none, none)
+        for t in _merged(counts, ["group", "digest"], ["n", "docs"]):
+            group = t.column("group")
+            yield from _batches(langs.take(group), sources.take(group), t.column("digest"), None, t.column("n"), t.column("docs"))
+        for t in _merged(terms, ["digest", "term"], []):
+            yield from _batches(None, None, t.column("digest"), t.column("term"), None, None)
+
+    def count(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[str, str], int] = {}
+        counts, terms, fresh = [], [], 0
+        for told, texts in chunks(found):
+            own, shown = _counts_of(texts, bits)
+            group = np.array([groups.setdefault(g, len(groups)) for g in told])[own.column("text").to_numpy()]
+            one = np.ones(len(group), dtype=np.int64)
+            counts.append(pa.table({"group": group, "digest": own.column("digest"), "n": own.column("n"), "docs": one}))
+            terms.append(shown)
+            fresh += len(group)
+            if fresh >= HELD_TERMS // 2:
+                counts, terms, fresh = _merged(counts, ["group", "digest"], ["n", "docs"]), _merged(terms, ["digest", "term"], []), 0
+                if sum(t.num_rows for t in counts + terms) + len(groups) >= HELD_TERMS:
+                    yield from written(groups, counts, terms)
+                    groups, counts, terms = {}, [], []
+        if groups:
+            yield from written(groups, counts, terms)
+
+    return count
+
+
+def _counted_by_text(bits: int):
+    """Counts of every text's terms, with the terms."""
+
+    def count(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in found:
+            for lang, source, text in zip(*(own.column(k) for k in (0, 1, 2)), strict=True):
+                n = Counter(text.cast(pa.binary()).as_py().translate(_TERMS).split())
+                terms = b" ".join(n)
+                digest = np.concatenate([np.zeros(0, np.int64), *(_terms_of([x], bits)[0] for x in _pieces(terms))])
+                same = ([x.as_py()] * len(n) for x in (lang, source))
+                if n:
+                    yield from _batches(*same, digest, pa.array(n, pa.binary()), list(n.values()), np.ones(len(n), np.int64))
 
     return count
 
 
 def term_counts(docs: DataFrame, bits: int = 64, with_text: bool = False) -> DataFrame:
-    """Pre-aggregated counts and texts of each task."""
+    """Pre-aggregated counts and texts of each task; with ``with_text`` every text's counts, each with its term."""
     plain = docs.select(*(F.coalesce(docs[c], F.lit("")).alias(c) for c in ("lang", "source", "text")))
     schema = "lang string, source string, digest bigint, term string, n bigint, docs bigint"
-    return plain.mapInArrow(_counted(bits, with_text), schema)
+    return plain.mapInArrow((_counted_by_text if with_text else _counted)(bits), schema)
 
 
 def kept_terms(docs: DataFrame, raw: DataFrame, min_docs: int, bits: int) -> tuple[DataFrame, DataFrame]:
@@ -121,14 +227,15 @@ def kept_terms(docs: DataFrame, raw: DataFrame, min_docs: int, bits: int) -> tup
     counts = stored(counts, "digest-counts")
     often = counts.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
     often = stored(often.select("lang", "digest"), "kept-digests")
-    # Texts of kept digests only: the smallest and the largest over all tasks tell a digest of several terms.
-    known = raw.where("n is null").select("lang", "digest", "term").join(often, ["lang", "digest"], "left_semi")
-    known = known.groupBy("lang", "digest").agg(F.min("term").alias("term"), F.max("term").alias("last"))
+    # Texts of kept digests only: more than one over all tasks tell a digest of several terms.
+    known = raw.where("n is null").select("digest", "term")
+    known = known.join(often.select("digest").distinct(), "digest", "left_semi").distinct()
     known = stored(known, "kept-texts")
     kept = counts.select("lang", "source", "digest", "n").join(often, ["lang", "digest"], "left_semi")
-    texts = known.select("lang", "digest", F.lit("").alias("text"), "term")
-    several = known.where("term <> last").select("lang", "digest")
-    if not several.isEmpty():
+    texts = often.join(known, "digest").select("lang", "digest", F.lit("").alias("text"), "term")
+    unclear = known.groupBy("digest").agg(F.count(F.lit(1)).alias("terms")).where("terms > 1").select("digest")
+    several = often.join(unclear, "digest", "left_semi")
+    if not unclear.isEmpty():
         key = ["lang", "digest", "term"]
         split = term_counts(docs, bits, with_text=True).where("n > 0").join(several, ["lang", "digest"], "left_semi")
         split = stored(split, "split-counts")

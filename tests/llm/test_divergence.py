@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from logtriage.llm import divergence
@@ -54,3 +55,21 @@ def test_only_the_first_ranks_and_ties_by_text(spark, duck_over, tmp_path):
 
 def test_empty_table(spark):
     assert divergence.source_divergence(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_terms_of_texts_cut_into_pieces(monkeypatch):
+    """A long text is digested in pieces that cut no term, in one document's count; terms of one digest are told apart."""
+    monkeypatch.setattr(divergence, "CHUNK", 40)
+    rng = random.Random(5)
+    words = [f"w{'abc'[k % 3] * (k // 3)}" for k in range(40)]
+    texts = [" ".join(rng.choices(words, k=n)).encode() for n in (60, 0, 3, 1, 200)]
+    batch = pa.table({"l": ["en"] * 5, "s": ["x"] * 5, "t": [t.decode() for t in texts]}).to_batches()[0]
+    for bits in (64, 2):
+        found = pa.Table.from_batches(divergence._counted(bits)(iter([batch]))).to_pylist()
+        told = {(r["digest"], r["term"]) for r in found if r["n"] is None}
+        assert {t for _, t in told} == {w.decode() for t in texts for w in t.split()}
+        assert sum(r["n"] or 0 for r in found) == sum(len(t.split()) for t in texts)
+        if bits == 64:
+            names = dict(told)
+            n = {names[r["digest"]]: (r["n"], r["docs"]) for r in found if r["n"]}
+            assert n == {w.decode(): (sum(t.split().count(w) for t in texts), sum(w in t.split() for t in texts)) for t in texts for w in t.split()}
