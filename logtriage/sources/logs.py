@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logtriage.functions.text import split_lines, strip
+from logtriage.functions.text import WS, split_lines
 from logtriage.schema import PACKET_SCHEMA
 
 # Line boundaries the text reader leaves inside a line: VT, FF, FS, GS, RS, NEL, LS, PS.
@@ -19,7 +19,7 @@ def scan_lines(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
 
 
 def non_blank(df: DataFrame, col: str = "raw_log") -> DataFrame:
-    return df.filter(strip(F.col(col)) != "")
+    return df.filter(F.col(col).rlike(rf"[^{WS}]"))
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:

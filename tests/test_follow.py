@@ -131,3 +131,37 @@ def test_query_restarts_over_rotations(spark, tmp_path):
     put(logs / "a.log", b"5\n")
     assert run() == ["1", "2", "3 half", "4", "5", "b1"]
     assert run() == ["1", "2", "3 half", "4", "5", "b1"]
+
+
+def test_lines_are_computed_once_for_all_appends(spark, tmp_path):
+    """Files that grow are copied from lines that were written once: rows that tie must not change places between appends."""
+    from pyspark.sql import functions as S
+
+    from logtriage.streaming.landing import land_growing
+
+    computed = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            computed.add(part.num_rows)
+            yield part
+
+    lines = spark.range(300).select((S.col("id") % 7).alias("k"), S.concat(S.lit("é line "), S.col("id")).alias("raw_log"))
+    before, sizes = {}, []
+    for _ in land_growing(lines.mapInArrow(counted, lines.schema), ["k"], str(tmp_path / "logs"), 3):
+        now = {p.name: p.read_bytes() for p in (tmp_path / "logs").iterdir()}
+        assert all(now[name].startswith(data) for name, data in before.items())
+        before = now
+        sizes.append(sum(map(len, now.values())))
+    assert computed.value == 300
+    assert sizes[0] < sizes[1] < sizes[2]
+    found = b"".join(before.values()).decode().splitlines()
+    assert sorted(found) == sorted(f"{k % 7} é line {k}" for k in range(300))
+
+
+def test_blank_lines_of_all_kinds(spark):
+    from logtriage.sources.logs import non_blank
+
+    texts = ["", " ", "\t  ", "​", " x ", "x\n", "\n", "\x1c\x85", None]
+    found = non_blank(spark.createDataFrame([(t,) for t in texts], "raw_log string"))
+    assert [r.raw_log for r in found.collect()] == [t for t in texts if t and t.strip()]
