@@ -71,3 +71,18 @@ def test_a_missing_column_raises(spark, tmp_path):
     (tmp_path / "a.csv").write_text(written([row(1, "x")], [c for c in DATASET_COLUMNS if c != "split"], extrasaction="ignore"))
     with pytest.raises(ValueError, match="split"):
         read_labelled(spark, str(tmp_path))
+
+
+def test_only_rows_over_a_border_are_shuffled(spark, tmp_path):
+    """Rows inside a block are put together where they are read; a row of too many lines is never gathered."""
+    from logtriage.sources import quoted
+
+    rows = [row(k, f"one {k}\ntwo\n\"three\"" if k % 3 else "\n" * 30, k % 2) for k in range(60)]
+    (tmp_path / "a.csv").write_text(written(rows), newline="", encoding="utf-8")
+    found, long = quoted._records(quoted._lines(spark, str(tmp_path)), 20)
+    assert found.count() == 1 + 40 and long.groupBy("record").count().count() == 20
+    lines = quoted._lines(spark, str(tmp_path)).withColumn("odd", quoted._odd(quoted.F.col("text")))
+    given = lines.join(quoted.F.broadcast(quoted.block_starts(lines)), ["file", "block"]).toArrow().to_batches()
+    parts = [x for b in quoted._joined(20, iter(given)) for x in b.to_pylist()]
+    assert {x["whole"] for x in parts if x["text"].startswith("id1,")} == {True}
+    assert sum(not x["whole"] for x in parts) == 20 * 31
