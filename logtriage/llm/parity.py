@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtriage.llm.common import digested, drop_stored, sieved, stored
@@ -182,6 +182,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent).select("a", "b")
 
 
+def posting_lists(classes: DataFrame) -> DataFrame:
+    """``c``, ``k``, ``token`` and ``length`` of the lists of several members; postings are shuffled once."""
+    posted = classes.select("c", F.posexplode("tokens").alias("k", "own")).select("c", "k", F.explode("own").alias("token"))
+    length = F.count(F.lit(1)).over(Window.partitionBy("token")).alias("length")
+    return posted.select("c", "k", "token", length).where("length > 1")
+
+
 def leader_pairs(long: DataFrame) -> DataFrame:
     """Pairs of the member of each list (``token``, ``c``, ``company``) that has the most company, and all others."""
     lead = long.groupBy("token").agg(F.max(F.struct("company", "c")).alias("lead"))
@@ -247,9 +254,7 @@ def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     same = (F.first(x).alias(x) for x in ("c", "n", "band", "folds", "tokens"))  # equal in all rows of a class
     rep = [F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "digest")).alias("row")]
     classes = stored(some.groupBy("cls").agg(*rep, *same), "parity-classes")
-    posted = classes.select("c", F.posexplode("tokens").alias("k", "own")).select("c", "k", F.explode("own").alias("token"))
-    lengths = posted.groupBy("token").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
-    lists = stored(posted.join(lengths, "token"), "parity-postings")
+    lists = stored(posting_lists(classes), "parity-postings")
     short = lists.where(F.col("length") <= SHORT).select("token", "c")
     other = short.select(F.col("token").alias("same"), F.col("c").alias("b"))
     pairs = short.join(other, (F.col("token") == F.col("same")) & (F.col("c") < F.col("b")))
@@ -274,8 +279,11 @@ def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
             break
         named = stored(named.unionByName(found), "parity-named")
         fresh = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = stored(confirmed(fresh, sets, percent), "parity-links")
-        drop_stored(found)
+        # A round names few: the sets of others are not shuffled again.
+        touched = found.select(F.col("a").alias("c")).union(found.select("b")).distinct()
+        near = stored(sets.join(touched, "c", "left_semi"), "parity-near")
+        more = stored(confirmed(fresh, near, percent), "parity-links")
+        drop_stored(found, near)
         if not more.isEmpty():
             links = stored(links.unionByName(more), "parity-links")
             roots = components(links)

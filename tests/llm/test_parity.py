@@ -100,3 +100,15 @@ def test_sieve_keeps_all_that_is_wanted(spark):
         found = {r.id for r in sieved(rows, F.xxhash64("id"), wanted, F.xxhash64("id"), bits).collect()}
         assert set(range(-500, 500, 10)) <= found and len(found) <= most
     assert sieved(rows, F.xxhash64("id"), rows.limit(0), F.xxhash64("id")).count() == 0
+
+
+def test_postings_are_shuffled_once(spark):
+    """Lists of several members with their lengths, from one shuffle of the postings and no join."""
+    from logtriage.llm.parity import posting_lists
+
+    data = [(1, [[7, 8], [9]]), (2, [[7], [9]]), (3, [[7, 5]]), (4, [[4]])]
+    lists = posting_lists(spark.createDataFrame(data, "c bigint, tokens array<array<bigint>>"))
+    found = sorted((r.token, r.c, r.k, r.length) for r in lists.collect())
+    assert found == [(7, 1, 0, 3), (7, 2, 0, 3), (7, 3, 0, 3), (9, 1, 1, 2), (9, 2, 1, 2)]
+    plan = lists._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
