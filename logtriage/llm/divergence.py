@@ -4,7 +4,7 @@ Late string materialization: a term is a fixed-width digest until the end.
 
 1. Every task digests the terms of its documents, some texts at a time, by prefix sums over their bytes. It writes one row for each
    (lang, source, digest) it holds, with occurrences and documents, and one row for each digest and text. The counting
-   that follows reads no texts.
+   that follows reads no texts. Python workers outlive their tasks: what they have held is given back at the end.
 2. Only digests are shuffled, by (lang, source, digest) and then, pre-aggregated, by (lang, digest). A digest whose terms are
    together in too few documents goes; two terms behind one digest can only be too many here, never too few.
 3. The distinct texts behind the digests that are left are fetched: they show whether a digest stands for several terms.
@@ -40,7 +40,7 @@ MIN_DOCS = 3
 #: Entries (counts of a group's term, texts) that a task holds before it writes them; a bound on memory only.
 HELD_TERMS = 2_000_000
 #: Bytes of texts whose terms are digested at a time; a bound on memory only.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Rows of a batch that goes back to Spark.
 WRITTEN_ROWS = 100_000
 #: Cells of the matrix of one block of terms, and ordered pairs of sources that one task adds up for a block.
@@ -122,6 +122,18 @@ def _merged(tables: list[pa.Table], keys: list[str], sums: list[str]) -> list[pa
     return [found.rename_columns([x.removesuffix("_sum") for x in found.column_names])]
 
 
+def _summed(tables: list[pa.Table]) -> list[pa.Table]:
+    """Counts as one table, with one row for each digest and group: sorted, which takes less memory than hashing."""
+    if not tables:
+        return []
+    digest, group, *sums = (pa.concat_tables(tables).column(c).to_numpy() for c in ("digest", "group", "n", "docs"))
+    order = np.lexsort((group, digest))
+    digest, group = digest[order], group[order]
+    first = np.flatnonzero(np.concatenate([[True], (digest[1:] != digest[:-1]) | (group[1:] != group[:-1])])[: len(digest)])
+    n, docs = (np.add.reduceat(x[order], first) if len(first) else x for x in sums)
+    return [pa.table({"group": group[first], "digest": digest[first], "n": n, "docs": docs})]
+
+
 def _counts_of(texts: list[bytes], bits: int) -> tuple[pa.Table, pa.Table]:
     """``digest``, ``text``, ``n`` of a few texts or of one of any length, and the distinct (``digest``, ``term``)."""
     counts, terms = [], []
@@ -134,6 +146,12 @@ def _counts_of(texts: list[bytes], bits: int) -> tuple[pa.Table, pa.Table]:
     return counts[0], terms[0]
 
 
+def _slices(tables: list[pa.Table]) -> Iterator[pa.Table]:
+    for t in tables:
+        for at in range(0, t.num_rows, WRITTEN_ROWS):
+            yield t.slice(at, WRITTEN_ROWS)
+
+
 def _batches(*columns: object) -> Iterator[pa.RecordBatch]:
     """Rows of ``COLUMNS``; a column that is not given is null."""
     size = max(len(c) for c in columns if c is not None)
@@ -167,10 +185,10 @@ def _counted(bits: int):
         langs, sources = (pa.array([g[k] for g in groups], pa.string()) for k in (0, 1))
         none = np.zeros(len(groups), dtype=np.int64)
         yield from _batches(langs, sources, None, None, none, none)
-        for t in _merged(counts, ["group", "digest"], ["n", "docs"]):
+        for t in _slices(_summed(counts)):
             group = t.column("group")
             yield from _batches(langs.take(group), sources.take(group), t.column("digest"), None, t.column("n"), t.column("docs"))
-        for t in _merged(terms, ["digest", "term"], []):
+        for t in _slices(_merged(terms, ["digest", "term"], [])):
             yield from _batches(None, None, t.column("digest"), t.column("term"), None, None)
 
     def count(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,13 +201,14 @@ def _counted(bits: int):
             counts.append(pa.table({"group": group, "digest": own.column("digest"), "n": own.column("n"), "docs": one}))
             terms.append(shown)
             fresh += len(group)
-            if fresh >= HELD_TERMS // 2:
-                counts, terms, fresh = _merged(counts, ["group", "digest"], ["n", "docs"]), _merged(terms, ["digest", "term"], []), 0
+            if fresh >= HELD_TERMS // 4:
+                counts, terms, fresh = _summed(counts), _merged(terms, ["digest", "term"], []), 0
                 if sum(t.num_rows for t in counts + terms) + len(groups) >= HELD_TERMS:
                     yield from written(groups, counts, terms)
                     groups, counts, terms = {}, [], []
         if groups:
             yield from written(groups, counts, terms)
+        pa.default_memory_pool().release_unused()  # a worker that is kept for other tasks would keep it
 
     return count
 

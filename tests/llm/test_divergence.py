@@ -1,6 +1,9 @@
 """Source divergence audit against its SQL, with digests of several terms, small blocks and odd rows."""
 
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -73,3 +76,58 @@ def test_terms_of_texts_cut_into_pieces(monkeypatch):
             names = dict(told)
             n = {names[r["digest"]]: (r["n"], r["docs"]) for r in found if r["n"]}
             assert n == {w.decode(): (sum(t.split().count(w) for t in texts), sum(w in t.split() for t in texts)) for t in texts for w in t.split()}
+
+
+def test_counts_of_several_merges(monkeypatch):
+    """Counts that are merged again and again, and written when too many are held, add up to those of all texts."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randrange(6))) for _ in range(200)]
+    rows = pa.table({"l": ["en", "fr"] * 100, "s": ["x", "y", "y", "x"] * 50, "t": texts})
+    monkeypatch.setattr(divergence, "CHUNK", 10)
+    monkeypatch.setattr(divergence, "WRITTEN_ROWS", 3)
+    for held in (12, 10_000):
+        monkeypatch.setattr(divergence, "HELD_TERMS", held)
+        found = pa.Table.from_batches(divergence._counted(64)(iter(rows.to_batches(70)))).to_pylist()
+        names = {r["digest"]: r["term"] for r in found if r["n"] is None}
+        total = {}
+        for r in found:
+            if r["n"]:
+                key = (r["lang"], r["source"], names[r["digest"]])
+                total[key] = [a + b for a, b in zip(total.get(key, (0, 0)), (r["n"], r["docs"]), strict=True)]
+        expected = {}
+        for r in rows.to_pylist():
+            for word in set(r["t"].split()):
+                key = (r["l"], r["s"], word)
+                expected[key] = [a + b for a, b in zip(expected.get(key, (0, 0)), (r["t"].split().count(word), 1), strict=True)]
+        assert total == expected
+
+
+KEEPS = """
+import re, sys
+import numpy as np, pyarrow as pa
+from logtriage.llm import divergence
+
+def mb():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def batches():
+    rng = np.random.default_rng(1)
+    for _ in range(10):
+        words = rng.integers(0, 1_000_000, (700, 200)) + 10_000_000
+        texts = ["w" + " w".join(map(str, row)) for row in words]
+        texts = [t.translate(str.maketrans("0123456789", "abcdefghij")) for t in texts]
+        yield pa.record_batch([["en"] * 700, ["s"] * 700, texts], ["l", "s", "t"])
+
+start, rows = mb(), 0
+for batch in divergence._counted(64)(batches()):
+    rows += batch.num_rows
+del batch
+print(rows, round(mb() - start))
+"""
+
+
+def test_an_idle_worker_keeps_little_memory():
+    """Python workers outlive their tasks, so what a task leaves behind stands beside the executor's heap from then on."""
+    root = Path(divergence.__file__).parents[2]
+    said = subprocess.run([sys.executable, "-c", KEEPS], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert int(said[0]) > 1_500_000 and int(said[1]) < 150
