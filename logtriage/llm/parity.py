@@ -49,6 +49,8 @@ NEAREST = 3
 ROUNDS = 8
 #: Members of one block of an open list.
 BLOCK_ROWS = 4096
+#: Bits of the map of open classes that keeps the sketches of others from being shuffled; a fixed size.
+SIEVE_BITS = 22
 #: Bits of one segment of a sketch.
 SEGMENT_BITS = 20
 
@@ -146,13 +148,14 @@ def class_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             hashes = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("cls"), n, hashes], ["c", "cls", "n", "hashes"])
 
-    wanted = wanted.select("c", "cls", "row")
-    own, theirs = F.xxhash64("doc_id", "digest"), F.xxhash64("row.doc_id", "row.digest")
-    rows = sieved(digested(docs), own, wanted, theirs)
-    same = (rows.digest == F.col("row.digest")) & rows.doc_id.eqNullSafe(F.col("row.doc_id"))
-    found = rows.join(wanted, same).select("c", "cls", "text")
-    # Rows that repeat both id and text are the only ones that come twice.
-    return found.mapInArrow(read, "c bigint, cls binary, n bigint, hashes array<bigint>").dropDuplicates(["cls"])
+    at = F.xxhash64("row.doc_id", "row.digest").alias("row_at")
+    wanted = wanted.select("c", "cls", F.col("row.digest").alias("row_digest"), at)
+    rows = digested(docs).select("digest", "text", F.xxhash64("doc_id", "digest").alias("at"))
+    rows = sieved(rows, F.col("at"), wanted, F.col("row_at"))
+    found = rows.join(wanted, (F.col("at") == F.col("row_at")) & (F.col("digest") == F.col("row_digest")))
+    # Rows that repeat both id and text are the only ones that come twice; they already are together.
+    found = found.dropDuplicates(["at", "digest", "cls"]).select("c", "cls", "text")
+    return found.mapInArrow(read, "c bigint, cls binary, n bigint, hashes array<bigint>")
 
 
 def _unlike(a: Column, b: Column) -> Column:
@@ -206,13 +209,13 @@ def open_lists(long: DataFrame, roots: DataFrame) -> DataFrame:
 def nearest(lists: DataFrame, known: DataFrame, named: DataFrame, percent: int, most: int | None) -> DataFrame:
     """Pairs (``a`` names ``b``) of members of one list and different components whose sketches allow a link.
 
-    A member names at most ``most`` others in a block, the least unlike ones first, and nobody it has named before.
+    A member names at most ``most`` others in a block, the least unlike ones first, and nobody it has named before. ``known`` has the
+    classes in the lists.
     """
     size = lists.groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")
     before = named.groupBy("a").agg(F.collect_set("b").alias("named"))  # at most ``most`` a round and block
-    about = known.join(lists.select("c").distinct(), "c", "left_semi")
-    about = about.join(before, F.col("c") == F.col("a"), "left").drop("a")
+    about = known.join(before, F.col("c") == F.col("a"), "left").drop("a")
     rows = lists.join(size.select("token", blocks), "token").join(about, "c")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -271,10 +274,16 @@ def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     links = stored(confirmed(open_pairs, sets, percent), "parity-links")
     roots = components(links)
     named = spark.createDataFrame([], "a bigint, b bigint")
+    still, about = long.select("token", "c", "k"), known
     for turn in range(ROUNDS + 1):
-        still = stored(open_lists(long.select("token", "c", "k"), roots), "parity-open-lists")
-        found = stored(nearest(still, known, named, percent, NEAREST if turn < ROUNDS else None), "parity-nearest")
-        drop_stored(still)
+        # Components only grow: a list that is done stays done, so a round reads those that the one before found open.
+        before = [] if turn == 0 else [still, about]
+        still = stored(open_lists(still.select("token", "c", "k"), roots), "parity-open-lists")
+        members = still.select("c").distinct()
+        about = about if turn else sieved(about, F.col("c"), members, F.col("c"), SIEVE_BITS)
+        about = stored(about.join(members, "c", "left_semi"), "parity-open-classes")
+        drop_stored(*before)
+        found = stored(nearest(still, about, named, percent, NEAREST if turn < ROUNDS else None), "parity-nearest")
         if found.isEmpty():
             break
         named = stored(named.unionByName(found), "parity-named")

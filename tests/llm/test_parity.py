@@ -112,3 +112,19 @@ def test_postings_are_shuffled_once(spark):
     assert found == [(7, 1, 0, 3), (7, 2, 0, 3), (7, 3, 0, 3), (9, 1, 1, 2), (9, 2, 1, 2)]
     plan = lists._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_sets_are_not_shuffled_to_drop_repeated_rows(spark, docs_of):
+    data = [(k % 9 if k % 3 else None, f"some words that repeat {k % 5}") for k in range(60)]
+    profile = parity.profiles(docs_of(data), 3, 90)
+    picked = profile.groupBy("c", "cls").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "doc_id")
+    picked = profile.join(picked, ["c", "cls", "doc_id"]).selectExpr("c", "cls", "struct(doc_id, digest) AS row").distinct()
+    picked = spark.createDataFrame(picked.collect(), picked.schema)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sets = parity.class_sets(docs_of(data), picked, 3)
+        assert sorted(r.c for r in sets.collect()) == sorted(r.c for r in picked.collect())
+        plan = sets._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2
