@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from logtriage.llm import decontam, near_dups, suffix_index
 from logtriage.llm.components import components
@@ -188,6 +189,35 @@ def test_suffix_levels_are_logarithmic(spark, docs_of):
     assert suffix_index.digest(suffix_index.without_repeats(docs_of([]))).count() == 0
 
 
+def test_rows_of_one_frequent_seed_are_dealt_to_several_tasks(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(suffix_index, "MANY_ROWS", 25)
+    rng = random.Random(6)
+    seen = "one seed that all texts hold".ljust(30, "!")
+    rows = [(k, "".join(rng.choices("abcd ", k=45)) + seen + "".join(rng.choices("abcd ", k=45))) for k in range(300)]
+    rows += [(300 + k, rows[k][1]) for k in range(60)]
+    index = suffix_index.SuffixIndex(spark, 60, 20)
+    for k in range(2):
+        asked = index.add(docs_of(rows[k::2]))
+    level = index.level(index.levels[0][1])
+    hot = level.groupBy("key").count().orderBy("count", ascending=False).first()
+    assert hot["count"] > 100
+    own = level.where(level["key"] == hot["key"])
+    assert len(own.select("_metadata.file_path").distinct().collect()) > 1
+    keys = suffix_index.stored(level.groupBy("key").agg(F.count("*").alias("own")), "keys")
+    assert {r.key for r in asked.collect()} <= {r.key for r in keys.collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = suffix_index.joined(own, keys, ["key"], "own").withColumn("task", F.spark_partition_id())
+        counts = [r["count"] for r in met.groupBy("task").count().collect()]
+        assert sum(counts) == hot["count"] and len(counts) > 1
+        found = suffix_index.digest(suffix_index.without_repeats(docs_of(rows), 60, seed=20, few=4))
+        assert sorted((tuple(r) for r in found.collect()), key=repr) == brute_removal(rows, 60)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_suffix_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted((tuple(r) for r in QUERIES["op2_suffix_dedup"](spark, sf).collect()), key=repr) == brute_removal(rows, 400)
