@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import pathlib
 import shutil
 import subprocess
@@ -85,3 +86,14 @@ def test_library_without_the_corpus_operators(tmp_path, gone):
     assert set(QUERIES) <= set(queries) and set(ORACLES) <= set(sql) and "pipeline" not in queries
     if "llm" in gone:
         assert set(queries) == set(QUERIES)
+
+
+def test_a_pipeline_of_another_folder_is_not_taken(tmp_path):
+    root = pathlib.Path(entry.__file__).parent
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "tests", "__pycache__", "corpus_pipeline.py"))
+    told = "import __spark_entry__ as e, json; print(json.dumps(sorted(e.queries())))"
+    env = os.environ | {"PYTHONPATH": str(root)}
+    done = subprocess.run([sys.executable, "-c", told], cwd=copy, env=env, capture_output=True, text=True, timeout=120, check=True)
+    queries = json.loads(done.stdout)
+    assert "pipeline" not in queries and "op2_suffix_dedup" in queries
