@@ -1,14 +1,17 @@
 """Character language models against a plain recomputation; epochs with early stopping."""
 
 import math
+import pickle
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from logtriage.operators import charlm as LM
 from logtriage.operators import epochs as EP
+from logtriage.plans.queries import QUERIES
 from logtriage.plans.request_logs import request_logs
 
 TRAIN = [
@@ -137,3 +140,61 @@ def test_an_epoch_reads_lines_once(spark, lines, monkeypatch):
     room = (1 << EP.BITS)
     assert all(len(set(r.ids)) == len(r.ids) <= len(set(trigrams(r.raw_log))) for r in ids)
     assert all(13 <= i < room for r in ids for i in r.ids)
+
+
+def test_lines_are_kept_as_packed_cells(spark, monkeypatch):
+    """Passes read cells of bytes that hold many lines, and find in them the record batches that were packed, in order."""
+    kept = []
+    cut = EP.cut_lineage
+    monkeypatch.setattr(EP, "cut_lineage", lambda df: kept.append(cut(df)) or kept[-1])
+    odd = [(2000, "", 1), (2001, None, 0), (2002, "日本語" + chr(0x1F600), 1), (2003, "long " + "x" * 9000, 0), (2004, "no label", None)]
+    train, val = table(spark, made(400, 0) + odd), table(spark, made(40, 1000))
+    EP.fit_epochs(train, val, "signal", "log_id", epochs=1)
+    cells = kept[0]
+    assert cells.count() < 100 and max(len(r.cell) for r in cells.collect()) <= EP.CELL
+    assert cells.agg(*[F.sum(c) for c in EP.COUNTS]).first() == (20, 20, 202, 202)
+    batch = pa.RecordBatch.from_pydict(
+        {"is_train": [True, False], "label": [1, 0], "text": ["abc" * 3000, ""], "told": pa.array([5, 0], pa.int32())}
+    )
+    packed = [c for b in (batch, batch.slice(1)) for c in EP._packed(14, iter([b]))]
+    found = list(EP._unpacked(14, iter(c.slice(k, 1) for c in packed for k in range(len(c)))))
+    assert [b.column("label").to_pylist() for b in found] == [[1, 0], [0]]
+    ids = found[0].column("ids").to_pylist()
+    assert ids[0][:2] == [0, 2] and all(i > 12 for i in ids[0][2:]) and len(ids[1]) == 1 and found[1].column("ids").to_pylist() == ids[1:]
+
+
+def test_places_are_the_distinct_hashes(spark):
+    """Sorting finds the distinct places that a set finds, and does not take the way over hash tables."""
+    texts = ["", "abab" * 50, "GET /a?b=c", "日本語" * 3]
+    ids = EP._places(pa.array(texts), pa.array([0, 1 << 12, 3, 0], pa.int32()), 14).to_pylist()
+    assert all(i == sorted(set(i)) for i in ids)
+    assert [len([x for x in i if x < 13]) for i in ids] == [0, 1, 2, 0]
+    assert [len([x for x in i if x > 12]) for i in ids] == [len(set(trigrams(t))) for t in texts]
+
+
+def test_steps_work_on_the_own_type_of_numpy(monkeypatch):
+    """Weights reach a task by pickle, which gives them a type that ``subtract.at`` is slow with."""
+    found = []
+    monkeypatch.setattr(EP, "_step_batch", lambda own, *rest: found.append(own.dtype))
+    weights = pickle.loads(pickle.dumps(np.zeros((1 << 10) + 1)))
+    batch = pa.RecordBatch.from_pydict({"is_train": [True], "label": [1], "ids": [[13, 14]]})
+    list(EP._pass(weights, (1.0, 1.0), 0.5, 1e-5, iter([batch])))
+    assert found[0] is np.dtype(np.float64)
+
+
+def test_scores_after_reading_meet_without_a_join(spark, monkeypatch, tmp_path):
+    """The check of the weights that were read scores each line twice in its row; lines of one id are compared with each other."""
+    fit, scored, texts = EP.fit_epochs, EP.score_epochs, []
+    monkeypatch.setattr(EP, "fit_epochs", lambda *args: fit(*args, epochs=2))
+    monkeypatch.setattr(EP, "score_epochs", lambda df, *args: texts.append(df.columns) or scored(df, *args))
+    ts = F.timestamp_seconds(F.col("event_id")).alias("ts")
+    pages = spark.range(5).select(F.col("id").alias("page_id"), F.concat(F.lit("https://h.example/p"), "id").alias("url"))
+    for n in (1, 2):  # lines of an id, which differ in their host
+        events = spark.range(600 * n).select(F.floor(F.col("id") / n).alias("event_id"), (F.col("id") % 7).alias("user_id"))
+        events.select("event_id", ts, "user_id").write.parquet(f"{tmp_path}/{n}/events.parquet")
+        pages.write.parquet(f"{tmp_path}/{n}/pages.parquet")
+        found = QUERIES["training_history"](spark, f"{tmp_path}/{n}")
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        rows = found.collect()
+        assert {r.model for r in rows} == set(LM.VARIANTS) and all(r.same_after_reading == (n == 1) and r.chosen == 1 for r in rows)
+    assert [("first" in t) for t in texts] == [False, True] * 6
