@@ -63,9 +63,19 @@ def train(df: DataFrame, variant: str, reg_param: float = 1e-4, max_iter: int =
     return pipeline(variant, reg_param, max_iter).fit(with_class_weight(df))
 
 
+def _without_summary(model: PipelineModel) -> PipelineModel:
+    """A copy that tasks can be sent: the summary of the training holds the session, which is not sent once it has observed a query."""
+    *others, last = model.stages
+    if not last.hasSummary:
+        return model
+    bare = last.copy()
+    bare._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return PipelineModel([*others, bare])
+
+
 def score(df: DataFrame, model: PipelineModel, name: str) -> DataFrame:
     """Add the probability of the malicious class as ``name``."""
-    scored = model.transform(df)
+    scored = _without_summary(model).transform(df)
     return scored.withColumn(name, vector_to_array("probability")[1]).select(*df.columns, name)
 
 

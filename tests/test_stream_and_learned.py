@@ -2,6 +2,7 @@
 
 from urllib.parse import quote
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from logtriage.operators import features, learned
@@ -90,3 +91,15 @@ def test_learned_detectors(spark, sf, tmp_path):
     assert info.fallback == "raw" and learned.runtime_info(spark, []).first().fallback == "signature"
     models = learned.train_all(table.filter("log_id % 5 = 0"), ["signal"], max_iter=3)
     assert "score_signal" in learned.score_all(table, models).columns
+
+
+def test_models_score_after_a_query_was_observed(spark):
+    """The session then holds a manager of observations, which no task can be sent; the summary of a model holds the session."""
+    rows = spark.createDataFrame([(f"GET /{k}" if k % 2 else "${jndi:%d" % k, k % 2) for k in range(20)], "raw_log string, label int")
+    table = learned.feature_table(rows)
+    model = learned.train(table, "raw", max_iter=2)
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 20 and learned.score(table, model, "score").count() == 20
+    assert all((r.score >= 0.5) == (r.label == 1) for r in learned.score(table, model, "score").collect())
+    assert learned.training_history(spark, model, "raw").count() > 1
